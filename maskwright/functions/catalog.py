@@ -247,34 +247,36 @@ NORMALIZATION_PROBES = [
 SEVERE_CATEGORIES = ["identity", "personal"]
 
 # Cheap necessary conditions, so texts without any chance of a hit never reach
-# the full alternation.  Ours, not part of the rule format: a text that does not
-# match the hint cannot match the pattern.
+# the full alternation.  Ours, not part of the rule format.  Each test is
+# (characters of which the text must hold one, regex the text must match).  A
+# text that passes no test of a pattern cannot match it.
+_FORGES = [(":/", r"(?:github|gitlab|bitbucket)\.")]
 PATTERN_HINTS = {
-    "email": r"@",
-    "phone": r"\d[ .-]\d{4}",
-    "git-org": r"(?:github|gitlab|bitbucket)\.",
-    "git-repo": r"(?:github|gitlab|bitbucket)\.",
-    "ip": r"\d\.\d",
-    "ipv6": r":(?:[0-9a-fA-F]{1,4}:|:)",
-    "mac": r"[0-9a-fA-F]{2}[:-][0-9a-fA-F]{2}[:-]",
-    "aws-access-key": r"A(?:KI|SI|RO|ID)A",
-    "github-token": r"gh[pousr]_",
-    "slack-token": r"xox",
-    "private-key-block": r"-BEGIN ",
-    "jwt": r"eyJ",
-    "bearer-token": r"earer",
-    "generic-api-key-assignment": r"(?i:api[_-]?key|secret|access[_-]?token)",
-    "openai-key": r"sk-",
-    "anthropic-key": r"sk-ant-",
-    "stripe-key": r"[rsp]k_",
-    "google-api-key": r"AIza",
-    "sendgrid-key": r"SG\.",
-    "npm-token": r"npm_",
-    "huggingface-token": r"hf_",
-    "connection-string-password": r"://",
-    "credit-card": r"\d{13}",
-    "iban": r"[A-Z]{2}\d{2}",
-    "india-aadhaar": r"\d{4}[ -]?\d{4}",
-    "india-pan": r"[A-Z]\d{4}[A-Z]",
-    "us-ssn": r"\d-\d{2}-\d",
+    "email": [("@", r"@")],
+    "phone": [("0-9", r"\d[ .-]\d{4}")],
+    "git-org": _FORGES,
+    "git-repo": _FORGES,
+    "ip": [("0-9", r"\d\.\d{1,3}\.\d")],
+    "ipv6": [(":", r":(?:[0-9a-fA-F]{1,4}:|:)")],
+    "mac": [(":-", r"[:-][0-9a-fA-F]{2}[:-]")],
+    "aws-access-key": [("", "AKIA"), ("", "ASIA"), ("", "AROA"), ("", "AIDA")],
+    "github-token": [("_", r"gh[pousr]_")],
+    "slack-token": [("-", r"xox[abposr]-")],
+    "private-key-block": [("-", r"-----BEGIN ")],
+    "jwt": [("", r"eyJ")],
+    "bearer-token": [("", r"earer")],
+    "generic-api-key-assignment": [("=:", r"(?i:api[_-]?key|secret|access[_-]?token)")],
+    "openai-key": [("-", r"sk-")],
+    "anthropic-key": [("-", r"sk-ant-")],
+    "stripe-key": [("_", r"k_(?:live|test)_")],
+    "google-api-key": [("", r"AIza")],
+    "sendgrid-key": [("", r"SG\.")],
+    "npm-token": [("_", r"npm_")],
+    "huggingface-token": [("_", r"hf_")],
+    "connection-string-password": [(":/", r"://")],
+    "credit-card": [("0-9", r"\d{13}")],
+    "iban": [("0-9", r"[A-Z]{2}\d{2}")],
+    "india-aadhaar": [("0-9", r"\d{4}[ -]?\d{4}")],
+    "india-pan": [("0-9", r"[A-Z]\d{4}[A-Z]")],
+    "us-ssn": [("0-9", r"\d-\d{2}-\d")],
 }

@@ -28,6 +28,11 @@ def escape(value: str) -> str:
     return re.sub(r"[.*+?^${}()|\[\]\\]", lambda m: "\\" + m.group(0), value)
 
 
+def escape_class(chars: str) -> str:
+    """Members of a character class."""
+    return "".join("\\" + c if c in "\\[]^-&" else c for c in chars)
+
+
 def escape_replacement(text: str) -> str:
     return unmark(text).replace("\\", "\\\\").replace("$", "\\$")
 
@@ -36,9 +41,37 @@ def unmark(text: str) -> str:
     return text.replace(MATCH_MARK, MARK_STAND_IN).replace(FIELD_MARK, MARK_STAND_IN)
 
 
+# A leading ``\\b`` before something that must start with a word character is just
+# "no word character before"; Java tests that far faster than the full boundary.
+_WORD_START = re.compile(
+    r"\\b(?=[A-Za-z0-9_]|\[[A-Za-z0-9_-]*[A-Za-z0-9_]\]|\(\?:[A-Za-z0-9_][A-Za-z0-9_|]*\)"
+    r"|\(\?:[A-Za-z0-9_]|\(\?![A-Za-z0-9_|\[\]{}-]*\)\[[0-9-]*\])"
+)
+_PLAIN_LOOKBEHIND = re.compile(r"\(\?<=(?:[^()\\]|\\.|\(\?:[^()]*\))*?(\[[^\]\\]*\]|[A-Za-z0-9/:@#=_-])\)")
+
+
+def _word_led(source: str) -> bool:
+    m = _WORD_START.match(source)
+    if not m:
+        return False
+    rest = source[2:]
+    if rest.startswith("(?:"):
+        body = rest[3 : rest.index(")")] if "(" not in rest[3 : rest.index(")")] else None
+        return body is not None and all(re.match(r"[A-Za-z0-9_]", x) for x in body.split("|"))
+    return True
+
+
 def to_java(source: str) -> str:
     """Rewrite the escapes whose meaning differs on the JVM."""
     out, in_class, i = [], False, 0
+    if _word_led(source):
+        out.append(f"(?<!{_W})")
+        i = 2
+    else:
+        # Test the last character of a leading lookbehind before its whole body.
+        behind = _PLAIN_LOOKBEHIND.match(source)
+        if behind:
+            out.append(f"(?<={behind.group(1)})")
     while i < len(source):
         c = source[i]
         if c == "\\" and i + 1 < len(source):
