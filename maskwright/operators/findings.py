@@ -44,6 +44,12 @@ def substring_offsets(text: Column, value: str) -> Column:
     return F.when(F.contains(text, F.lit(value)), ends).otherwise(F.array().cast("array<int>"))
 
 
+def _fixed_hit(value: str, category: str):
+    return lambda o: F.struct(
+        o.alias("off"), (o + F.lit(len(value))).alias("stop"), F.lit(category).alias("category")
+    )
+
+
 def detailed_findings(
     df: DataFrame, keys: list[str], text: str, rules: RuleSet, offset: str | None = None
 ) -> DataFrame:
@@ -62,14 +68,7 @@ def detailed_findings(
     if offset:
         fixed.append((offset, "timezone"))
     for value, category in fixed:
-        lists.append(
-            F.transform(
-                substring_offsets(t, value),
-                lambda o, value=value, category=category: F.struct(
-                    o.alias("off"), (o + len(value)).alias("stop"), F.lit(category).alias("category")
-                ),
-            )
-        )
+        lists.append(F.transform(substring_offsets(t, value), _fixed_hit(value, category)))
     exploded = df.select(*keys, text, F.explode(F.concat(*lists)).alias("h"))
     line = line_of(t, F.col("h.off"))
     return exploded.select(

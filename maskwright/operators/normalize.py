@@ -78,14 +78,22 @@ def normalize(text: Column, rules: RuleSet) -> Column:
     return apply_rewrites(text, _entries(rules.rewrites, rules.timezone), hint)
 
 
+def dates_to_utc(text: Column) -> Column:
+    """``struct(text, count, spans)`` with only the dated offsets rewritten."""
+    return apply_rewrites(text, _entries((), True)[:1], r"[+-]\d\d:?\d\d")
+
+
+def blank_offsets(text: Column) -> Column:
+    """An offset on its own loses its value but not its place."""
+    return F.regexp_replace(text, BARE, "$1\\+0000")
+
+
 def normalize_in_turn(text: Column, rules: RuleSet) -> Column:
     """The sequential form: each rewrite sees the output of the one before."""
     out = text
     for r in rules.rewrites:
         out = F.regexp_replace(out, rewrite_regex(r), js_template(r.replace, count_groups(r.regex)))
     if rules.timezone:
-        dated = RuleSet(timezone=True)
-        out = apply_rewrites(out, _entries((), True)[:1], r"[+-]\d\d:?\d\d").text
-        out = F.regexp_replace(out, BARE, "$1\\+0000")
-        del dated
+        out = dates_to_utc(out).text
+        out = blank_offsets(out)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detectors  # noqa: F401
+from . import detectors, renders, scans  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
