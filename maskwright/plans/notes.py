@@ -85,16 +85,17 @@ def _pieces(template: str) -> list[tuple[bool, str]]:
     return out
 
 
-def notes(spark: SparkSession, root: str) -> DataFrame:
-    """``unit, text`` for every order."""
+def notes(spark: SparkSession, root: str, ts: bool = False) -> DataFrame:
+    """``unit, text`` (and ``ts``) for every order."""
     parts = _spark_parts()
     kind = F.col(_KEY) % len(TEMPLATES)
     text = None
     for i, template in enumerate(TEMPLATES):
         value = F.concat(*[parts[x] if var else F.lit(x) for var, x in _pieces(template)])
         text = F.when(kind == i, value) if text is None else text.when(kind == i, value)
-    orders = spread(table(spark, root, "orders").select(_KEY))
-    return orders.select(F.col(_KEY).alias("unit"), text.alias("text"))
+    orders = spread(table(spark, root, "orders").select(_KEY, *(["o_orderdate"] if ts else [])))
+    extra = [F.col("o_orderdate").alias("ts")] if ts else []
+    return orders.select(F.col(_KEY).alias("unit"), text.alias("text"), *extra)
 
 
 def _sql_text() -> str:
@@ -107,7 +108,7 @@ def _sql_text() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
-NOTES_SQL = f"notes AS (SELECT {_KEY} AS unit, {_sql_text()} AS text FROM orders)"
+NOTES_SQL = f"notes AS (SELECT {_KEY} AS unit, {_sql_text()} AS text, o_orderdate AS ts FROM orders)"
 
 
 def all_text(spark: SparkSession, root: str) -> DataFrame:
