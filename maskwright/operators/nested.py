@@ -65,33 +65,38 @@ def skip_opaque(kind: Column, text: Column, fn: StringFn) -> Column:
 JSON_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")(\s*+:)?+'
 
 
-def json_transform(raw: Column, fn: StringFn) -> Column:
-    """Apply ``fn`` to every string value of a JSON text.
+def _json_pieces(work: Column) -> Column:
+    """Alternating text and string tokens; a token carries its colon if it is a key."""
+    marked = F.regexp_replace(work, JSON_STRING, f"{MATCH_MARK}$1{FIELD_MARK}$2{MATCH_MARK}")
+    return F.split(marked, MATCH_MARK, -1)
+
+
+def text_or_json(raw: Column, as_json: Column, fn: StringFn) -> Column:
+    """Apply ``fn`` to every string value of a JSON text, or to the whole text.
 
     Works on the tokens of the text itself: numbers, key order, white space and
-    every string that does not change keep their exact bytes.  A text that does
-    not parse is returned as found.
+    every string that does not change keep their exact bytes.
     """
 
-    def tokens(work):
-        marked = F.regexp_replace(
-            work, JSON_STRING, f"{MATCH_MARK}$1{FIELD_MARK}$2{MATCH_MARK}"
+    def pieces(work):
+        return F.when(as_json, _json_pieces(work)).otherwise(F.array(F.lit(""), work))
+
+    def piece(p, i):
+        fields = F.split(p, FIELD_MARK, -1)
+        token, colon = F.get(fields, F.lit(0)), F.coalesce(F.get(fields, F.lit(1)), F.lit(""))
+        value = F.when(as_json, _decode(token)).otherwise(p)
+        rewritten = let(
+            value,
+            lambda v: let(fn(v), lambda out: F.when(as_json, _encode(token, v, out)).otherwise(out)),
         )
+        return F.when(i % 2 == 0, p).when(colon != "", F.concat(token, colon)).otherwise(rewritten)
 
-        def piece(p, i):
-            fields = F.split(p, FIELD_MARK, -1)
-            token, colon = F.get(fields, F.lit(0)), F.get(fields, F.lit(1))
-            is_key = colon != ""
-            return (
-                F.when(i % 2 == 0, p)
-                .when(is_key, F.concat(token, colon))
-                .otherwise(let(_decode(token), lambda v: let(fn(v), lambda out: _encode(token, v, out))))
-            )
+    return let(working_copy(raw), lambda w: F.array_join(F.transform(pieces(w), piece), ""))
 
-        return F.array_join(F.transform(F.split(marked, MATCH_MARK, -1), piece), "")
 
-    parsed = F.try_parse_json(raw).isNotNull()
-    return F.when(parsed, let(working_copy(raw), tokens)).otherwise(raw)
+def json_transform(raw: Column, fn: StringFn) -> Column:
+    """Every string value of a JSON text; one that does not parse is returned as found."""
+    return F.when(F.try_parse_json(raw).isNotNull(), text_or_json(raw, F.lit(True), fn)).otherwise(raw)
 
 
 def _decode(token: Column) -> Column:
@@ -110,12 +115,14 @@ def json_skeleton(raw: Column) -> Column:
 
     Going through a variant sorts object keys; string values become ``"s"``.
     """
-    canonical = F.to_json(F.try_parse_json(raw))
-    return F.regexp_replace(
-        F.regexp_replace(canonical, JSON_STRING, "$1$2"),
-        r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?!\s*+:)',
-        '"s"',
+    canonical = working_copy(F.to_json(F.try_parse_json(raw)))
+    shape = F.transform(
+        _json_pieces(canonical),
+        lambda p, i: F.when(i % 2 == 0, p)
+        .when(F.endswith(p, F.lit(FIELD_MARK)), F.lit('"s"'))
+        .otherwise(F.replace(p, F.lit(FIELD_MARK), F.lit(""))),
     )
+    return F.array_join(shape, "")
 
 
 def pseudonymize_field(

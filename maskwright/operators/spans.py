@@ -80,7 +80,7 @@ def bucket_candidates(work: Column, bucket: Bucket, order: int) -> Column:
         return marked_matches(work, bucket.regex, f"${bucket.groups[0]}",
                               lambda p: (F.length(p), F.lit(names[0])), order)
     fields = FIELD_MARK.join(f"${g}" for g in bucket.groups)
-    table = F.array(*[F.lit(n) for n in names])
+    table = const_list(list(names))
 
     def read(piece):
         parts = F.transform(F.split(piece, FIELD_MARK, -1), lambda x: x != "")
@@ -99,14 +99,22 @@ def live_alternation(work: Column, bucket: Bucket) -> Column | str:
     """
     if len(bucket.parts) < 3 or not bucket.regex.isascii() and bucket.insensitive:
         return bucket.regex
-    chosen = [
-        F.lit(part) if hint is None else F.when(may_match(work, hint), F.lit(part)).otherwise(F.lit(off))
-        for part, off, hint in bucket.parts
-    ]
-    joined = F.concat_ws("|", *chosen)
+    hints = const_list([".*" if h is None else "|".join(rx for _, rx in h) for _, _, h in bucket.parts])
+    parts = const_list([part for part, _, _ in bucket.parts])
+    absent = const_list([off for _, off, _ in bucket.parts])
+    chosen = F.transform(
+        hints,
+        lambda h, i: F.when(F.rlike(work, h), F.get(parts, i)).otherwise(F.get(absent, i)),
+    )
+    joined = F.array_join(chosen, "|")
     return F.concat(F.lit("(?i:"), joined, F.lit(")")) if bucket.insensitive else joined
 
 
+def const_list(values: list[str]) -> Column:
+    """A constant array of strings (folded by the optimizer)."""
+    return F.split(F.lit(MATCH_MARK.join(values)), MATCH_MARK, -1)
+
+
 def label_regions(work: Column) -> Column:
     """Where labels already are; nothing touching one may be redacted again."""
     found = marked_matches(work, f"({LABEL_GUARD})", "$1", lambda p: (F.length(p), F.lit("")), 0)
@@ -115,8 +123,11 @@ def label_regions(work: Column) -> Column:
     )
 
 
-def candidates(work: Column, rules: RuleSet) -> Column:
-    """Every match of every rule over the original text, in resolution order."""
+def candidates(work: Column, rules: RuleSet, own_literal: Column | None = None) -> Column:
+    """Every match of every rule over the original text, in resolution order.
+
+    ``own_literal`` is one more literal whose regex comes from a column.
+    """
     empty = F.array().cast(f"array<{CANDIDATE}>")
     lists = []
     for order, bucket in enumerate(rules.buckets):
@@ -125,6 +136,11 @@ def candidates(work: Column, rules: RuleSet) -> Column:
         if bucket.hint is not None and len(rules.buckets) > 1:
             found = F.when(may_match(work, bucket.hint), found).otherwise(empty)
         lists.append(found)
+    if own_literal is not None:
+        category = F.lit(catalog.LITERAL_CATEGORY)
+        lists.append(
+            marked_matches(work, own_literal, "$0", lambda p: (F.length(p), category), len(rules.buckets))
+        )
     merged = lists[0] if len(lists) == 1 else F.array_sort(F.concat(*lists))
 
     def unprotected(regions):
@@ -223,7 +239,7 @@ def rebuild(text: Column, items: Column, start: str, end: str, value) -> Column:
     )
 
 
-def redact(text: Column, rules: RuleSet, key: LabelKey) -> Column:
+def redact(text: Column, rules: RuleSet, key: LabelKey, own_literal: Column | None = None) -> Column:
     """``struct(text, spans)`` with every accepted span replaced by its label."""
 
     def with_values(hits):
@@ -246,6 +262,9 @@ def redact(text: Column, rules: RuleSet, key: LabelKey) -> Column:
         )
 
     untouched = F.struct(text.alias("text"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    if own_literal is not None:
+        found = let(working_copy(text), lambda w: clip_conflicts(candidates(w, rules, own_literal)))
+        return let(found, with_values).cast(REDACTED)
     if not rules.buckets:
         return untouched.cast(REDACTED)
     full = let(_hits(text, rules), with_values)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import configs, detectors, renders, scans, vaults  # noqa: F401
+from . import configs, detectors, renders, scans, sweeps, vaults  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
