@@ -36,7 +36,8 @@ def reassemble_stream(events: DataFrame) -> DataFrame:
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_, name, held = state.get if state.exists else (False, None, "")
         out, pieces = [], [held]
-        for row in _ordered(parts, "seq").itertuples(index=False):
+        columns = ["stream_id", "index", "seq", "type", "name", "fragment"]
+        for row in _ordered(parts, "seq")[columns].itertuples(index=False):
             if row.type == "start":
                 open_, name, pieces = True, row.name, [""]
                 out.append(row)
@@ -52,7 +53,6 @@ def reassemble_stream(events: DataFrame) -> DataFrame:
             state.update((True, name, "".join(pieces)))
         elif state.exists:
             state.remove()
-        columns = ["stream_id", "index", "seq", "type", "name", "fragment"]
         yield pd.DataFrame(out, columns=columns).astype({"index": "int32", "seq": "int64"})
 
     return events.groupBy("stream_id", "index").applyInPandasWithState(
