@@ -11,16 +11,16 @@ import re
 
 WORD = r"[\p{L}\p{N}_]"
 # ECMAScript white space and line terminators, as class members.
-JS_SPACE = r"\t\n\x0B\f\r    -     　﻿"
+JS_SPACE = r"\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _W = "[A-Za-z0-9_]"
 ASCII_BOUNDARY = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 ASCII_NOT_BOUNDARY = f"(?:(?<!{_W})(?!{_W})|(?<={_W})(?={_W}))"
 
 # Marks for one-pass match extraction.  Unicode noncharacters are reserved for
 # internal use; a text that does hold one is translated (length kept) first.
-MATCH_MARK = "﷐"
-FIELD_MARK = "﷑"
-MARK_STAND_IN = "﷒"
+MATCH_MARK = chr(0xFDD0)
+FIELD_MARK = chr(0xFDD1)
+MARK_STAND_IN = chr(0xFDD2)
 
 
 def escape(value: str) -> str:
