@@ -21,6 +21,24 @@ def line_of(text: Column, offset: Column) -> Column:
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
+def line_starts(lines: Column) -> Column:
+    """0-based offset at which each line of a split text starts."""
+    start = F.struct(F.lit(0).cast("int").alias("pos"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(
+        lines,
+        start,
+        lambda acc, x: F.struct(
+            (acc.pos + F.length(x) + 1).cast("int").alias("pos"), F.concat(acc.starts, F.array(acc.pos)).alias("starts")
+        ),
+        lambda acc: acc.starts,
+    )
+
+
+def line_in(starts: Column, offset: Column) -> Column:
+    """1-based line of an offset, given the line starts."""
+    return F.size(F.filter(starts, lambda s: s <= offset))
+
+
 def line_context(text: Column, line: Column, width: int = 200) -> Column:
     """The given line, trimmed and cut to ``width`` characters."""
     whole = F.get(F.split(text, "\n", -1), line - 1)

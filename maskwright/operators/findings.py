@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import catalog
 from ..functions.keys import LabelKey
 from ..functions.regexes import escape
-from ..functions.text import count_substring, line_context, line_of
+from ..functions.let import let
+from ..functions.text import count_substring, js_trim, line_in, line_starts
 from .ruleset import RuleSet
 from .spans import cut, find_hits, redact
 
@@ -18,14 +19,16 @@ def findings(df: DataFrame, keys: list[str], text: str, rules: RuleSet) -> DataF
 
     A narrow transformation: scan, gate, spans and explode run in one stage.
     """
-    hit = F.explode(find_hits(F.col(text), rules)).alias("h")
-    return df.select(*keys, text, hit).select(
-        *keys,
-        F.col("h.real_start").alias("start"),
-        F.col("h.real_end").alias("end"),
-        F.col("h.category").alias("category"),
-        cut(F.col(text), F.col("h.real_start"), F.col("h.real_end")).alias("value"),
+    t = F.col(text)
+    # Values are cut before the explode, so that no hit drags the whole text along.
+    hits = F.transform(
+        find_hits(t, rules),
+        lambda h: F.struct(
+            h.real_start.alias("start"), h.real_end.alias("end"), h.category.alias("category"),
+            cut(t, h.real_start, h.real_end).alias("value"),
+        ),
     )
+    return df.select(*keys, F.inline(hits))
 
 
 def substring_offsets(text: Column, value: str) -> Column:
@@ -50,12 +53,24 @@ def _fixed_hit(value: str, category: str):
     )
 
 
+def _located(t: Column, h: Column, line: Column, lines: Column, at: Column) -> Column:
+    whole = F.get(lines, line - 1)
+    begin, size = h.off - F.get(at.starts, line - 1), h.stop - h.off
+    # A line is shorter than the text; only few hits span lines.
+    value = F.when(begin + size <= F.length(whole), F.substring(whole, begin + 1, size)).otherwise(cut(t, h.off, h.stop))
+    return F.struct(
+        h.off.alias("off"), line.alias("line"), h.category.alias("category"), value.alias("value"),
+        F.get(at.contexts, line - 1).alias("context"),
+    )
+
+
 def detailed_findings(
-    df: DataFrame, keys: list[str], text: str, rules: RuleSet, offset: str | None = None
+    df: DataFrame, keys: list[str], text: str, rules: RuleSet, offset: str | None = None, context: bool = True
 ) -> DataFrame:
     """Spans, identity values and a time-zone offset with line and context.
 
     One pass per unit: the hits are merged in an array before the explode.
+    Without ``context`` only offset and category are produced.
     """
     t = F.col(text)
     lists = [
@@ -69,16 +84,27 @@ def detailed_findings(
         fixed.append((offset, "timezone"))
     for value, category in fixed:
         lists.append(F.transform(substring_offsets(t, value), _fixed_hit(value, category)))
-    exploded = df.select(*keys, text, F.explode(F.concat(*lists)).alias("h"))
-    line = line_of(t, F.col("h.off"))
-    return exploded.select(
-        *keys,
-        F.col("h.off").alias("off"),
-        line.alias("line"),
-        F.col("h.category").alias("category"),
-        cut(t, F.col("h.off"), F.col("h.stop")).alias("value"),
-        line_context(t, line).alias("context"),
-    )
+
+    def placed(hits):
+        # Lines, their starts and their contexts are worked out once per unit.
+        return let(
+            F.split(t, "\n", -1),
+            lambda lines: let(
+                F.struct(
+                    line_starts(lines).alias("starts"),
+                    F.transform(lines, lambda x: F.substring(js_trim(x), 1, CONTEXT_CHARS)).alias("contexts"),
+                ),
+                lambda at: F.transform(hits, lambda h: let(line_in(at.starts, h.off), lambda n: _located(t, h, n, lines, at))),
+            ),
+        )
+
+    if not context:
+        flat = F.transform(F.concat(*lists), lambda h: F.struct(h.off.alias("off"), h.category.alias("category")))
+        return df.select(*keys, F.inline(flat))
+    return df.select(*keys, F.inline(let(F.concat(*lists), lambda hits: F.when(F.size(hits) > 0, placed(hits)))))
+
+
+CONTEXT_CHARS = 200
 
 
 def unit_counts(df: DataFrame, keys: list[str], text: str, rules: RuleSet) -> DataFrame:
@@ -178,14 +204,22 @@ def published_split(hits: DataFrame, published: DataFrame, keys: list[str]) -> D
 
 def change_log(df: DataFrame, keys: list[str], text: str, rules: RuleSet, key: LabelKey) -> DataFrame:
     """One record per replaced value with its line: restricted output."""
-    spans = df.select(*keys, text, F.explode(redact(F.col(text), rules, key).spans).alias("s"))
-    return spans.select(
-        *keys,
-        line_of(F.col(text), F.col("s.real_start")).alias("line"),
-        F.col("s.category").alias("category"),
-        F.col("s.value").alias("before"),
-        F.col("s.label").alias("after"),
-    )
+    t = F.col(text)
+
+    def placed(spans):
+        return let(
+            line_starts(F.split(t, "\n", -1)),
+            lambda starts: F.transform(
+                spans,
+                lambda s: F.struct(
+                    line_in(starts, s.real_start).alias("line"), s.category.alias("category"),
+                    s.value.alias("before"), s.label.alias("after"),
+                ),
+            ),
+        )
+
+    rows = let(redact(t, rules, key).spans, lambda spans: F.when(F.size(spans) > 0, placed(spans)))
+    return df.select(*keys, F.inline(rows))
 
 
 def report_lines(hits: DataFrame, key: str) -> DataFrame:

@@ -49,13 +49,26 @@ def rehydrate(text: Column, spans: Column) -> Column:
     return let(fill(text, span_values(spans)), lambda t: F.when(~has_label(t), t))
 
 
-def unit_values(df: DataFrame, keys: list[str], texts: Column, known: DataFrame, bounded: bool) -> DataFrame:
+def with_values(df: DataFrame, keys: list[str], texts: Column, known: DataFrame, bounded: bool) -> DataFrame:
+    """Add ``_values``, a map with the dictionary entries a unit's labels need.
+
+    A bounded dictionary (a capped vault) becomes one constant map: no join and
+    no second look at ``df``.  An unbounded one is joined; ``df`` is then used
+    twice and should be a stored table.
+    """
+    if bounded:
+        pairs = known.agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("m"))
+        return df.withColumn("_values", pairs.scalar())
+    return df.join(unit_values(df, keys, texts, known), keys, "left")
+
+
+def unit_values(df: DataFrame, keys: list[str], texts: Column, known: DataFrame) -> DataFrame:
     """``keys, values``: for every unit the dictionary entries its labels need.
 
     Each unit's map is bounded by the labels in its own text.
     """
     wanted = df.select(*keys, F.explode(F.array_distinct(labels_in(texts))).alias("label"))
-    found = lookup(wanted, known.select("label", "value"), "label", F.struct(*keys), bounded)
+    found = lookup(wanted, known.select("label", "value"), "label", F.struct(*keys))
     return (
         found.where(F.col("value").isNotNull())
         .groupBy(*keys)
@@ -67,11 +80,10 @@ def resolve_from_vault(
     df: DataFrame, keys: list[str], text: str, known: DataFrame, bounded: bool = False, strict: bool = False
 ) -> DataFrame:
     """Labels replaced from the dictionary; unknown ones stay, or null if ``strict``."""
-    values = unit_values(df, keys, F.col(text), known, bounded)
     full = fill(F.col(text), F.coalesce("_values", F.create_map().cast(NO_VALUES)))
     if strict:
         full = let(full, lambda t: F.when(~has_label(t), t))
-    return df.join(values, keys, "left").withColumn(text, full).drop("_values")
+    return with_values(df, keys, F.col(text), known, bounded).withColumn(text, full).drop("_values")
 
 
 def resolve_labels(
@@ -86,8 +98,6 @@ def resolve_labels(
 def resolve_deep(df: DataFrame, keys: list[str], column: str, known: DataFrame, bounded: bool = False) -> DataFrame:
     """Every string of a nested column; a string with an unknown label stays as it is."""
     dtype = df.schema[column].dataType
-    values = unit_values(df, keys, F.to_json(F.struct(column)), known, bounded)
-
     def one(text):
         return let(
             fill(text, F.coalesce("_values", F.create_map().cast(NO_VALUES))),
@@ -95,7 +105,7 @@ def resolve_deep(df: DataFrame, keys: list[str], column: str, known: DataFrame,
         )
 
     return (
-        df.join(values, keys, "left")
+        with_values(df, keys, F.to_json(F.struct(column)), known, bounded)
         .withColumn(column, deep_transform(F.col(column), dtype, one, opaque=False))
         .drop("_values")
     )

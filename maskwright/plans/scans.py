@@ -206,9 +206,9 @@ ALL_HITS = (
 )
 
 
-def all_hits(spark, root):
+def all_hits(spark, root, context=False):
     """Every kind of finding; a frequent string stands in for the local offset."""
-    return R.detailed_findings(docs(spark, root), ["doc_id"], "text", IDENTITY_RULES, "tion")
+    return R.detailed_findings(docs(spark, root), ["doc_id"], "text", IDENTITY_RULES, "tion", context)
 
 
 @query(
@@ -217,7 +217,7 @@ def all_hits(spark, root):
     "FROM hits s JOIN documents d USING (doc_id)",
 )
 def findings_table(spark, root):
-    hits = all_hits(spark, root)
+    hits = all_hits(spark, root, context=True)
     return hits.withColumns({"off": F.col("off").cast("bigint"), "line": F.col("line").cast("bigint")})
 
 
@@ -296,7 +296,7 @@ def change_log(spark, root):
     "CASE WHEN context <> '' AND context <> value THEN chr(10) || '              | ' || context ELSE '' END FROM x",
 )
 def report_lines(spark, root):
-    lines = R.report_lines(all_hits(spark, root), "doc_id")
+    lines = R.report_lines(all_hits(spark, root, context=True), "doc_id")
     return lines.select("doc_id", F.col("off").cast("bigint"), "line_text")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import logs as L
 from ..operators.ruleset import make_rules
 
-from ..sources.tables import table
-from ..streaming.jobs import run_batches, run_to_table, sweep_stream, work_dir
+from ..sources.tables import table, work_dir
+from ..streaming.jobs import run_batches, run_to_table, sweep_stream
 from ..streaming.redaction import fail_closed, latest_version, render_stream, vault_upsert
 from ..streaming.stateful import alert_stream, latch_stream, reassemble_stream
 from ..streaming.windows import windowed_counts

@@ -9,7 +9,7 @@ from ..functions.text import title_case
 from ..operators import resolve as X
 from ..operators import vault as V
 from ..operators.spans import redact
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .base import STD_RULES, label_sql, query, quoted, redacted_ctes, span_ctes, test_key
 from .notes import NOTES_SQL, notes
 
@@ -35,7 +35,9 @@ def clock(spark, root):
 
 
 def redacted_notes(spark, root):
-    return notes(spark, root).select("unit", redact(F.col("text"), STD_RULES, test_key()).text.alias("text"))
+    """Redacted notes as the stored table that resolution jobs start from."""
+    done = notes(spark, root).select("unit", redact(F.col("text"), STD_RULES, test_key()).text.alias("text"))
+    return stored(done, "redacted-notes")
 
 
 @query("vault_build", f"WITH {VAULT} SELECT label, value, CAST(last_seen AS VARCHAR) AS last_seen FROM vault")
@@ -127,6 +129,17 @@ def rehydrate_vault(spark, root):
     return X.resolve_from_vault(redacted_notes(spark, root), ["unit"], "text", recent(spark, root))
 
 
+@query(
+    "rehydrate_capped",
+    f"WITH {REDACTED_VAULT}, known AS (SELECT label FROM vault ORDER BY last_seen DESC, label LIMIT 1000), {_FILLED} "
+    f"SELECT d.unit, {_WHOLE} AS text FROM notes d LEFT JOIN filled f ON f.unit = d.unit",
+)
+def rehydrate_capped(spark, root):
+    """A capped vault is small by construction: one pass, no join."""
+    top = V.capped(vault(spark, root), 1000)
+    return X.resolve_from_vault(redacted_notes(spark, root), ["unit"], "text", top, bounded=True)
+
+
 @query(
     "rehydrate_strict",
     f"WITH {REDACTED_VAULT}, {_RECENT}, {_FILLED} SELECT d.unit, CASE WHEN f.open AND d.unit % 3 <> 0 THEN NULL "
@@ -322,7 +335,8 @@ def edits(spark, root):
         edit(4, F.lit("e"), F.lit("x")),
         edit(5, F.substring(out, F.lit(1), rs), F.lit("[PII:email:0000000000000000]")),
     )
-    return first.select("unit", F.inline(rows), rs.alias("rs")).where("edit_id <> 5 OR rs > 6").drop("rs")
+    made = first.select("unit", F.inline(rows), rs.alias("rs")).where("edit_id <> 5 OR rs > 6").drop("rs")
+    return stored(made, "edits")
 
 
 def translated(spark, root):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +35,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast only after checking the row count; otherwise leave it to the planner."""
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # only a local session has none
+        base = tempfile.mkdtemp(prefix="maskwright-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an expensive intermediate once and read it back.
+
+    For results that a plan uses several times: a lost executor costs a re-read,
+    and nothing is computed twice.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

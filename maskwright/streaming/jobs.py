@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import LabelKey
 from ..operators.ruleset import RuleSet
+from ..sources.tables import work_dir
 from ..operators.sweep import append_job, job_record, manifest, sweep
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only a local session has none
-        base = tempfile.mkdtemp(prefix="maskwright-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, purpose: str, partitions: int | None = None) -> DataFrame:
     """Process everything that is available, exactly once, and return the written table."""
     spark = stream.sparkSession
