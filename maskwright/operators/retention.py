@@ -89,8 +89,8 @@ def retention_actions(files: DataFrame, rules: dict[str, tuple[str, float | None
     """Per target, how many files and bytes the policy would remove.
 
     ``files(target, name, modified, bytes)``; a rule is ``("days", n)`` or
-    ``("keep", n)``.  The rank filter lets Spark keep only the top names of each
-    input partition, so a huge target is not sorted in one task.
+    ``("keep", n)``.  What a "keep" rule retains is a top-k, so a huge target is
+    not sorted in one task.
     """
     parts = []
     for target, (kind, limit) in rules.items():

@@ -82,12 +82,12 @@ def span_ctes(src: str, keys: str, text: str = "text", rules: RuleSet = STD_RULE
         out.append(
             f"m{i} AS (SELECT {keys}, regexp_extract_all({text}, {rx}) AS ms, "
             f"string_split_regex({text}, {rx}) AS gs FROM {src}), "
-            f"u{i} AS (SELECT {keys}, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v, "
+            f"u{i} AS (SELECT {keys}, unnest(range(1, len(ms) + 1)) AS mi, unnest(ms) AS v, "
             f"unnest(gs[1:len(ms)]) AS g FROM m{i} WHERE len(ms) > 0), "
             f"c{i} AS (SELECT {keys}, {i} AS o, {case} AS category, "
             f"sum(len(g)) OVER w + sum(len(v)) OVER w - len(v) AS s, "
             f"sum(len(g)) OVER w + sum(len(v)) OVER w AS e "
-            f"FROM u{i} WINDOW w AS (PARTITION BY {keys} ORDER BY i))"
+            f"FROM u{i} WINDOW w AS (PARTITION BY {keys} ORDER BY mi))"
         )
         cands.append(f"SELECT {keys}, o, category, s, e FROM c{i}")
     out.append("cand AS (" + " UNION ALL ".join(cands) + ")")

@@ -234,11 +234,11 @@ def category_totals(spark, root):
     "severity_first",
     f"WITH {ALL_HITS}, u AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n, "
     "bool_or(category IN ('identity', 'personal')) AS severe FROM hits GROUP BY doc_id) "
-    "SELECT * FROM u ORDER BY severe DESC, n DESC, doc_id LIMIT 50",
+    "SELECT * FROM u ORDER BY severe DESC, n DESC, doc_id",
 )
 def severity_first(spark, root):
     hits = all_hits(spark, root).select("doc_id", "category")
-    return R.severity_order(hits, ["doc_id"]).limit(50)
+    return R.severity_order(hits, ["doc_id"])
 
 
 @query(

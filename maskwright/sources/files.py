@@ -87,10 +87,31 @@ def is_compact(raw: Column) -> Column:
     return ~F.contains(F.rtrim(F.regexp_replace(raw, r"\s+$", "")), F.lit("\n"))
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, at, line`` of text files of any size, read in splits.
+
+    ``at`` orders the lines of a file: the start of their split, then the order
+    in which the split's task reads them.
+    """
+    return spark.read.text(path, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+        ).alias("at"),
+        F.col("value").alias("line"),
+    )
+
+
+def jsonl_source(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of files too large to be one row each, with the status of every line."""
+    lines = text_lines(spark, path)
+    status = F.when(F.trim("line") == "", "blank").when(F.try_parse_json("line").isNull(), "unparsed").otherwise("json")
+    return lines.withColumn("status", status)
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, line`` of one text log; line order is the order in the file."""
-    text = whole_texts(spark, path)
-    return text.select(F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "line")).where("line <> ''")
+    """The non-empty lines of a log, ready for ``tail(..., order="at")``."""
+    return text_lines(spark, path).where("line <> ''")
 
 
 def tail(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
