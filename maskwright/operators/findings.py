@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions.keys import LabelKey
-from ..functions.regexes import escape
+from ..functions.regexes import escape, folded, to_java
 from ..functions.let import let
 from ..functions.text import count_substring, js_trim, line_in, line_starts
 from .ruleset import RuleSet
-from .spans import cut, find_hits, redact
+from .spans import cut, find_hits, may_match, redact
 
 
 def findings(df: DataFrame, keys: list[str], text: str, rules: RuleSet) -> DataFrame:
@@ -267,11 +267,10 @@ def audit_line(counts: Column, chars: Column, aliased: Column) -> Column:
 
 def pattern_profile(df: DataFrame, text: str, patterns) -> DataFrame:
     """Hits and units hit per candidate pattern, from one scan of the corpus."""
-    from ..functions.regexes import folded, to_java
-
     aggs = []
     for i, p in enumerate(patterns):
-        n = F.regexp_count(F.col(text), F.lit(folded(to_java(p.regex), p.insensitive)))
+        counted = F.regexp_count(F.col(text), F.lit(folded(to_java(p.regex), p.insensitive)))
+        n = F.when(may_match(F.col(text), p.hint), counted).otherwise(0)
         aggs += [F.sum(n).alias(f"n{i}"), F.count_if(n > 0).alias(f"u{i}")]
     wide = df.agg(*aggs)
     rows = F.array(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,11 @@ def pseudonymize_field(
     ).otherwise(raw)
 
 
+def session_value() -> Column:
+    """One random pseudonym for a whole run."""
+    return F.lit(secrets.token_hex(32))
+
+
 # --- maps ----------------------------------------------------------------------------
 
 

@@ -191,19 +191,24 @@ def may_match(text: Column, hint: Hint | None) -> Column:
     by_need: dict[str, list[str]] = {}
     for need, regex in hint:
         by_need.setdefault(need, []).append(regex)
-    tests = []
+    tests, direct = [], []
     for regex in by_need.pop("", []):
         plain = regex.replace("\\.", ".")
         # A byte search is much cheaper than a regex.
-        literal = escape(plain) == regex
-        tests.append(F.contains(text, F.lit(plain)) if literal else F.rlike(text, F.lit(regex)))
+        if escape(plain) == regex:
+            tests.append(F.contains(text, F.lit(plain)))
+        else:
+            direct.append(regex)
+    if direct:
+        tests.append(F.rlike(text, F.lit("|".join(direct))))
     if by_need:
+        members = {n: n if n == "0-9" else escape_class(n) for n in by_need}
         held = [
-            F.rlike(text, F.lit(f"[{need if need == '0-9' else escape_class(need)}]")) & F.rlike(text, F.lit("|".join(regexes)))
-            for need, regexes in by_need.items()
+            F.rlike(text, F.lit(f"[{members[n]}]")) & F.rlike(text, F.lit("|".join(regexes)))
+            for n, regexes in by_need.items()
         ]
         # One scan for any needed character guards all of these.
-        chars = "".join(n if n == "0-9" else escape_class(n) for n in by_need)
+        chars = "".join(members.values())
         tests.append(F.rlike(text, F.lit(f"[{chars}]")) & reduce(or_, held))
     return reduce(or_, tests) if tests else F.lit(False)
 

@@ -77,3 +77,14 @@ def test_keys_stay_out_of_plans(spark, tmp_path):
     assert sorted(out.collect()) == sorted(public.collect())
     plan = out._jdf.queryExecution().toString().lower()
     assert bytes(b ^ 0x36 for b in key).hex() not in plan
+
+
+def test_self_test_over_a_whole_configuration(spark, key):
+    from maskwright.api import self_test
+
+    good = make_rules(all_patterns(), ["Jane", "Jane Q. Testerson"], [("REAL-HOST", "MACHINE-A1")], default_rewrites(), True)
+    assert {r.status for r in self_test(spark, good, key).collect()} <= {"ok", "no probe"}
+    bad = make_rules(all_patterns()[1:2], ["Jane"], [("REAL-HOST", "host")])
+    status = {(r.section, r.check): r.status for r in self_test(spark, bad, key).collect()}
+    assert status["categories", "email"] == "missing" and status["aliases", "host"] == "risky"
+    assert status["normalization", "regional locale"] == "leaks"

@@ -7,7 +7,7 @@ import pytest
 
 from maskwright.functions.regexes import FIELD_MARK, MATCH_MARK, count_groups, js_template, to_java
 from maskwright.operators.ruleset import (
-    Hint, Pattern, all_patterns, make_rules, optional_patterns, pattern_named, shipped_hint,
+    Pattern, all_patterns, make_rules, optional_patterns, pattern_named, shipped_hint,
 )
 from maskwright.operators.spans import redact
 from maskwright.plans.base import TEST_KEY
@@ -139,12 +139,10 @@ def test_look_alikes_are_left_alone(apply, key):
 
 
 def test_labels_are_protected(apply, key):
+    """``api-key:<hex>`` inside a label has the shape of a key assignment."""
     lab = label("google-api-key", "x")
-    text = f"api-key:{lab[5:-1]} and {lab}"
-    rules = make_rules(optional_patterns())
-    (r,) = apply(redactor(rules, key), [f"keep {lab} and api_key = {'k' * 20}"])
-    assert lab in r.text and r.text.count("[PII:") == 2
-    assert text  # the collision shape itself
+    (r,) = apply(redactor(make_rules(optional_patterns()), key), [f"keep {lab} and api_key = {'k' * 20}"])
+    assert r.text.startswith(f"keep {lab} and ") and r.text.count("[PII:") == 2
 
 
 def test_every_hint_holds_for_its_pattern(spark, key, apply):
@@ -153,7 +151,7 @@ def test_every_hint_holds_for_its_pattern(spark, key, apply):
     bare = make_rules([Pattern(p.name, p.regex, p.flags) for p in all_patterns()])
     texts = samples() + [f"{a} {b}" for a, b in zip(samples(), reversed(samples()))]
     assert [r.text for r in apply(redactor(gated, key), texts)] == [r.text for r in apply(redactor(bare, key), texts)]
-    assert all(shipped_hint(p.name) for p in all_patterns()) and Hint
+    assert all(shipped_hint(p.name) for p in all_patterns())
 
 
 def test_dialect_helpers():

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -13,9 +14,13 @@ T0 = dt.datetime(2024, 1, 1)
 
 def replay(spark, tmp_path, batches, schema):
     """One file per micro-batch."""
-    path = tmp_path / "src"
+    path, seen = tmp_path / "src", set()
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        # The file source orders by modification time, which may only have whole seconds.
+        for part in set(path.glob("*.parquet")) - seen:
+            seen.add(part)
+            os.utime(part, (1_700_000_000 + i * 10,) * 2)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
 
 
