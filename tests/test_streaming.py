@@ -34,7 +34,7 @@ def test_blocks_split_across_batches(spark, tmp_path):
         [ev(1, 7, "stop"), ev(0, 8, "stop"), ev(2, 9, "delta", None, "orphan")],
     ]
     got = run_to_table(reassemble_stream(replay(spark, tmp_path, batches, FRAGMENTS)), "t")
-    rows = {(r.index, r.type): r for r in got.collect()}
+    rows = {(r["index"], r.type): r for r in got.collect()}
     assert rows[0, "delta"].fragment == '{"p":"C:\\\\Users\\\\anon\\\\z"}' and rows[0, "delta"].name == "Edit"
     assert rows[1, "delta"].fragment == '{"p":"C:\\\\Users\\\\anon"}'
     assert rows[9, "ping"].seq == 4 and rows[2, "delta"].fragment == "orphan"
@@ -42,7 +42,7 @@ def test_blocks_split_across_batches(spark, tmp_path):
     rules = make_rules(aliases=[("C:\\Users\\SOMEONE", "C:\\Users\\anon")], remote_prefixes=["mcp__zen__"])
     known = spark.createDataFrame([], "label string, value string")
     closed = got.where("type = 'delta' AND name IS NOT NULL")
-    real = {r.index: r.fragment for r in reverse_batch(closed, ["stream_id", "index"], rules, known, True).collect()}
+    real = {r["index"]: r.fragment for r in reverse_batch(closed, ["stream_id", "index"], rules, known, True).collect()}
     assert real == {0: '{"p":"C:\\\\Users\\\\SOMEONE\\\\z"}', 1: '{"p":"C:\\\\Users\\\\anon"}'}
 
 
