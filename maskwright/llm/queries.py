@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, records
+from . import neardup, packing, records
 
 QUERIES = {
     "op3_token_records": records.op3_token_records,
+    "op4_chosen_path": neardup.op4_chosen_path,
     "op10_concatenate_and_cut": packing.op10_concatenate_and_cut,
 }
 
