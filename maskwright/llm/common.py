@@ -129,8 +129,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a run of texts.
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a run of texts; ``space`` marks other separating bytes.
 
     Returns the 64-bit hash of each word (A-Z lower-cased), the first word of each text (n + 1
     entries), and each word's first and end byte.
@@ -139,7 +139,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     docs = len(offsets) - 1
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True  # a text's end ends its last word
     before = np.concatenate([[False], inside[:-1]])
@@ -148,7 +148,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
     p, inv = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * p[:n], out=total[1:])
+    np.cumsum(_BYTE[_LOWER[raw]] * p[:n], out=total[1:])
     hashed = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
     return hashed, np.searchsorted(start, offsets), start, end
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, records
+from . import decontaminate, langid, neardup, packing, records
 
 QUERIES = {
     "op3_token_records": records.op3_token_records,
     "op4_chosen_path": neardup.op4_chosen_path,
+    "op5_cross_parsing": langid.op5_cross_parsing,
+    "op6_templates": decontaminate.op6_templates,
     "op10_concatenate_and_cut": packing.op10_concatenate_and_cut,
 }
 
