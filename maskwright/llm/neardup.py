@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -327,6 +327,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class; of rows that repeat a doc_id one stays, rows without doc_id all stay."""
+    rows = common.stored(near_classes(docs), "near-kept")
+    out = docs.join(rows.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    if twice.isEmpty():
+        return out
+    return out.join(twice, "doc_id", "left_anti").select(*docs.columns).union(
+        out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    )
+
+
 def op4_chosen_path(spark: SparkSession, root: str) -> DataFrame:
     """Near-duplicate classes of all documents at 85 % of five-word shingles."""
     return near_classes(common.table(spark, root, "documents"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, neardup, packing, records
+import corpus_pipeline
+
+from . import decontaminate, langid, neardup, packing, records, suffixes
 
 QUERIES = {
+    "op1_sparse_suffixes": suffixes.op1_sparse_suffixes,
     "op3_token_records": records.op3_token_records,
     "op4_chosen_path": neardup.op4_chosen_path,
     "op5_cross_parsing": langid.op5_cross_parsing,
     "op6_templates": decontaminate.op6_templates,
     "op10_concatenate_and_cut": packing.op10_concatenate_and_cut,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,8 @@ A file is a run of records; a record is
 
     length   8 bytes, little-endian: bytes of the payload
     check    4 bytes: masked CRC-32 of those 8 bytes
-    payload  1 byte (1: the document has an id), 8 bytes signed id, 4 bytes for each token id
+    payload  1 byte of flags (1: the document has an id, 2: wide), 8 bytes signed id, then each
+             token id in 2 bytes, or in 4 where a document has an id of 65,536 or more (wide)
     check    4 bytes: masked CRC-32 of the payload
 
 The mask turns a CRC right by 15 bits and adds a constant, so that the check of data that
@@ -87,7 +88,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_
             rows = []
             ids = batch.column(0).to_pylist()
             for k, body in zip(ids, tokens.encoded(batch.column(1).to_pylist(), tokenizer)):
-                record = frame(struct.pack("<Bq", k is not None, k or 0) + body)
+                record = frame(payload(k, body))
                 out.write(record)
                 rows.append((name, at, len(record), k, len(body) // 4))
                 at += len(record)
@@ -126,10 +127,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 rows = []
                 with fs.open_input_stream(f"{root}/{name}", buffer_size=1 << 20) as f:
                     for at, body in unframed(f):
-                        known, k = struct.unpack_from("<Bq", body)
-                        ids = body[9:]
-                        rows.append((k if known else None, start, len(ids) // 4, zlib.crc32(ids), name, at))
-                        start += len(ids) // 4
+                        k, ids = parsed(body)
+                        rows.append((k, start, len(ids), zlib.crc32(ids.tobytes()), name, at))
+                        start += len(ids)
                         if len(rows) == 10_000:
                             yield _rows(rows)
                             rows = []
@@ -152,9 +152,17 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def token_array(body: bytes) -> np.ndarray:
-    """Token ids of a payload."""
-    return np.frombuffer(body, "<u4", offset=9)
+def payload(key: int | None, ids: bytes) -> bytes:
+    """A document's payload; ``ids`` are little-endian unsigned 32-bit integers."""
+    array = np.frombuffer(ids, "<u4")
+    wide = len(array) > 0 and int(array.max()) >= 1 << 16
+    return struct.pack("<Bq", (key is not None) + 2 * wide, key or 0) + (ids if wide else array.astype("<u2").tobytes())
+
+
+def parsed(body: bytes) -> tuple[int | None, np.ndarray]:
+    """Key and token ids (unsigned 32-bit) of a payload."""
+    flags, key = struct.unpack_from("<Bq", body)
+    return key if flags & 1 else None, np.frombuffer(body, "<u4" if flags & 2 else "<u2", offset=9).astype("<u4")
 
 
 def op3_token_records(spark: SparkSession, root: str) -> DataFrame:
