@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, neardup, packing, records, suffixes
+from . import decontaminate, langid, neardup, packing, records, sharding, suffixes, urlrank
 
 QUERIES = {
     "op1_sparse_suffixes": suffixes.op1_sparse_suffixes,
+    "op2_histogram_sort": sharding.op2_histogram_sort,
     "op3_token_records": records.op3_token_records,
     "op4_chosen_path": neardup.op4_chosen_path,
     "op5_cross_parsing": langid.op5_cross_parsing,
     "op6_templates": decontaminate.op6_templates,
+    "op7_link_graph": urlrank.op7_link_graph,
     "op10_concatenate_and_cut": packing.op10_concatenate_and_cut,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_link_graph": urlrank.SQL}
