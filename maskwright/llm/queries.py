@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, neardup, nndescent, packing, records, sharding, suffixes, urlrank
+from . import decontaminate, langid, neardup, nndescent, packing, pitmanyor, records, sharding, suffixes, urlrank
 
 QUERIES = {
     "op1_sparse_suffixes": suffixes.op1_sparse_suffixes,
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_cross_parsing": langid.op5_cross_parsing,
     "op6_templates": decontaminate.op6_templates,
     "op7_link_graph": urlrank.op7_link_graph,
+    "op8_pitman_yor": pitmanyor.op8_pitman_yor,
     "op9_nn_descent": nndescent.op9_nn_descent,
     "op10_concatenate_and_cut": packing.op10_concatenate_and_cut,
     "pipeline": corpus_pipeline.run,
