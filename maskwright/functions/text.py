@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .regexes import escape, to_java
+from .scan import count_up_to, scan
 
 
 def count_substring(text: Column, value: Column) -> Column:
@@ -23,20 +24,17 @@ def line_of(text: Column, offset: Column) -> Column:
 
 def line_starts(lines: Column) -> Column:
     """0-based offset at which each line of a split text starts."""
-    start = F.struct(F.lit(0).cast("int").alias("pos"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(
+    return scan(
         lines,
-        start,
-        lambda acc, x: F.struct(
-            (acc.pos + F.length(x) + 1).cast("int").alias("pos"), F.concat(acc.starts, F.array(acc.pos)).alias("starts")
-        ),
-        lambda acc: acc.starts,
+        F.struct(F.lit(0).cast("int").alias("pos")),
+        lambda at, x, emit: emit.one(F.struct((at["pos"] + F.length(x) + 1).cast("int").alias("pos")), at["pos"]),
+        "int",
     )
 
 
 def line_in(starts: Column, offset: Column) -> Column:
     """1-based line of an offset, given the line starts."""
-    return F.size(F.filter(starts, lambda s: s <= offset))
+    return count_up_to(starts, offset)
 
 
 def line_context(text: Column, line: Column, width: int = 200) -> Column:

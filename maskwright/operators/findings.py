@@ -9,6 +9,7 @@ from ..functions import catalog
 from ..functions.keys import LabelKey
 from ..functions.regexes import escape, folded, to_java
 from ..functions.let import let
+from ..functions.scan import pieces, scan
 from ..functions.text import count_substring, js_trim, line_in, line_starts
 from .ruleset import RuleSet
 from .spans import cut, find_hits, may_match, redact
@@ -20,29 +21,34 @@ def findings(df: DataFrame, keys: list[str], text: str, rules: RuleSet) -> DataF
     A narrow transformation: scan, gate, spans and explode run in one stage.
     """
     t = F.col(text)
+
     # Values are cut before the explode, so that no hit drags the whole text along.
-    hits = F.transform(
-        find_hits(t, rules),
-        lambda h: F.struct(
-            h.real_start.alias("start"), h.real_end.alias("end"), h.category.alias("category"),
-            cut(t, h.real_start, h.real_end).alias("value"),
-        ),
-    )
-    return df.select(*keys, F.inline(hits))
+    def valued(hits: Column) -> Column:
+        return let(
+            pieces(t, hits, "real_start", "real_end", bound=True),
+            lambda p: F.transform(
+                hits,
+                lambda h, i: F.struct(
+                    h.real_start.alias("start"), h.real_end.alias("end"), h.category.alias("category"),
+                    F.get(p["parts"], i)["value"].alias("value"),
+                ),
+            ),
+        )
+
+    return df.select(*keys, F.inline(let(find_hits(t, rules), lambda hits: F.when(F.size(hits) > 0, valued(hits)))))
 
 
 def substring_offsets(text: Column, value: str) -> Column:
     """0-based offsets of the non-overlapping occurrences of a string."""
     gaps = F.split(text, escape(value), -1)
     n = F.size(gaps)
-    ends = F.aggregate(
+    ends = scan(
         F.slice(gaps, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.struct(F.lit(0).cast("int").alias("pos"), F.array().cast("array<int>").alias("found")),
-        lambda acc, g: F.struct(
-            (acc.pos + F.length(g) + len(value)).cast("int").alias("pos"),
-            F.concat(acc.found, F.array((acc.pos + F.length(g)).cast("int"))).alias("found"),
+        F.struct(F.lit(0).cast("int").alias("pos")),
+        lambda at, g, emit: emit.one(
+            F.struct((at["pos"] + F.length(g) + len(value)).cast("int").alias("pos")), (at["pos"] + F.length(g)).cast("int")
         ),
-        lambda acc: acc.found,
+        "int",
     )
     return F.when(F.contains(text, F.lit(value)), ends).otherwise(F.array().cast("array<int>"))
 

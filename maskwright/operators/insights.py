@@ -13,14 +13,14 @@ def newest(df: DataFrame, n: int, ts: str = "ts", tie: str = "id") -> DataFrame:
     return top.withColumn("rn", F.row_number().over(W.orderBy(F.desc(ts), F.desc(tie))))
 
 
-def job_summary(jobs: DataFrame) -> DataFrame:
-    """Rolled-up view over the newest 500 runs."""
-    n = newest(jobs, 500)
+def job_summary(jobs: DataFrame, runs: int | None = None) -> DataFrame:
+    """Rolled-up view over all runs, or over the newest ``runs`` of them."""
+    n = jobs if runs is None else jobs.orderBy(F.desc("ts"), F.desc("id")).limit(runs)
     return n.agg(
         F.count(F.lit(1)).alias("runs"),
         F.max("ts").alias("last_run"),
         F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_ok"),
-        F.coalesce(F.bool_or((F.col("rn") == 1) & ~F.col("ok")), F.lit(False)).alias("last_failed"),
+        F.coalesce(~F.max_by("ok", F.struct("ts", "id")), F.lit(False)).alias("last_failed"),
         F.count_if(~F.col("ok")).alias("failures"),
         F.coalesce(F.sum("files_rewritten"), F.lit(0)).cast("bigint").alias("files_rewritten"),
     ).withColumn("never_run", F.col("runs") == 0)

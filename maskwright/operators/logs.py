@@ -28,19 +28,16 @@ def parse_line(raw: Column) -> Column:
 
 
 def search(lines: DataFrame, raw: str, order: str, level: str = "all", q: str = "", limit: int = 200) -> DataFrame:
-    """Newest matching lines of the log's tail, with the number of matches before the cut."""
-    limit = min(limit, 2000)
-    window = min(max(limit * 5, 2000), 20_000)
-    tail = lines.where(F.col(raw) != "").orderBy(F.desc(order)).limit(window)
-    parsed = tail.select(order, parse_line(F.col(raw)).alias("p")).select(order, "p.*")
+    """The newest ``limit`` matching lines of the whole log, with the number of all matches."""
+    parsed = lines.where(F.col(raw) != "").select(order, parse_line(F.col(raw)).alias("p")).select(order, "p.*")
     keep = F.lit(True)
     if level == "warn":
         keep = keep & (F.col("level") != "info")
     if q:
         keep = keep & F.contains(F.lower("text"), F.lit(q.lower()))
-    # At most ``window`` rows from here on, so a total over all of them is cheap.
-    found = parsed.where(keep).withColumn("total", F.count(F.lit(1)).over(W.partitionBy()))
-    return found.orderBy(F.desc(order)).limit(limit)
+    found = parsed.where(keep)
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy(F.desc(order)).limit(limit).withColumn("total", total.scalar())
 
 
 def recent_notices(notices: DataFrame, order: str, n: int = 3) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog
+from ..functions.regexes import to_java
 from ..functions.text import js_trim
 from .ruleset import Alias, Literal, Pattern, Rewrite, RuleSet, shipped_hint
 
@@ -15,7 +18,14 @@ LITERALS = "value string, boundary boolean"
 PATTERNS = "position bigint, name string, category string, regex string, flags string"
 ALIASES = "real string, alias string"
 REWRITES = "name string, regex string, flags string, replace string"
-MAX_RULES = 10_000
+
+class DisabledRules(ValueError):
+    """Rules that would not be loaded; ``rows`` has ``(section, name, reason)``."""
+
+    def __init__(self, rows: list[tuple[str, str, str]]):
+        super().__init__("; ".join(f"{s} {n}: {r}" for s, n, r in rows))
+        self.rows = rows
+
 
 DOCUMENT = (
     "literals array<string>, patterns array<struct<name:string,category:string,regex:string,flags:string>>, "
@@ -51,18 +61,38 @@ def read_rules(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def rule_set(tables: dict[str, DataFrame]) -> RuleSet:
-    """Validated rule tables as the frozen object (driver side, size checked)."""
+def disabled_rules(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """``(section, name, reason)`` of every pattern and rewrite that cannot be loaded."""
+    spark = tables["patterns"].sparkSession
+    out = [
+        ("patterns", p.name or "pattern", p.verdict or "does not compile")
+        for p in tables["patterns"].where("regex IS NOT NULL").withColumn("verdict", pattern_verdict(F.col("regex"))).orderBy("position").collect()
+        if p.verdict is not None or not is_compilable(spark, p.regex)
+    ]
+    return out + [
+        ("rewrites", r.name or "rewrite", "does not compile")
+        for r in tables["rewrites"].where("regex IS NOT NULL").collect() if not is_compilable(spark, r.regex)
+    ]
+
+
+def rule_set(tables: dict[str, DataFrame], accept_disabled: bool = False) -> RuleSet:
+    """Validated rule tables as the frozen object.
+
+    A rule set is configuration and lives on the driver; long lists of literals or aliases belong in a
+    table (see ``dictionary``).  Rules that cannot be loaded raise ``DisabledRules`` unless the caller
+    accepts to go on without them.
+    """
+    off = disabled_rules(tables)
+    if off and not accept_disabled:
+        raise DisabledRules(off)
+    spark = tables["patterns"].sparkSession
 
     def rows(name, df):
-        got = df.limit(MAX_RULES + 1).collect()
-        if len(got) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} {name}; match them with a join instead")
-        return got
+        return df.collect()
 
     lits = rows("literals", literal_rules(tables["literals"]))
     loaded = tables["patterns"].where("regex IS NOT NULL").withColumn("verdict", pattern_verdict(F.col("regex")))
-    pats = [p for p in rows("patterns", loaded) if p.verdict is None]
+    pats = [p for p in rows("patterns", loaded) if p.verdict is None and is_compilable(spark, p.regex)]
     settings = tables["settings"].first()
     return RuleSet(
         tuple(
@@ -74,7 +104,7 @@ def rule_set(tables: dict[str, DataFrame]) -> RuleSet:
         tuple(
             Rewrite(r.name or "rewrite", r.regex, r.flags or "g", r.replace or "")
             for r in rows("rewrites", tables["rewrites"].where("regex IS NOT NULL"))
-            if is_compilable(tables["rewrites"].sparkSession, r.regex)
+            if is_compilable(spark, r.regex)
         ),
         bool(settings.timezone),
         tuple(settings.remote_prefixes or ()),
@@ -88,13 +118,11 @@ def _known_hint(name: str | None, regex: str):
 
 
 def is_compilable(spark: SparkSession, regex: str) -> bool:
-    """Whether Java accepts the translated regex; a rewrite that fails is disabled."""
-    from ..functions.regexes import to_java
-
+    """Whether the translated regex compiles: one call to the driver's JVM, no job."""
     try:
-        spark.range(1).select(F.regexp_count(F.lit(""), F.lit(to_java(regex)))).collect()
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(to_java(regex))
         return True
-    except Exception:  # noqa: BLE001 - any failure means "not usable"
+    except (Py4JJavaError, PySparkException, ValueError):
         return False
 
 
@@ -236,6 +264,8 @@ def config_findings(patterns: DataFrame, aliases: DataFrame) -> DataFrame:
         )
 
     unsafe = disabled_patterns(patterns)
+    regexes = [r.regex for r in patterns.where("regex IS NOT NULL").select("regex").distinct().collect()]
+    broken = [r for r in regexes if not is_compilable(patterns.sparkSession, r)]
     pattern_name = F.coalesce("name", F.lit("?"))
     risk = alias_risk(F.col("alias"))
     parts = [
@@ -251,6 +281,8 @@ def config_findings(patterns: DataFrame, aliases: DataFrame) -> DataFrame:
             "warning", "aliases", F.col("alias"), F.lit("different number of path segments"),
         ),
     ]
+    if broken:
+        parts.append(found(patterns.where(F.col("regex").isin(broken)), "error", "patterns", pattern_name, F.lit("does not compile")))
     return reduce(DataFrame.unionByName, parts).select(*columns)
 
 
@@ -262,6 +294,11 @@ def masked_aliases(aliases: DataFrame) -> DataFrame:
     return aliases.select(F.lit("***").alias("real"), F.length("real").alias("real_length"), "alias")
 
 
+def _framed(field: Column) -> Column:
+    """A field that no other field can run into: its length, a colon and itself; null is ``n``."""
+    return F.coalesce(F.concat(F.length(field).cast("string"), F.lit(":"), field), F.lit("n"))
+
+
 def fingerprint(sections: dict[str, DataFrame]) -> DataFrame:
     """One SHA-256 over all rule tables, computed without gathering them.
 
@@ -273,9 +310,7 @@ def fingerprint(sections: dict[str, DataFrame]) -> DataFrame:
         DataFrame.unionByName,
         [
             df.select(
-                F.sha2(
-                    F.concat_ws("|", F.lit(name), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]), 256
-                ).alias("h")
+                F.sha2(F.concat(_framed(F.lit(name)), *[_framed(F.col(c).cast("string")) for c in df.columns]), 256).alias("h")
             )
             for name, df in sections.items()
         ],

@@ -7,13 +7,27 @@ turned into one immutable object from which column expressions are built.
 from __future__ import annotations
 
 import hashlib
-import json
 from dataclasses import dataclass, field
 
 from ..functions import catalog
 from ..functions.regexes import count_groups, folded, is_word_token, literal_source, to_java
 
 
+def row_hash(section: str, *fields) -> bytes:
+    """SHA-256 of a section's row: each field as its length in characters, a colon and itself, null as ``n``."""
+    parts = []
+    for v in (section, *fields):
+        text = None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+        parts.append("n" if text is None else f"{len(text)}:{text}")
+    return hashlib.sha256("".join(parts).encode()).digest()
+
+
+def combined_hash(hashes: list[bytes]) -> str:
+    """Row hashes added up in four lanes of 32 bits, in any order, with their number."""
+    lanes = [str(sum(int.from_bytes(h[4 * i : 4 * i + 4], "big") for h in hashes)) for i in range(4)]
+    return hashlib.sha256(":".join([str(len(hashes)), *lanes]).encode()).hexdigest()
+
+
 # Necessary conditions, any of which may hold: (needed characters, java regex).
 Hint = tuple[tuple[str, str], ...]
 
@@ -125,15 +139,16 @@ class RuleSet:
 
     @property
     def fingerprint(self) -> str:
-        """Covers exactly what decides whether a unit is clean."""
-        body = {
-            "literals": [[x.value, x.boundary] for x in self.literals],
-            "patterns": [[p.name, p.regex, p.flags] for p in self.patterns],
-            "aliases": [[a.real, a.alias] for a in self.aliases],
-            "rewrites": [[r.name, r.regex, r.flags, r.replace] for r in self.rewrites],
-            "timezone": self.timezone,
-        }
-        return hashlib.sha256(json.dumps(body, ensure_ascii=False).encode()).hexdigest()
+        """Covers exactly what decides whether a unit is clean; rows are framed and combined as in ``rules.fingerprint``.
+
+        Pattern order counts (the first alternative wins), the order of the other sections does not.
+        """
+        rows = [("literals", x.value, x.boundary) for x in self.literals]
+        rows += [("patterns", i, p.name, p.regex, p.flags) for i, p in enumerate(self.patterns)]
+        rows += [("aliases", a.real, a.alias) for a in self.aliases]
+        rows += [("rewrites", r.name, r.regex, r.flags, r.replace) for r in self.rewrites]
+        rows += [("settings", self.timezone)]
+        return combined_hash([row_hash(*r) for r in rows])
 
 
 def make_literal(value: str, boundary: bool | None = None) -> Literal | None:

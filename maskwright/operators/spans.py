@@ -18,6 +18,7 @@ from ..functions import catalog
 from ..functions.keys import LABEL_GUARD, LABEL_OVERHEAD, LabelKey, label
 from ..functions.let import let
 from ..functions.regexes import FIELD_MARK, MARK_STAND_IN, MATCH_MARK, escape, escape_class
+from ..functions.scan import pieces, scan
 from .ruleset import Bucket, Hint, RuleSet, join_hints
 
 # s = start, ne = negated end (so that natural struct order is "earliest first,
@@ -29,7 +30,6 @@ SPAN = (
     "value:string,category:string,label:string>"
 )
 REDACTED = f"struct<text:string,spans:array<{SPAN}>>"
-SHORT_TEXT = 1000
 MAP_SPAN = "struct<src_start:int,src_end:int,out_start:int,out_end:int>"
 
 
@@ -51,27 +51,26 @@ def marked_matches(
     ``fields`` is the replacement template put between the marks; ``read`` maps
     that piece to ``(match length, v)``.
     """
-    pieces = F.split(
+    marked = F.split(
         F.regexp_replace(work, regex, MATCH_MARK + fields + MATCH_MARK), MATCH_MARK, -1
     )
-    start = F.struct(_i(0).alias("pos"), F.array().cast(f"array<{element}>").alias("found"))
 
-    def step(acc, piece):
+    def step(at, piece, emit):
         n, v = read(piece.p)
-        gap = F.struct((acc.pos + F.length(piece.p)).alias("pos"), acc.found.alias("found"))
 
         def hit(size):
-            end = acc.pos + size
+            end = at["pos"] + size
             item = F.struct(
-                acc.pos.alias("s"), (-end).alias("ne"), _i(order).alias("o"), v.alias("v")
+                at["pos"].alias("s"), (-end).alias("ne"), _i(order).alias("o"), v.alias("v")
             )
-            grown = F.when(size > 0, F.concat(acc.found, F.array(item))).otherwise(acc.found)
-            return F.struct(end.alias("pos"), grown.alias("found"))
+            state = F.struct(end.alias("pos"))
+            return F.when(size > 0, emit.one(state, item)).otherwise(emit.nothing(state))
 
-        return F.when(piece.i % 2 == 0, gap).otherwise(let(n, hit))
+        gap = emit.nothing(F.struct((at["pos"] + F.length(piece.p)).alias("pos")))
+        return F.when(piece.i % 2 == 0, gap).otherwise(hit(n))
 
-    numbered = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    return F.aggregate(numbered, start, step, lambda acc: acc.found)
+    numbered = F.transform(marked, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    return scan(numbered, F.struct(_i(0).alias("pos")), step, element)
 
 
 def bucket_candidates(work: Column, bucket: Bucket, order: int) -> Column:
@@ -88,29 +87,7 @@ def bucket_candidates(work: Column, bucket: Bucket, order: int) -> Column:
         which = F.array_position(parts, F.lit(True)).cast("int")
         return F.length(piece) - _i(len(names) - 1), F.get(table, which - 1)
 
-    return marked_matches(work, live_alternation(work, bucket), fields, read, order)
-
-
-def live_alternation(work: Column, bucket: Bucket) -> Column | str:
-    """The alternation reduced, per text, to the patterns that can match it.
-
-    Dropping an alternative that matches nowhere cannot change the result, and
-    compiling a short regex is much cheaper than testing every alternative at
-    every position.
-    """
-    if len(bucket.parts) < 3 or not bucket.regex.isascii() and bucket.insensitive:
-        return bucket.regex
-    hints = const_list([".*" if h is None else "|".join(rx for _, rx in h) for _, _, h in bucket.parts])
-    parts = const_list([part for part, _, _ in bucket.parts])
-    absent = const_list([off for _, off, _ in bucket.parts])
-    chosen = F.transform(
-        hints,
-        lambda h, i: F.when(F.rlike(work, h), F.get(parts, i)).otherwise(F.get(absent, i)),
-    )
-    joined = F.array_join(chosen, "|")
-    reduced = F.concat(F.lit("(?i:"), joined, F.lit(")")) if bucket.insensitive else joined
-    # On a short text the fixed regex, compiled once, is cheaper.
-    return F.when(F.length(work) < SHORT_TEXT, F.lit(bucket.regex)).otherwise(reduced)
+    return marked_matches(work, bucket.regex, fields, read, order)
 
 
 def const_list(values: list[str]) -> Column:
@@ -159,29 +136,21 @@ def candidates(work: Column, rules: RuleSet, own_literal: Column | None = None)
 
 def clip_conflicts(found: Column) -> Column:
     """Nested candidates are dropped, crossing ones clipped to their uncovered tail."""
-    start = F.struct(
-        _i(0).alias("cursor"), _i(0).alias("delta"), F.array().cast(f"array<{HIT}>").alias("hits")
-    )
-
-    def step(acc, c):
+    def step(acc, c, emit):
         end = -c.ne
-        begin = F.greatest(c.s, acc.cursor)
+        begin = F.greatest(c.s, acc["cursor"])
         size = F.length(c.v) + _i(LABEL_OVERHEAD)
         hit = F.struct(
             begin.alias("real_start"),
             end.alias("real_end"),
-            (begin + acc.delta).alias("red_start"),
-            (begin + acc.delta + size).alias("red_end"),
+            (begin + acc["delta"]).alias("red_start"),
+            (begin + acc["delta"] + size).alias("red_end"),
             c.v.alias("category"),
         )
-        taken = F.struct(
-            end.alias("cursor"),
-            (acc.delta + size - (end - begin)).alias("delta"),
-            F.concat(acc.hits, F.array(hit)).alias("hits"),
-        )
-        return F.when(end <= acc.cursor, acc).otherwise(taken)
+        taken = F.struct(end.alias("cursor"), (acc["delta"] + size - (end - begin)).alias("delta"))
+        return F.when(end <= acc["cursor"], emit.nothing(acc)).otherwise(emit.one(taken, hit))
 
-    return F.aggregate(found, start, step, lambda acc: acc.hits)
+    return scan(found, F.struct(_i(0).alias("cursor"), _i(0).alias("delta")), step, HIT)
 
 
 def may_match(text: Column, hint: Hint | None) -> Column:
@@ -235,15 +204,15 @@ def cut(text: Column, start: Column, end: Column) -> Column:
 
 def rebuild(text: Column, items: Column, start: str, end: str, value) -> Column:
     """The text with each item replaced, joined in one go."""
-    n = F.size(items)
+    return F.when(F.size(items) == 0, text).otherwise(
+        let(pieces(text, items, start, end, bound=True), lambda p: joined(p, items, value))
+    )
 
-    def piece(item, i):
-        before = F.when(i == 0, _i(0)).otherwise(F.get(items, i - 1)[end])
-        return F.concat(cut(text, before, item[start]), value(item))
 
-    tail = F.substring(text, F.get(items, n - 1)[end] + 1, F.length(text))
-    return F.when(n == 0, text).otherwise(
-        F.concat(F.array_join(F.transform(items, piece), ""), tail)
+def joined(p: Column, items: Column, value) -> Column:
+    """Gaps and replacements of ``pieces`` in their order, and the rest."""
+    return F.concat(
+        F.array_join(F.transform(items, lambda x, i: F.concat(F.get(p["parts"], i)["gap"], value(x))), ""), p["rest"]
     )
 
 
@@ -251,23 +220,22 @@ def redact(text: Column, rules: RuleSet, key: LabelKey, own_literal: Column | No
     """``struct(text, spans)`` with every accepted span replaced by its label."""
 
     def with_values(hits):
-        def span(h):
-            value = cut(text, h.real_start, h.real_end)
+        def spanned(p):
+            def span(h, i):
+                return let(
+                    F.get(p["parts"], i)["value"],
+                    lambda v: F.struct(
+                        h.real_start, h.real_end, h.red_start, h.red_end,
+                        v.alias("value"), h.category, label(v, h.category, key).alias("label"),
+                    ),
+                )
+
             return let(
-                value,
-                lambda v: F.struct(
-                    h.real_start, h.real_end, h.red_start, h.red_end,
-                    v.alias("value"), h.category, label(v, h.category, key).alias("label"),
-                ),
+                F.transform(hits, span),
+                lambda spans: F.struct(joined(p, spans, lambda s: s.label).alias("text"), spans.alias("spans")),
             )
 
-        return let(
-            F.transform(hits, span),
-            lambda spans: F.struct(
-                rebuild(text, spans, "real_start", "real_end", lambda s: s.label).alias("text"),
-                spans.alias("spans"),
-            ),
-        )
+        return let(pieces(text, hits, "real_start", "real_end", bound=True), spanned)
 
     untouched = F.struct(text.alias("text"), F.array().cast(f"array<{SPAN}>").alias("spans"))
     if own_literal is not None:
@@ -292,37 +260,29 @@ def category_counts(spans: Column) -> Column:
 
 def drop_conflicts(found: Column) -> Column:
     """Earliest wins, then longest; anything overlapping an accepted one is dropped."""
-    start = F.struct(_i(0).alias("cursor"), F.array().cast(f"array<{CANDIDATE}>").alias("kept"))
-
-    def step(acc, c):
-        taken = F.struct((-c.ne).alias("cursor"), F.concat(acc.kept, F.array(c)).alias("kept"))
-        return F.when(c.s < acc.cursor, acc).otherwise(taken)
+    def step(acc, c, emit):
+        return F.when(c.s < acc["cursor"], emit.nothing(acc)).otherwise(emit.one(F.struct((-c.ne).alias("cursor")), c))
 
-    return F.aggregate(found, start, step, lambda acc: acc.kept)
+    return scan(found, F.struct(_i(0).alias("cursor")), step, CANDIDATE)
 
 
 def replaced(text: Column, found: Column) -> Column:
     """Apply resolved replacements: ``struct(text, count, spans)``."""
 
     def build(kept):
-        placed = F.aggregate(
+        placed = scan(
             kept,
-            F.struct(_i(0).alias("delta"), F.array().cast(f"array<{MAP_SPAN}>").alias("spans")),
-            lambda acc, c: F.struct(
-                (acc.delta + F.length(c.v) - (-c.ne - c.s)).alias("delta"),
-                F.concat(
-                    acc.spans,
-                    F.array(
-                        F.struct(
-                            c.s.alias("src_start"),
-                            (-c.ne).alias("src_end"),
-                            (c.s + acc.delta).alias("out_start"),
-                            (c.s + acc.delta + F.length(c.v)).alias("out_end"),
-                        )
-                    ),
-                ).alias("spans"),
+            F.struct(_i(0).alias("delta")),
+            lambda acc, c, emit: emit.one(
+                F.struct((acc["delta"] + F.length(c.v) - (-c.ne - c.s)).alias("delta")),
+                F.struct(
+                    c.s.alias("src_start"),
+                    (-c.ne).alias("src_end"),
+                    (c.s + acc["delta"]).alias("out_start"),
+                    (c.s + acc["delta"] + F.length(c.v)).alias("out_end"),
+                ),
             ),
-            lambda acc: acc.spans,
+            MAP_SPAN,
         )
         ends = F.transform(kept, lambda c: F.struct(c.s.alias("s"), (-c.ne).alias("e"), c.v.alias("v")))
         return F.struct(

@@ -37,11 +37,19 @@ def unexpired(vault: DataFrame, now: Column, days: int = catalog.VAULT_TTL_DAYS)
     return vault.where(F.col("last_seen") > now - F.make_dt_interval(F.lit(days)))
 
 
-def capped(vault: DataFrame, entries: int = catalog.VAULT_MAX_ENTRIES) -> DataFrame:
-    """The most recently used entries: a distributed top-k, not a global sort."""
+def capped(vault: DataFrame, entries: int) -> DataFrame:
+    """The most recently used entries: a distributed top-k, not a global sort.
+
+    What it leaves out can no longer be reversed, so the number has no default; see ``dropped``.
+    """
     return vault.orderBy(F.desc("last_seen"), "label").limit(entries)
 
 
+def dropped(vault: DataFrame, kept: DataFrame) -> DataFrame:
+    """The entries that a cap leaves out, to be reported or archived before they go."""
+    return vault.join(kept.select("label"), "label", "left_anti")
+
+
 def touched(vault: DataFrame, used: DataFrame, now: Column) -> DataFrame:
     """A read refreshes the time stamp of the labels it used."""
     reads = used.select("label").distinct().withColumn("_now", now)

@@ -226,11 +226,19 @@ def _lane(i: int) -> str:
     return f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)"
 
 
+QUOTED = {name: f"'{name}'" for name in ("literals", "patterns", "aliases")}
+
+
+def _framed(*fields: str) -> str:
+    texts = [f"CAST({f} AS VARCHAR)" for f in fields]
+    return " || ".join(f"coalesce(length({t}) || ':' || {t}, 'n')" for t in texts)
+
+
 @query(
     "rules_fingerprint",
-    f"WITH {LIT_SQL}, {PAT_SQL}, {ALI_SQL}, h AS (SELECT sha256('literals|' || value || '|' || coalesce(CAST(boundary AS VARCHAR), '~')) AS h FROM lits "
-    "UNION ALL SELECT sha256('patterns|' || position || '|' || coalesce(name, '~') || '|' || coalesce(regex, '~') || '|' || flags) FROM pats "
-    "UNION ALL SELECT sha256('aliases|' || real || '|' || alias) FROM alis) "
+    f"WITH {LIT_SQL}, {PAT_SQL}, {ALI_SQL}, h AS (SELECT sha256({_framed(QUOTED['literals'], 'value', 'boundary')}) AS h FROM lits "
+    f"UNION ALL SELECT sha256({_framed(QUOTED['patterns'], 'position', 'name', 'regex', 'flags')}) FROM pats "
+    f"UNION ALL SELECT sha256({_framed(QUOTED['aliases'], 'real', 'alias')}) FROM alis) "
     f"SELECT sha256(count(*) || ':' || {_lane(0)} || ':' || {_lane(1)} || ':' || {_lane(2)} || ':' || {_lane(3)}) AS fingerprint FROM h",
 )
 def rules_fingerprint(spark, root):

@@ -10,7 +10,7 @@ from ..operators import insights as N
 from ..operators import logs as L
 from ..operators import retention as T
 from ..operators.findings import findings
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from .base import STD_RULES, query, span_ctes
 from .notes import NOTES_SQL, notes
 
@@ -50,7 +50,7 @@ def clock(spark, root):
     "job_summary",
     f"WITH {_JOBS}, {_RANKED} SELECT CAST(count(*) AS BIGINT) AS runs, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_run, "
     "strftime(max(CASE WHEN ok THEN ts END), '%Y-%m-%d %H:%M:%S') AS last_ok, bool_or(rn = 1 AND NOT ok) AS last_failed, "
-    "CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failures, CAST(sum(files_rewritten) AS BIGINT) AS files_rewritten, count(*) = 0 AS never_run FROM r WHERE rn <= 500",
+    "CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failures, CAST(sum(files_rewritten) AS BIGINT) AS files_rewritten, count(*) = 0 AS never_run FROM r",
 )
 def job_summary(spark, root):
     fmt = "yyyy-MM-dd HH:mm:ss"
@@ -284,7 +284,7 @@ def log_parse(spark, root):
 
 @query(
     "log_search",
-    f"WITH {_LOG}, {_PARSED}, w AS (SELECT * FROM parsed ORDER BY event_id DESC LIMIT 2000), f AS (SELECT *, CAST(count(*) OVER () AS BIGINT) AS total FROM w WHERE level <> 'info' AND contains(lower(text), 'user 1')) "
+    f"WITH {_LOG}, {_PARSED}, f AS (SELECT *, CAST(count(*) OVER () AS BIGINT) AS total FROM parsed WHERE level <> 'info' AND contains(lower(text), 'user 1')) "
     "SELECT event_id, ts, level, text, total FROM f ORDER BY event_id DESC LIMIT 50",
 )
 def log_search(spark, root):
@@ -373,7 +373,7 @@ def fragments_batch(spark, root):
 
 
 def fragments(spark, root):
-    conv = spread(table(spark, root, "conversations"))
+    conv = table(spark, root, "conversations")
     n = F.ceil(F.length("text") / 7).cast("int")
     pieces = F.transform(
         F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("seq"), F.substring(F.col("text"), i * 7 + 1, F.lit(7)).alias("fragment"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread, table
+from ..sources.tables import table
 
 # {h} 32 hex digits, {H} the same in upper case, {h2}/{h4} their first digits,
 # {d8}/{d4}/{d3} decimal digits, {n} 0..299, {m} 0..12
@@ -93,7 +93,7 @@ def notes(spark: SparkSession, root: str, ts: bool = False) -> DataFrame:
     for i, template in enumerate(TEMPLATES):
         value = F.concat(*[parts[x] if var else F.lit(x) for var, x in _pieces(template)])
         text = F.when(kind == i, value) if text is None else text.when(kind == i, value)
-    orders = spread(table(spark, root, "orders").select(_KEY, *(["o_orderdate"] if ts else [])))
+    orders = table(spark, root, "orders").select(_KEY, *(["o_orderdate"] if ts else []))
     extra = [F.col("o_orderdate").alias("ts")] if ts else []
     return orders.select(F.col(_KEY).alias("unit"), text.alias("text"), *extra)
 
@@ -113,9 +113,9 @@ NOTES_SQL = f"notes AS (SELECT {_KEY} AS unit, {_sql_text()} AS text, o_orderdat
 
 def all_text(spark: SparkSession, root: str) -> DataFrame:
     """Notes, documents and pages as one set of units ``(src, unit, text)``."""
-    docs = spread(table(spark, root, "documents").select(
+    docs = (table(spark, root, "documents").select(
         F.lit("documents").alias("src"), F.col("doc_id").alias("unit"), "text"))
-    pages = spread(table(spark, root, "pages").select(
+    pages = (table(spark, root, "pages").select(
         F.lit("pages").alias("src"), F.col("page_id").alias("unit"), F.col("html").alias("text")))
     made = notes(spark, root).select(F.lit("notes").alias("src"), "unit", "text")
     return docs.unionByName(pages).unionByName(made)

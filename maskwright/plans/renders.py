@@ -12,7 +12,7 @@ from ..operators.normalize import blank_offsets, dates_to_utc, normalize, normal
 from ..operators.render import map_to_source, render
 from ..operators.ruleset import default_rewrites, make_rules, pattern_named
 from ..operators.spans import redact
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from .base import (
     STD_LITERAL, STD_PATTERNS, STD_RULES, hmac_sql, label_sql, query, quoted, redacted_ctes, span_ctes,
     test_key,
@@ -185,7 +185,7 @@ PAGES_RULES = make_rules([EMAIL, pattern_named("credit-card")])
     "SELECT page_id, url, out AS html FROM redacted JOIN pages USING (page_id)",
 )
 def field_selective(spark, root):
-    pages = spread(table(spark, root, "pages"))
+    pages = table(spark, root, "pages")
     return transform_columns(pages, ["html"], lambda t: redact(t, PAGES_RULES, test_key()).text)
 
 

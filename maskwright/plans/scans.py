@@ -11,7 +11,7 @@ from ..operators.nested import distinct_first, run_statistics
 from ..operators.render import render
 from ..operators.ruleset import make_rules, pattern_named, optional_patterns
 from ..operators.spans import candidates, category_counts, gate, redact, working_copy
-from ..sources.tables import spread, table, text_units
+from ..sources.tables import table, text_units
 from .base import SECRET_HEX, STD_RULES, label_sql, quoted, redacted_ctes, span_ctes, query, test_key
 
 EMAIL = pattern_named("email")

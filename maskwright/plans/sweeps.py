@@ -12,7 +12,7 @@ from ..operators.nested import json_skeleton
 from ..operators.ruleset import RuleSet, make_rules
 from ..operators.spans import redact
 from ..sources import files as I
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from .base import STD_RULES, label_sql, query, quoted, redacted_ctes, span_ctes, test_key
 from .configs import ALI_SQL, KEPT_SQL, RISK, aliases, literals
 from .notes import NOTES_SQL, notes
@@ -60,11 +60,12 @@ def inventory(spark, root):
 
 @query(
     "size_capped_source",
-    f"WITH {_INV} SELECT path, length FROM inv WHERE length < {catalog.REPORT_MAX_BYTES} AND NOT regexp_matches(path, '/(\\.git|node_modules|\\.playwright-mcp)/') "
+    f"WITH {_INV} SELECT path, length, CASE WHEN length < {catalog.REPORT_MAX_BYTES} THEN 'read' ELSE 'too_large' END AS state FROM inv WHERE NOT regexp_matches(path, '/(\\.git|node_modules|\\.playwright-mcp)/') "
     "AND NOT starts_with(path, '/state/') AND lower(path) NOT LIKE '%.png' AND lower(path) NOT LIKE '%.ico'",
 )
 def size_capped_source(spark, root):
-    return I.within_limits(inventory(spark, root), exclude=["/state/"]).select("path", "length")
+    limited = I.within_limits(inventory(spark, root), catalog.REPORT_MAX_BYTES, exclude=["/state/"])
+    return limited.select("path", "length", "state")
 
 
 @query(
@@ -118,7 +119,7 @@ def json_documents(spark, root):
         .when(F.col("o_orderkey") % 3 == 1, F.lit('{\n  "m": "a@b.example"\n}\n'))
         .otherwise(F.lit("{not json a@b.example"))
     )
-    units = spread(table(spark, root, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("unit"), raw.alias("raw"))
+    units = table(spark, root, "orders").select("o_orderkey").select(F.col("o_orderkey").alias("unit"), raw.alias("raw"))
     done = units.select("unit", "raw", S.rewritten(F.col("raw"), F.lit("json"), EMAIL_RULES, test_key()).alias("r"))
     return done.select(
         "unit", "r.text", I.is_compact(F.col("raw")).alias("compact"), F.col("r.lines_changed").cast("bigint").alias("lines_changed")
@@ -348,7 +349,7 @@ def job_record(spark, root):
 # Conversation lines, and a damaged copy: strings change, a number changes, lines
 # break, a conversation loses its last line, one is missing, one grows.
 _BEFORE = (
-    "CASE WHEN (conv_id + turn) % 11 = 10 THEN 'not json ' || turn ELSE '{\"role\": \"' || role || '\", \"n\": ' || turn || ', \"t\": \"' || replace(replace(left(text, 40), chr(10), ' '), '\"', '') || '\"}' END"
+    "CASE WHEN (conv_id + turn) % 11 = 10 THEN 'not json ' || turn ELSE '{\"role\": \"' || role || '\", \"n\": ' || turn || ', \"t\": \"' || replace(replace(text, chr(10), ' '), '\"', '') || '\"}' END"
 )
 _AFTER = (
     "CASE WHEN (conv_id + turn) % 11 = 10 THEN CASE WHEN conv_id % 4 = 0 THEN line || '!' ELSE line END WHEN (conv_id + turn) % 11 = 1 THEN replace(line, '\"n\": ', '\"n\": 1') "
@@ -368,7 +369,7 @@ _VERIFY = (
 
 
 def before_after(spark, root):
-    conv = spread(table(spark, root, "conversations"))
+    conv = table(spark, root, "conversations")
     b = conv.select(
         F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line_no"), "conv_id", "turn",
         F.expr(_BEFORE.replace("chr(10)", "char(10)")).alias("line"),
@@ -476,7 +477,7 @@ _LEAKS = (
 
 def audit_literals(spark, root):
     kept = C.literal_rules(literals(spark, root))
-    return spread(kept.groupBy("value").agg(F.bool_or("boundary").alias("boundary")))
+    return (kept.groupBy("value").agg(F.bool_or("boundary").alias("boundary")))
 
 
 @query("literal_leak_audit", f"WITH {_AUDIT_LITS}, {_LEAKS} SELECT value, shape, leak FROM bad")

@@ -7,6 +7,17 @@ import os
 from pyspark.sql import SparkSession
 
 
+#: Span expressions nest lambdas; the analyzer resolves one level in each iteration.
+ANALYZER_ITERATIONS = 400
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let a session of any origin analyze the library's expressions."""
+    if int(spark.conf.get("spark.sql.analyzer.maxIterations")) < ANALYZER_ITERATIONS:
+        spark.conf.set("spark.sql.analyzer.maxIterations", ANALYZER_ITERATIONS)
+    return spark
+
+
 def local_session(app: str = "maskwright", cores: int | None = None) -> SparkSession:
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (
@@ -21,4 +32,4 @@ def local_session(app: str = "maskwright", cores: int | None = None) -> SparkSes
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)

@@ -41,11 +41,17 @@ def first_target_wins(parts: list[tuple[str, DataFrame]], key: str = "path") ->
 
 
 def within_limits(
-    files: DataFrame, max_bytes: int = catalog.REPORT_MAX_BYTES, exclude: list[str] = (),
+    files: DataFrame, max_bytes: int | None = None, exclude: list[str] = (),
     skip_dirs: list[str] = tuple(catalog.SKIPPED_DIRS),
 ) -> DataFrame:
-    """Size cap, skipped directories and excluded prefixes (state, own report)."""
-    keep = (F.col("length") < max_bytes) & is_text_path(F.col("path"), catalog.REPORT_EXTRA_EXTENSIONS)
+    """Skipped directories and excluded prefixes (state, own report); no file is dropped for its size.
+
+    With ``max_bytes`` larger files stay in the result with ``state`` ``too_large``; read them line by
+    line with ``jsonl_source`` or ``text_lines``.
+    """
+    keep = is_text_path(F.col("path"), catalog.REPORT_EXTRA_EXTENSIONS)
+    large = F.lit(False) if max_bytes is None else F.coalesce(F.col("length") >= max_bytes, F.lit(False))
+    files = files.withColumn("state", F.when(large, "too_large").otherwise("read"))
     if skip_dirs:
         keep = keep & ~F.rlike("path", F.lit("(?:^|/)(?:" + "|".join(escape(d) for d in skip_dirs) + ")(?:/|$)"))
     for prefix in exclude:

@@ -1,4 +1,4 @@
-"""Columnar tables and the balance of work over them."""
+"""Columnar tables and stored intermediates."""
 
 from __future__ import annotations
 
@@ -9,39 +9,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
+from ..session import prepare
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan of a few files before CPU-heavy text work.
-
-    A large table has far more splits than cores and is left alone; a handful of
-    small files would otherwise run on as many tasks as there are row groups.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if len(df.inputFiles()) < cores else df
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
 def text_units(spark: SparkSession, root: str, name: str, key: str, text: str, *extra: str) -> DataFrame:
     """A table as text units: ``unit`` (its key), ``text`` and the extra columns."""
-    return spread(
-        table(spark, root, name).select(F.col(key).alias("unit"), F.col(text).alias("text"), *extra)
-    )
+    return table(spark, root, name).select(F.col(key).alias("unit"), F.col(text).alias("text"), *extra)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast only after checking the row count; otherwise leave it to the planner."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+_LOCAL: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder."""
+    """A fresh folder below the store that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a local session may go without; one temporary folder then serves the whole session.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only a local session has none
-        base = tempfile.mkdtemp(prefix="maskwright-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault("base", tempfile.mkdtemp(prefix="maskwright-"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

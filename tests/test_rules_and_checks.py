@@ -1,12 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import catalog
 from maskwright.functions.keys import attach_key, detach_key, key_frame, label, LabelKey, subkey
 from maskwright.operators import rules as C
 from maskwright.operators import verify as Q
-from maskwright.operators.ruleset import all_patterns, default_rewrites, make_rules
+from maskwright.operators.ruleset import all_patterns, default_rewrites, make_rules, row_hash
 
 DOC = {
     "literals": ["Jane Q. Testerson", "ab", {"value": "PHONE1234567", "boundary": False}, "Your Full Name"],
@@ -24,7 +25,11 @@ DOC = {
 def test_rules_document(spark, tmp_path):
     path = tmp_path / "rules.json"
     path.write_text(json.dumps(DOC, indent=2))
-    rs = C.rule_set(C.read_rules(spark, str(path)))
+    tables = C.read_rules(spark, str(path))
+    with pytest.raises(C.DisabledRules) as caught:
+        C.rule_set(tables)
+    assert [(s, n) for s, n, _ in caught.value.rows] == [("patterns", "bad"), ("rewrites", "broken")]
+    rs = C.rule_set(tables, accept_disabled=True)
     assert {(x.value, x.boundary) for x in rs.literals} == {("Jane Q. Testerson", False), ("PHONE1234567", False)}
     assert [p.name for p in rs.patterns] == ["email", "ip"] and rs.patterns[0].hint and rs.patterns[1].hint is None
     assert [a.real for a in rs.aliases] == ["C:\\Users\\SOMEONE"]
@@ -33,6 +38,26 @@ def test_rules_document(spark, tmp_path):
     assert rs.fingerprint != make_rules(all_patterns()).fingerprint
 
 
+def test_uncompilable_patterns_are_reported(spark):
+    cols = "position bigint, name string, category string, regex string, flags string"
+    patterns = spark.createDataFrame([(0, "order", None, "[A-Z]+-[0-9]{6}", "g"), (1, "open", None, "(unclosed", "g"), (2, "ok", None, "x1", "g")], cols)
+    aliases = spark.createDataFrame([], "real string, alias string")
+    found = {(r.severity, r.name): r.message for r in C.config_findings(patterns, aliases).collect()}
+    assert found["error", "open"] == "does not compile" and ("error", "ok") not in found
+    assert found["error", "order"] == "starts with an unbounded repeat"
+
+
+def test_fingerprints_do_not_collide(spark):
+    def of(*rows):
+        return C.fingerprint({"patterns": spark.createDataFrame(list(rows), "name string, regex string")}).first().fingerprint
+
+    prints = [of(("a|b", "c")), of(("a", "b|c")), of((None, "c")), of(("~", "c")), of(("n", "c")), of(("1:n", "c"))]
+    assert len(set(prints)) == len(prints)
+    one, other = make_rules(literals=["abcd|efgh"]), make_rules(literals=["abcd", "efgh"])
+    assert one.fingerprint != other.fingerprint
+    assert row_hash("x", None) != row_hash("x", "n") and row_hash("x", "ab", "c") != row_hash("x", "a", "bc")
+
+
 def test_shipped_patterns_pass_the_lint(spark):
     df = spark.createDataFrame([(p.name, p.regex) for p in all_patterns()], "name string, regex string")
     assert C.disabled_patterns(df).count() == 0

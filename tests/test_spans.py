@@ -160,3 +160,23 @@ def test_dialect_helpers():
     assert js_template("a$2b$12", 1) == "ab$1\\2"
     assert js_template("c:\\x", 0) == "c:\\\\x"
     assert to_java(r"a\sb").startswith("a[\\t") and to_java(r"[^\s:]").endswith("x{feff}:]")
+
+
+def test_time_grows_with_the_text(spark):
+    """40,000 hits in one text, and twice as many in about twice the time."""
+    import time
+
+    from maskwright.operators.findings import findings
+    from maskwright.operators.ruleset import make_rules, pattern_named
+    from pyspark.sql import functions as F
+
+    rules = make_rules([pattern_named("email")])
+    took = {}
+    for n in (2_000, 40_000, 80_000):
+        df = spark.range(1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("mail u"), i.cast("string"), F.lit("@x.example.org now"))), "\n").alias("text"))
+        df = spark.createDataFrame([(0, df.first().text)], "id int, text string")
+        started = time.perf_counter()
+        rows = findings(df, ["id"], "text", rules).agg(F.count("*").alias("n"), F.max("end").alias("e")).first()
+        took[n] = time.perf_counter() - started
+        assert rows.n == n
+    assert took[40_000] < 20 and took[80_000] < 3 * took[40_000] + 2
