@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: A dictionary of at most so many rows is replicated; the number is checked, not believed.
+REPLICATED_ROWS = 100_000
 
 
-def lookup(
-    left: DataFrame, right: DataFrame, key: str, spread_by: Column | None = None,
-    bounded: bool = False, salts: int = SALTS,
-) -> DataFrame:
+def is_small(right: DataFrame, rows: int = REPLICATED_ROWS) -> bool:
+    """Whether a dictionary has at most ``rows`` rows; reads no more than one row beyond."""
+    return right.limit(rows + 1).count() <= rows
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, bounded: bool = False) -> DataFrame:
     """Left join to a dictionary with one row per key.
 
-    A dictionary of bounded size (a capped vault, a rule table) is broadcast.
-    Otherwise the key is salted: the rows of a hot key go to ``salts`` tasks and
-    the dictionary is repeated that often.
+    ``left`` should hold distinct (unit, key) pairs.  A hot key's rows are split by the session's
+    adaptive skew join, because the other side has one row for it; nothing is repeated in advance.
+    With ``bounded`` the dictionary is broadcast if its size, which is checked, allows it.
     """
-    if bounded:
+    if bounded and is_small(right):
         return left.join(F.broadcast(right), key, "left")
-    salt = F.pmod(F.xxhash64(spread_by if spread_by is not None else F.struct(*left.columns)), F.lit(salts))
-    salted = left.withColumn("_salt", salt.cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    return left.join(right, key, "left")

@@ -9,7 +9,7 @@ from ..functions import catalog
 from ..functions.keys import LABEL_RESOLVE, LabelKey, labels_in
 from ..functions.let import let
 from ..functions.regexes import MATCH_MARK
-from .joins import lookup
+from .joins import is_small, lookup
 from .nested import deep_transform
 from .render import map_to_source, render
 from .ruleset import RuleSet
@@ -52,11 +52,11 @@ def rehydrate(text: Column, spans: Column) -> Column:
 def with_values(df: DataFrame, keys: list[str], texts: Column, known: DataFrame, bounded: bool) -> DataFrame:
     """Add ``_values``, a map with the dictionary entries a unit's labels need.
 
-    A bounded dictionary (a capped vault) becomes one constant map: no join and
-    no second look at ``df``.  An unbounded one is joined; ``df`` is then used
-    twice and should be a stored table.
+    A bounded dictionary (a capped vault), if its checked size allows, becomes one
+    constant map: no join and no second look at ``df``.  Any other is joined; ``df``
+    is then used twice and should be a stored table.
     """
-    if bounded:
+    if bounded and is_small(known):
         pairs = known.agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("m"))
         return df.withColumn("_values", pairs.scalar())
     return df.join(unit_values(df, keys, texts, known), keys, "left")
@@ -68,7 +68,7 @@ def unit_values(df: DataFrame, keys: list[str], texts: Column, known: DataFrame)
     Each unit's map is bounded by the labels in its own text.
     """
     wanted = df.select(*keys, F.explode(F.array_distinct(labels_in(texts))).alias("label"))
-    found = lookup(wanted, known.select("label", "value"), "label", F.struct(*keys))
+    found = lookup(wanted, known.select("label", "value"), "label")
     return (
         found.where(F.col("value").isNotNull())
         .groupBy(*keys)
@@ -114,7 +114,7 @@ def resolve_deep(df: DataFrame, keys: list[str], column: str, known: DataFrame,
 def label_sources(df: DataFrame, text: str, known: DataFrame, bounded: bool = False) -> DataFrame:
     """Occurrences of labels per lookup outcome: cacheHit, literalDerived, unresolved."""
     used = df.select(F.explode(labels_in(F.col(text))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup(used, known.select("label", "source"), "label", F.col("label"), bounded, salts=1)
+    joined = lookup(used, known.select("label", "source"), "label", bounded)
     return joined.groupBy(F.coalesce("source", F.lit("unresolved")).alias("source")).agg(F.sum("n").alias("n"))
 
 

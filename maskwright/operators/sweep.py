@@ -207,10 +207,19 @@ def job_record(results: DataFrame, run_id: str, ts: Column, trigger: str, verify
     )
 
 
-def append_job(record: DataFrame, path: str, warn=print) -> bool:
+def unparsed(written: DataFrame) -> DataFrame:
+    """``path, format`` of rewritten JSON documents and JSON-lines files that no longer parse as such."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    bad = F.when(F.col("format") == "json", F.try_parse_json("text").isNull()).when(
+        F.col("format") == "jsonl", F.exists(lines, lambda x: F.startswith(F.ltrim(x), F.lit("{")) & F.try_parse_json(x).isNull())
+    )
+    return written.where(F.coalesce(bad, F.lit(False))).select("path", "format")
+
+
+def append_job(record: DataFrame, path: str, warn=print, mode: str = "append") -> bool:
     """Losing a log line is a smaller problem than failing the pass."""
     try:
-        record.coalesce(1).write.mode("append").json(path)
+        record.coalesce(1).write.mode(mode).json(path)
         return True
     except Exception as e:  # noqa: BLE001
         warn(f"job record not written: {e}")

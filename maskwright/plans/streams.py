@@ -8,8 +8,8 @@ from ..operators import logs as L
 from ..operators.ruleset import make_rules
 
 from ..sources.tables import table, work_dir
-from ..streaming.jobs import run_batches, run_to_table, sweep_stream
-from ..streaming.redaction import fail_closed, latest_version, render_stream, vault_upsert
+from ..streaming.jobs import run_batches, run_to_table, run_updates, sweep_stream
+from ..streaming.redaction import current_vault, fail_closed, render_stream, vault_upsert
 from ..streaming.stateful import alert_stream, latch_stream, reassemble_stream
 from ..streaming.windows import windowed_counts
 from .base import ORACLES, STD_RULES, query, redacted_ctes, test_key
@@ -22,20 +22,25 @@ EMAIL_RULES = make_rules([EMAIL])
 
 def stream(spark, root, name):
     schema = table(spark, root, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.option("maxBytesPerTrigger", BATCH_BYTES).parquet(root)
 
 
-def write_notes(spark, root, purpose, files=3):
+#: A micro-batch takes files up to so many bytes (one at least).
+BATCH_BYTES = str(4 << 30)
+
+
+def write_notes(spark, root, purpose):
     """The notes as files, so that they can be replayed in several micro-batches."""
     path = work_dir(spark, purpose)
     made = notes(spark, root, ts=True).withColumn("ts", F.col("ts").cast("timestamp"))
-    made.repartition(files).write.parquet(path)
-    return spark.readStream.schema("unit bigint, text string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    made.write.option("maxRecordsPerFile", 50_000).parquet(path)
+    return spark.readStream.schema("unit bigint, text string, ts timestamp").option("maxFilesPerTrigger", 4).parquet(path)
 
 
 @query("stream_redaction", f"WITH {redacted_ctes('documents', 'doc_id')} SELECT doc_id, out AS text FROM redacted")
 def stream_redaction(spark, root):
-    docs = stream(spark, root, "documents").select("doc_id", "text").repartition(16)
+    docs = stream(spark, root, "documents").select("doc_id", "text")
     return run_to_table(render_stream(docs, "text", STD_RULES, test_key()), "redaction")
 
 
@@ -103,19 +108,20 @@ def stream_vault(spark, root):
     base = work_dir(spark, "vault")
     units = write_notes(spark, root, "vault-notes")
     run_batches(units, vault_upsert("text", "ts", STD_RULES, test_key(), f"{base}/vault"), f"{base}/checkpoint")
-    v = latest_version(spark, f"{base}/vault")
+    v = current_vault(spark, f"{base}/vault")
     return v.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
     "stream_windowed_counts",
-    "WITH h AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS w, event_type AS category FROM events), m AS (SELECT max(ts) AS t FROM events) "
-    "SELECT strftime(w, '%Y-%m-%d %H') AS start, category, CAST(count(*) AS BIGINT) AS n FROM h WHERE w + INTERVAL 6 HOUR <= (SELECT t FROM m) - INTERVAL 10 MINUTE GROUP BY ALL",
+    "WITH h AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS w, event_type AS category FROM events) "
+    "SELECT strftime(w, '%Y-%m-%d %H') AS start, category, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY ALL",
 )
 def stream_windowed_counts(spark, root):
-    """Append mode emits the windows that the watermark has closed."""
+    """Every change of a window is written, so the last windows are there before the watermark closes them."""
     events = stream(spark, root, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"))
-    done = run_to_table(windowed_counts(events, "ts", "6 hours"), "windows")
+    changes = run_updates(windowed_counts(events, "ts", "6 hours"), "windows")
+    done = changes.groupBy("window", "category").agg(F.max("n").alias("n"))  # a count only grows
     return done.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("start"), "category", "n")
 
 
@@ -125,7 +131,7 @@ def stream_windowed_counts(spark, root):
 )
 def stream_sweep(spark, root):
     base = work_dir(spark, "sweep")
-    units = stream(spark, root, "documents").repartition(16).select(
+    units = stream(spark, root, "documents").select(
         F.col("doc_id").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modification_time"),
         F.length("text").cast("bigint").alias("length"), F.lit("text").alias("format"), F.col("text").alias("raw"),
     )

@@ -36,32 +36,26 @@ def fail_closed(body: str, rules: RuleSet, key: LabelKey, out: str, passed: str)
     return write
 
 
-def vault_upsert(
-    text: str, ts: str, rules: RuleSet, key: LabelKey, path: str, first: DataFrame | None = None
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer that merges each batch's spans into a vault.
+def vault_upsert(text: str, ts: str, rules: RuleSet, key: LabelKey, path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer that appends each batch's entries to a vault.
 
-    Every batch writes a new version from the one before it; a retried batch
-    rewrites its own version from the same predecessor.
+    A batch writes its own folder only, one row for each of its labels, and a retried
+    batch overwrites that folder; the vault so far is never read or written again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        entries = vault_entries(batch, text, ts, rules, key)
-        if batch_id > 0:
-            merged = merge(spark.read.parquet(f"{path}/version={batch_id - 1}"), entries)
-        else:
-            merged = build(entries) if first is None else merge(first, entries)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        build(vault_entries(batch, text, ts, rules, key)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def latest_version(spark, path: str) -> DataFrame:
-    """The newest committed version of a versioned table."""
-    versions = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-        .load(path).select(F.regexp_extract("path", r"version=(\d+)/", 1).cast("int").alias("v"))
-    )
-    newest = versions.agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{path}/version={newest}")
+def current_vault(spark, path: str, first: DataFrame | None = None) -> DataFrame:
+    """The vault as of now: the newest use of each label over all batches and ``first``."""
+    entries = spark.read.parquet(path).drop("batch")
+    return build(entries) if first is None else merge(first, entries)
+
+
+def compact_vault(spark, path: str, into: str) -> DataFrame:
+    """Write the vault as one table elsewhere, to be the ``first`` of later batches."""
+    current_vault(spark, path).write.parquet(into)
+    return spark.read.parquet(into)
