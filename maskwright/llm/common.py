@@ -30,9 +30,14 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once, read back: cuts lineage, and a lost executor costs a re-read only."""
+def stored(df: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
+    """Write once, read back: cuts lineage, and a lost executor costs a re-read only.
+
+    With ``rows``, about how many light rows there are, the last stage has only as many tasks as these need.
+    """
     path = shared_path(df.sparkSession, purpose)
+    if rows is not None:
+        df = df.coalesce(tasks_for(rows, df))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -182,7 +187,12 @@ def grams(hashed: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, purpose: str = "components", rounds: int = 64) -> DataFrame:
+def tasks_for(rows: int, df: DataFrame, each: int = 50_000) -> int:
+    """Tasks for light rows: one for each ``each`` of them, at most the session's shuffle partitions."""
+    return max(1, min(parts(df), -(-rows // each)))
+
+
+def components(edges: DataFrame, purpose: str = "components", rows: int | None = None, rounds: int = 64) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(id, component)``, the component being its smallest id.
 
     Alternates large-star and small-star steps; each round is written to the shared store.
@@ -200,17 +210,21 @@ def components(edges: DataFrame, purpose: str = "components", rounds: int = 64)
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def state(e: DataFrame):
+        """Edges, and nodes that are not yet simply a component's root or a child of it."""
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(
+            e.select("b", F.lit(0), F.lit(1))
+        )
+        nodes = ends.groupBy("v").agg(F.sum("child").alias("child"), F.sum("root").alias("root"))
+        open_node = (F.col("child") > 1) | ((F.col("child") > 0) & (F.col("root") > 0))
+        return nodes.agg(F.coalesce(F.sum("child"), F.lit(0)).alias("edges"), F.count_if(open_node).alias("open")).first()
 
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose)
-    sign = mark(now)
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose, rows)
     for _ in range(rounds):
-        now = stored(star(star(now, True), False), purpose)
-        new = mark(now)
-        if new == sign:
+        at = state(now)
+        if not at.open:
             break
-        sign = new
+        now = stored(star(star(now, True), False), purpose, at.edges)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -8,16 +8,15 @@ are linked when 100 * intersection >= percent * union; classes are the connected
    sets become one representative, its smallest doc_id, so exact copies never meet again.
 2. Each tree starts with one minwise token.  A node of more than ``LEAF`` documents branches: it
    selects ``BRANCH`` further coordinates by its path, and each document goes to the child of its
-   own minwise token there.  Trees are independent, so a pair at the threshold is missed by all
-   roots with probability (1 - 0.85) ** TREES, below 1e-8.
-3. Small nodes are compared exhaustively on signatures.  A node that ``DEPTH`` branchings do not
-   split holds documents that are alike almost throughout; it keeps chains of signature pairs now
-   and is completed in step 5.
-4. Candidate pairs form clusters.  Full sets are compared exactly, block against block, all pairs
+   own minwise token there.  Independent trees are repeated to the target recall.
+3. Small nodes are compared exhaustively on signatures and give a spanning forest of the pairs that
+   may be linked.  A node that keeps ``DENSE`` of its documents through a branching, or ``DEPTH``
+   branchings, holds documents that are alike almost throughout; it is tied together as a whole.
+4. Forests join into clusters.  In a cluster full sets are compared exactly, block by block, all pairs
    inside a task; a task returns a spanning forest of its links, never all pairs.
-5. What chains leave open is compared exactly too: candidate pairs across blocks, and in unsplit
-   nodes every document outside the node's main class against all documents of the node.  Pairs
-   inside one class need no comparison, because a further link would not change the class.
+5. In clusters of several blocks what is open is compared exactly too: each small node that still has
+   several classes as a whole, and in dense nodes every document outside the main class against all.
+   Pairs inside one class need no comparison, because a further link would not change the class.
 
 Defined cases: null doc_id gives component_id null and kept true; a null or empty text is its own
 class; repeated rows are copies of one another; extra columns are ignored; an empty table gives an
@@ -38,10 +37,13 @@ from . import common
 SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
-TREES = 10
+#: A pair at the threshold stays together in a tree with probability 0.78 at least (0.85 at the root, 0.98 at
+#: each of DEPTH branchings), so seven trees miss one in 30,000.
+TREES = 7
 BRANCH = 2
 DEPTH = 4
 LEAF = 64
+DENSE = 0.7
 #: Signature similarity of a candidate: 0.85 less four standard deviations at 64 coordinates.
 NEAR = 0.66
 BLOCK = 256
@@ -103,32 +105,56 @@ def sketches(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- trees
 
 
-def tree_nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes and unsplit large ones, both ``path, rep, sig``; documents alone in a node are gone."""
-    level = reps.select("rep", "sig", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "value")).select(
-        "rep", "sig", F.xxhash64("tree", "value").alias("path")
-    )
+def tree_nodes(reps: DataFrame, count: int) -> tuple[DataFrame, DataFrame | None]:
+    """Small nodes and dense large ones, both ``path, rep, sig``; documents alone in a node are gone.
+
+    Signatures are joined to the documents that have company only.
+    """
+    roots = reps.select("rep", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "value")).select("rep", F.xxhash64("tree", "value").alias("path"))
+    sizes = roots.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+    level = roots.join(sizes, "path").join(reps.hint("merge"), "rep").select("path", "rep", "sig", "size", F.lit(0).cast("long").alias("above"))
     leaves: DataFrame | None = None
+    dense: DataFrame | None = None
+    rows = count * TREES
+    kept = (F.col("size") >= DENSE * F.col("above")) & (F.col("above") > 0)
     for depth in range(DEPTH + 1):
-        light = level.select("path", "rep")
-        sizes = light.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        sized = common.stored(level.join(sizes, "path"), "near-nodes")
+        sized = common.stored(level, "near-nodes", rows)
         small = sized.where(F.col("size") <= LEAF).select("path", "rep", "sig")
         leaves = small if leaves is None else leaves.union(small)
-        large = sized.where(F.col("size") > LEAF).select("path", "rep", "sig")
-        if large.isEmpty():
-            return leaves, None
-        if depth == DEPTH:
-            return leaves, large
-        at = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int") for b in range(BRANCH)]
-        level = large.select(
-            "rep", "sig", F.explode(F.array_distinct(F.array(*[F.xxhash64("path", a, F.element_at("sig", a + 1)) for a in at]))).alias("path")
+        large = sized.where(F.col("size") > LEAF)
+        full = large.where(kept if depth < DEPTH else F.lit(True)).select("path", "rep", "sig")
+        dense = full if dense is None else dense.union(full)
+        at = large.agg(F.count("*").alias("all"), F.count_if(~kept).alias("open")).first()
+        some = at.all > 0 if depth == 0 else some or at.all > 0
+        if depth == DEPTH or not at.open:
+            return leaves, dense if some else None
+        rows = at.open * BRANCH
+        spots = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int") for b in range(BRANCH)]
+        children = large.where(~kept).select(
+            "rep", "sig", F.explode(F.array_distinct(F.array(*[F.xxhash64("path", c, F.element_at("sig", c + 1)) for c in spots]))).alias("path"),
+            F.col("size").alias("above"),
         )
-    return leaves, None
+        sizes = children.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        level = children.join(sizes, "path").select("path", "rep", "sig", "size", "above")
+    return leaves, dense
+
+
+def forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row that each of ``size`` rows reaches over the pairs ``a, b``."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _alike(nodes: DataFrame, n: int) -> DataFrame:
-    """Pairs ``a, b`` at most ``LEAF`` apart in a node whose signatures agree enough."""
+    """Edges ``a, b`` that tie together what is alike by signature and at most ``LEAF`` apart in a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -140,36 +166,28 @@ def _alike(nodes: DataFrame, n: int) -> DataFrame:
             fresh = 0 if held is None else held.num_rows
             path, rep = rows["path"].to_numpy(), rows["rep"].to_numpy()
             sig = rows["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
-            out_a, out_b = [], []
+            out = []
             for lag in range(1, LEAF):
                 i = np.arange(max(0, fresh - lag), len(path) - lag)
                 i = i[path[i] == path[i + lag]]
                 if not len(i):
                     break
-                same = (sig[i] == sig[i + lag]).sum(axis=1) >= NEAR * COORDINATES
-                out_a.append(rep[i[same]])
-                out_b.append(rep[i[same] + lag])
-            if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                i = i[(sig[i] == sig[i + lag]).sum(axis=1) >= NEAR * COORDINATES]
+                out.append(np.stack([i, i + lag]))
+            if out:
+                root = forest(len(path), *np.concatenate(out, axis=1))
+                tied = rep[root] != rep
+                pairs = np.unique(np.stack([rep[root][tied], rep[tied]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            last = max(len(path) - LEAF, int(np.searchsorted(-(path != path[-1]).astype(int), 0)))
-            held = rows.slice(last)
+            held = rows.slice(max(len(path) - LEAF, int(np.argmax(path == path[-1]))))
 
-    return nodes.repartition(n, "path").sortWithinPartitions("path", "sig").mapInArrow(run, "a long, b long").distinct()
+    return nodes.repartition(n, "path").sortWithinPartitions("path", "sig").mapInArrow(run, "a long, b long")
 
 
-def _chains(large: DataFrame, n: int) -> DataFrame:
-    """Signature pairs in nodes of any size: split over tasks by a salt, so no task holds a whole node."""
-    sizes = large.groupBy("path").agg(F.count("*").alias("size"))
-    salted = large.join(sizes, "path").select(
-        F.xxhash64("path", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).alias("path"), "rep", "sig"
-    )
-    # one pivot for each node ties its blocks together
-    pivots = large.groupBy("path").agg(F.min("rep").alias("a"))
-    stars = large.select("path", F.col("rep").alias("b")).join(pivots, "path").where("a <> b").select("a", "b")
-    return _alike(salted, n).union(stars)
+def _stars(dense: DataFrame) -> DataFrame:
+    """Every document of a dense node tied to the node's least one."""
+    pivots = dense.groupBy("path").agg(F.min("rep").alias("a"))
+    return dense.select("path", F.col("rep").alias("b")).join(pivots, "path").where("a <> b").select("a", "b")
 
 
 # ---------------------------------------------------------------- exact comparison
@@ -228,28 +246,24 @@ def compare(docs: DataFrame, tasks: DataFrame) -> DataFrame:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks.hint("merge"), "rep")
     return (
         texts.select("task", "rep", "text").repartition(common.parts(docs), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
     )
 
 
-def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links ``a, b`` between representatives that span every class."""
-    n = common.parts(docs)
-    leaves, large = tree_nodes(reps)
-    pairs = _alike(leaves, n)
-    if large is not None:
-        pairs = pairs.union(_chains(large, n)).distinct()
-    pairs = common.stored(pairs, "near-pairs")
-    clusters = common.components(pairs, "near-clusters")
+def near_links(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
+    """Links ``a, b`` between the ``count`` representatives that span every class."""
+    leaves, dense = tree_nodes(reps, count)
+    pairs = _alike(leaves, common.parts(docs))
+    clusters = common.components(pairs if dense is None else pairs.union(_stars(dense)), "near-clusters", count)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     blocks = common.stored(
         clusters.join(sizes, "component").select(
             F.col("id").alias("rep"), "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"),
             F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block"),
         ),
-        "near-blocks",
+        "near-blocks", count,
     )
     # every block with itself and with block 0 of its cluster
     with_zero = F.when((F.col("block") == 0) & (F.col("n_blocks") > 1), F.sequence(F.lit(1), F.col("n_blocks") - 1)).otherwise(F.array("block"))
@@ -257,44 +271,34 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         compare(docs, blocks.select("rep", F.explode(with_zero).alias("i"), "component").select(F.xxhash64("component", "i").alias("task"), "rep")),
         "near-links",
     )
-    if blocks.where("n_blocks > 1").isEmpty():
+    many = blocks.where("n_blocks > 1").select("rep", "component")
+    if many.isEmpty():
         return first
-    classes = common.components(first, "near-classes")
-    state = common.stored(
-        blocks.where("n_blocks > 1").join(classes.withColumnRenamed("id", "rep").withColumnRenamed("component", "class"), "rep", "left")
-        .select("rep", "block", F.coalesce("class", "rep").alias("class")),
-        "near-state",
-    )
-    left, right = (state.select(*[F.col(c).alias(f"{c}_{s}") for c in state.columns]) for s in "ab")
-    open_pairs = (
-        pairs.join(left, F.col("a") == F.col("rep_a")).join(right, F.col("b") == F.col("rep_b")).where("class_a <> class_b")
-        .select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"), F.pmod(F.xxhash64(F.least("class_a", "class_b")), F.lit(64))).alias("task"))
-    )
-    again = open_pairs.select("task", F.col("a").alias("rep")).union(open_pairs.select("task", F.col("b").alias("rep")))
-    if large is not None:
-        again = again.union(_minor_tasks(large, state))
-    again = common.stored(_halved(again.distinct()), "near-open")
+    inside = first.join(many.select(F.col("rep").alias("a")), "a", "left_semi")
+    classes = common.components(inside, "near-classes", count).select(F.col("id").alias("rep"), F.col("component").alias("class"))
+    state = common.stored(many.join(classes, "rep", "left").select("rep", "component", F.coalesce("class", "rep").alias("class")), "near-state", count)
+    again = _leaf_tasks(leaves, state)
+    if dense is not None:
+        again = again.union(_minor_tasks(dense, state))
+    again = common.stored(again.distinct(), "near-open", count)
     if again.isEmpty():
         return first
     return first.union(common.stored(compare(docs, again), "near-links"))
 
 
-def _halved(tasks: DataFrame) -> DataFrame:
-    """Tasks of more than two blocks are dealt into block pairs, so that every pair still meets."""
-    sizes = tasks.groupBy("task").agg(F.count("*").alias("size"))
-    k = F.ceil(F.col("size") / BLOCK).cast("int")
-    return (
-        tasks.join(sizes, "task").select("task", "rep", "size", k.alias("k"), F.pmod(F.xxhash64("rep", F.lit(7)), k).cast("int").alias("i"))
-        .select("rep", F.explode(F.when(F.col("size") <= 2 * BLOCK, F.array(F.col("task"))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.xxhash64("task", F.least("i", j), F.greatest("i", j)))
-        )).alias("task"))
-        .select("task", "rep")
-    )
+def _leaf_tasks(leaves: DataFrame, state: DataFrame) -> DataFrame:
+    """Small nodes whose documents of one cluster still have several classes; equal nodes of several trees once."""
+    rows = leaves.select("path", "rep").join(state, "rep").select(F.xxhash64("path", "component").alias("node"), "rep", "class")
+    nodes = rows.groupBy("node").agg(
+        F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign")
+    ).where("least < most")
+    once = nodes.groupBy("n", "sign").agg(F.min("node").alias("node")).select("node")
+    return rows.join(once, "node").select(F.col("node").alias("task"), "rep")
 
 
 def _minor_tasks(large: DataFrame, state: DataFrame) -> DataFrame:
-    """For unsplit nodes: the documents outside the node's main class, in blocks, against all of it."""
-    rows = large.select("path", "rep").join(state.select("rep", "class"), "rep")
+    """For dense nodes: the documents outside the node's main class, in blocks, against all of it."""
+    rows = large.select("path", "rep").join(state, "rep").select(F.xxhash64("path", "component").alias("path"), "rep", "class")
     counts = rows.groupBy("path", "class").agg(F.count("*").alias("n"))
     main = counts.groupBy("path").agg(F.max(F.struct("n", F.col("class"))).alias("m"), F.sum("n").alias("size"))
     main = main.select("path", F.col("m.class").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("minor")).where("minor > 0")
@@ -314,10 +318,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = common.stored(sketches(docs), "near-sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
     groups = common.stored(
-        full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-groups"
+        full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-groups", rows.count()
     )
-    links = near_links(docs, groups.select("rep", "sig"))
-    classes = common.components(links, "near-components").select(F.col("id").alias("rep"), "component")
+    count = groups.count()
+    links = near_links(docs, groups.select("rep", "sig"), count)
+    classes = common.components(links, "near-components", count).select(F.col("id").alias("rep"), "component")
     known = groups.join(classes, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     return rows.drop("sig").join(known, ["n_shingles", "d1", "d2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("c")
