@@ -96,9 +96,8 @@ def _scaled(nodes: DataFrame, most: float, kind: str) -> DataFrame:
     return nodes.select("id", "vec").mapInArrow(run, "id long, x binary")
 
 
-def _first_edges(scaled: DataFrame, n: int) -> DataFrame:
+def _first_edges(scaled: DataFrame, n: int, count: int) -> DataFrame:
     """``a, b, sim`` inside the groups of each deal."""
-    count = scaled.count()
     bits = max(0, int(np.ceil(np.log2(max(1, count / (GROUP / 2))))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +110,7 @@ def _first_edges(scaled: DataFrame, n: int) -> DataFrame:
                 codes = ((x @ planes > 0) @ (1 << np.arange(max(1, bits), dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(codes * TABLES + t), batch.column(0), batch.column(1)], names=["code", "id", "x"])
 
-    coded = common.stored(scaled.mapInArrow(code, "code long, id long, x binary"), "graph-codes")
+    coded = common.stored(scaled.mapInArrow(code, "code long, id long, x binary"), "graph-codes", count)
     sizes = coded.groupBy("code").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / GROUP))
     dealt = coded.join(sizes, "code").select(F.xxhash64("code", salt).alias("code"), "id", "x")
@@ -184,9 +183,9 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def build_graph(scaled: DataFrame) -> DataFrame:
     """``a, b, sim, rank``: up to ``DEGREE`` neighbours of each node, best first."""
-    n = common.parts(scaled)
+    n, count = common.parts(scaled), scaled.count()
     fresh = F.lit(1).cast("int").alias("fresh")
-    graph = common.stored(_lists(_first_edges(scaled, n).select("a", "b", "sim", fresh), n), "graph")
+    graph = common.stored(_lists(_first_edges(scaled, n, count).select("a", "b", "sim", fresh), n), "graph", count * DEGREE)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.groups(batches, "v"):
@@ -205,7 +204,7 @@ def build_graph(scaled: DataFrame) -> DataFrame:
         near = some[0].union(some[1]).distinct().join(known, "m").select("v", "m", "x", "bound")
         found = near.repartition(n, "v").sortWithinPartitions("v").mapInArrow(meet, "a long, b long, sim float")
         old = graph.select("a", "b", "sim", F.lit(0).cast("int").alias("fresh"))
-        graph = common.stored(_lists(old.union(found.select("a", "b", "sim", fresh)), n), "graph")
+        graph = common.stored(_lists(old.union(found.select("a", "b", "sim", fresh)), n), "graph", count * DEGREE)
         counts = graph.agg(F.sum("fresh").alias("new"), F.count("*").alias("all")).first()
         if (counts.new or 0) < SETTLED * (counts.all or 1):
             break
@@ -219,8 +218,9 @@ def search(queries: DataFrame, scaled: DataFrame, graph: DataFrame, entries: lis
     """
     n = common.parts(scaled)
     back = graph.select(F.col("b").alias("node"), F.col("a").alias("b"), F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a")).alias("r"))
+    count = graph.count()
     edges = common.stored(
-        graph.select(F.col("a").alias("node"), "b").union(back.where(F.col("r") <= DEGREE).select("node", "b")).distinct(), "graph-edges"
+        graph.select(F.col("a").alias("node"), "b").union(back.where(F.col("r") <= DEGREE).select("node", "b")).distinct(), "graph-edges", count
     )
     flat = scaled.select(F.col("id").alias("b"), "x")
     schema = "query_id long, vec binary, ids array<long>, scores array<double>, done array<boolean>, next array<long>"
@@ -267,7 +267,7 @@ def search(queries: DataFrame, scaled: DataFrame, graph: DataFrame, entries: lis
             reached = reached.union(front.select("query_id", F.col("node").alias("b")))
         scored = reached.distinct().join(flat, "b").select("query_id", "b", "x")
         rows = state.drop("next").withColumns({"b": F.lit(None).cast("long"), "x": F.lit(None).cast("binary")}).unionByName(scored, allowMissingColumns=True)
-        moved = common.stored(rows.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(hop, schema), "graph-search")
+        moved = common.stored(rows.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(hop, schema), "graph-search", count // DEGREE)
         over = moved.where(F.size("next") == 0)
         finished = over if finished is None else finished.union(over)
         state = moved.where(F.size("next") > 0)
@@ -293,7 +293,7 @@ def nearest(table: DataFrame, is_query, k: int = K, key: str = "vec_id", column:
     """``query_id, rank, vec_id, score`` for the rows where ``is_query`` holds, against every other row."""
     rows, kind = vectors(table, key, column)
     rows = common.stored(rows, "vectors")
-    nodes = common.stored(nodes_of(rows, k + 1), "nodes")
+    nodes = common.stored(nodes_of(rows, k + 1), "nodes", rows.count())
     most = nodes.agg(F.max("norm")).first()[0] or 1.0
     scaled = common.stored(_scaled(nodes, most, kind), "graph-vectors")
     graph = build_graph(scaled)
