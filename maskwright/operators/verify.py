@@ -22,15 +22,16 @@ def line_problems(before: DataFrame, after: DataFrame) -> DataFrame:
     """Classify every line of ``(file, line_no, line)`` before and after a rewrite.
 
     The full outer join is on file and line, so one huge file is spread over all
-    tasks; line counts per file come from a partial aggregation and are looked
-    up with a salted key.
+    tasks; line counts per file come from partial aggregations of either side, so
+    the join itself runs once.
     """
     key = ["file", "line_no"]
     b = before.select(*key, F.col("line").alias("b"))
     a = after.select(*key, F.col("line").alias("a"))
     both = b.join(a, key, "full_outer")
-    counts = both.groupBy("file").agg(F.count("b").alias("n_before"), F.count("a").alias("n_after"))
-    joined = lookup(both, counts, "file", F.col("line_no"))
+    sizes = [d.groupBy("file").agg(F.count(c).alias(n)) for d, c, n in ((b, "b", "n_before"), (a, "a", "n_after"))]
+    counts = sizes[0].join(sizes[1], "file", "full_outer").select("file", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_before", "n_after")])
+    joined = lookup(both, counts, "file")
     sb, sa = json_skeleton(F.col("b")), json_skeleton(F.col("a"))
     old, new = F.col("b"), F.col("a")
     blank = (F.trim(old) == "") & (F.trim(new) == "")

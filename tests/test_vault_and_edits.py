@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import resolve as X
 from maskwright.operators import vault as V
-from maskwright.operators.joins import lookup
+from maskwright.operators.joins import is_small, lookup
 from maskwright.operators.ruleset import make_rules, pattern_named
 from maskwright.operators.spans import redact
 
@@ -47,11 +47,13 @@ def test_resolution_modes(spark, key):
         assert hard == {1: "x a@b.co y", 2: None, 3: "none"}
 
 
-def test_salted_lookup_equals_plain_join(spark):
+def test_lookup_equals_plain_join(spark):
     left = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v int")
     want = sorted(left.join(right, "k", "left").select("id", "v").collect())
-    assert sorted(lookup(left, right, "k", F.col("id")).select("id", "v").collect()) == want
+    for bounded in (False, True):
+        assert sorted(lookup(left, right, "k", bounded).select("id", "v").collect()) == want
+    assert is_small(right, 2) and not is_small(right, 1)
 
 
 def test_edits(spark, key):
