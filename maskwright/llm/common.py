@@ -228,3 +228,12 @@ def components(edges: DataFrame, purpose: str = "components", rows: int | None =
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
+
+
+# ---------------------------------------------------------------- SQL
+
+#: DuckDB: the words of every document, as ``words`` has them.
+WORDS_SQL = (
+    "w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"
+)

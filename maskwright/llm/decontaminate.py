@@ -187,7 +187,9 @@ def short_lengths(benchmark: DataFrame, window: int) -> list[int]:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that re-use no item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # stored first, so that the planner knows its size before any text moves
+    leaked = common.stored(leaks(docs, benchmark).select("doc_id").distinct(), "benchmark-leaks")
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6_templates(spark: SparkSession, root: str) -> DataFrame:

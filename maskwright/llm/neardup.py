@@ -335,7 +335,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class; of rows that repeat a doc_id one stays, rows without doc_id all stay."""
     rows = common.stored(near_classes(docs), "near-kept")
-    out = docs.join(rows.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # stored first, so that the planner knows its size before any text moves
+    gone = common.stored(rows.where("not kept").select("doc_id").distinct(), "near-gone", rows.count())
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     if twice.isEmpty():
         return out
@@ -347,3 +349,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def op4_chosen_path(spark: SparkSession, root: str) -> DataFrame:
     """Near-duplicate classes of all documents at 85 % of five-word shingles."""
     return near_classes(common.table(spark, root, "documents"))
+
+
+SQL = (
+    f"WITH RECURSIVE {common.WORDS_SQL}, "
+    "g AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: hash(array_to_string(ws[i:i + 4], ' '))) "
+    "WHEN len(ws) > 0 THEN [hash(array_to_string(ws, ' '))] ELSE [] END AS gs FROM w), "
+    "s AS (SELECT DISTINCT doc_id, unnest(gs) AS h FROM g), "
+    "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), "
+    "shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2), "
+    f"links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)), "
+    "pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links), "
+    "reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN pairs b ON b.a = r.c) "
+    "SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept "
+    "FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"
+)

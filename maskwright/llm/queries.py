@@ -20,4 +20,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op7_link_graph": urlrank.SQL}
+ORACLES: dict[str, str] = {"op1_sparse_suffixes": suffixes.SQL, "op4_chosen_path": neardup.SQL, "op7_link_graph": urlrank.SQL}

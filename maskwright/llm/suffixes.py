@@ -159,7 +159,7 @@ def window_hashes(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS
     listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "several")).alias("p")).select(
         "doc_id", *[F.col(f"p.{c}").alias(c) for c in ("start", "windows", "several")]
     )
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed, "doc_id")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed.hint("merge"), "doc_id")
     return texts.select("doc_id", "text", "start", "windows", "several").mapInArrow(run, "h long, doc_id long, start int, several boolean")
 
 
@@ -250,9 +250,21 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(alive))
 
     listed = spans.where("not first").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
-    return docs.join(listed.withColumnRenamed("doc_id", "_cut_id"), docs["doc_id"] == F.col("_cut_id"), "left").select(*names, "_cuts").mapInArrow(run, docs.schema)
+    return docs.join(listed.withColumnRenamed("doc_id", "_cut_id").hint("merge"), docs["doc_id"] == F.col("_cut_id"), "left").select(*names, "_cuts").mapInArrow(run, docs.schema)
 
 
 def op1_sparse_suffixes(spark: SparkSession, root: str) -> DataFrame:
     """Passages of fifty words or more that occur again in the documents."""
     return repeats(common.table(spark, root, "documents"))
+
+
+SQL = (
+    f"WITH {common.WORDS_SQL}, "
+    f"p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {MIN_WORDS - 2})) AS p FROM w), "
+    f"v AS (SELECT doc_id, p, hash(array_to_string(ws[p:p + {MIN_WORDS - 1}], ' ')) AS h FROM p), "
+    "again AS (SELECT h, min((doc_id, p)) AS f FROM v GROUP BY h HAVING count(*) > 1), "
+    "hits AS (SELECT doc_id, p, (doc_id, p) = f AS first FROM v JOIN again USING (h)), "
+    f"steps AS (SELECT *, CASE WHEN p - lag(p) OVER o <= {MIN_WORDS} THEN 0 ELSE 1 END AS new FROM hits WINDOW o AS (PARTITION BY doc_id, first ORDER BY p)), "
+    "runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, first ORDER BY p) AS run FROM steps) "
+    f"SELECT doc_id, CAST(min(p) - 1 AS INTEGER) AS start_word, CAST(max(p) - 1 + {MIN_WORDS} AS INTEGER) AS end_word, first FROM runs GROUP BY doc_id, first, run"
+)
