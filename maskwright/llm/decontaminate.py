@@ -4,8 +4,11 @@ Texts are cut into runs of letters and digits.  Typed placeholders replace numbe
 begins with a digit), names (a capitalised run that does not begin a sentence) and units (a unit
 word after a number); neighbours of one type are one placeholder.  Windows of ``WINDOW`` template
 tokens are joined by hash with those of the benchmark, and the placeholders' values of aligned
-windows are compared: a document re-uses an item when the values correspond one to one, the same
-value standing for the same value throughout.
+windows are compared.  Windows of one document and item at the same distance are one alignment: a
+document re-uses an item when in some alignment the values correspond one to one, the same value
+standing for the same value throughout, or a window has equal values.  So neither other places of
+the item nor variants of it hide a copy.  ``windows`` counts the document's windows in all such
+alignments; the other columns describe the one of most windows, then of fewest changed values.
 
 A window counts only with ``PLAIN`` different plain words, so that templates of placeholders match
 nothing.  Items shorter than a window are one window of their own length, if it has so many.
@@ -154,22 +157,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sent: int
     found = windows(docs, "doc_id", lengths, False, keep)
     left = items.select("h", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("values").alias("item_values"))
     right = found.select("h", F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), F.col("values").alias("doc_values"))
-    met = common.stored(right.join(left, "h"), "benchmark-hits")
+    shift, same = F.col("doc_pos") - F.col("item_pos"), F.col("item_values") == F.col("doc_values")
+    met = common.stored(right.join(left, "h").withColumn("shift", shift).withColumn("same", same.cast("int")), "benchmark-hits")
     pair = ["doc_id", "item_id"]
-    hits = met.groupBy(*pair).agg(F.countDistinct("doc_pos").alias("windows"))
-    slots = met.select(*pair, F.explode(F.arrays_zip("item_values", "doc_values")).alias("z")).select(
-        *pair, F.col("z.item_values").alias("was"), F.col("z.doc_values").alias("now")
-    ).distinct()
-    judged = slots.groupBy(*pair).agg(
+    each = [*pair, "shift"]
+    hits = met.groupBy(*each).agg(F.countDistinct("doc_pos").alias("n"), F.countDistinct(F.when(F.col("same") == 1, F.col("doc_pos"))).alias("n_same"))
+    slots = met.select(*each, "same", F.explode(F.arrays_zip("item_values", "doc_values")).alias("z")).groupBy(
+        *each, F.col("z.item_values").alias("was"), F.col("z.doc_values").alias("now")
+    ).agg(F.max("same").alias("same"))
+    judged = slots.groupBy(*each).agg(
         F.count("*").alias("slots"), F.countDistinct("was").alias("n_was"), F.countDistinct("now").alias("n_now"),
-        F.sum((F.col("was") != F.col("now")).cast("long")).alias("changed"),
+        F.sum((F.col("was") != F.col("now")).cast("long")).alias("changed"), F.sum("same").alias("same_slots"),
     )
-    out = hits.join(judged, pair, "left")
-    # several places of one item may hold different values; what no one-to-one reading explains is no re-use
-    consistent = F.col("slots").isNull() | (F.col("changed") == 0) | ((F.col("n_was") == F.col("slots")) & (F.col("n_now") == F.col("slots")))
-    return out.where(consistent).select(
-        *pair, "windows", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"),
-        F.when(F.coalesce("changed", F.lit(0)) == 0, "verbatim").otherwise("reparameterised").alias("kind"),
+    # an alignment that no one-to-one reading explains keeps its verbatim windows only
+    whole = F.col("slots").isNull() | ((F.col("n_was") == F.col("slots")) & (F.col("n_now") == F.col("slots"))) | (F.col("changed") == 0)
+    read = hits.join(judged, each, "left").withColumn("whole", whole).where("whole or n_same > 0").select(
+        *each, "whole", F.struct(
+            F.when(F.col("whole"), F.col("n")).otherwise(F.col("n_same")).alias("n"),
+            (-F.when(F.col("whole"), F.coalesce("changed", F.lit(0))).otherwise(0)).cast("long").alias("less"),
+            (-F.col("shift")).alias("early"),
+            F.coalesce(F.when(F.col("whole"), F.col("slots")).otherwise(F.col("same_slots")), F.lit(0)).cast("long").alias("slots"),
+        ).alias("best"),
+    )
+    out = met.join(read, each).where("whole or same = 1").groupBy(*pair).agg(F.countDistinct("doc_pos").alias("windows"), F.max("best").alias("best"))
+    return out.select(
+        *pair, "windows", "best.slots", (-F.col("best.less")).alias("changed"),
+        F.when(F.col("best.less") == 0, "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
 

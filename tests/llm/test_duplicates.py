@@ -116,3 +116,25 @@ def test_templates(spark, edges, nothing):
     assert got == {1: "verbatim", 2: "reparameterised"}  # in 3 one value stands for two
     assert decontaminate.leaks(edges, items).count() == 0 and decontaminate.clean(edges, items).count() == edges.count()
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(docs, items.where("item_id < 0")).count() == 0
+
+
+def test_templates_by_alignment(spark):
+    form = "On the farm near {} there were {} red hens and also {} white ducks beside the old wooden barn."
+    two = form.format("Paris", 5, 7) + " " + form.format("Rome", 8, 5)  # one form twice, with other values
+    say = "Yesterday a farmer near {} sold {} kg of fresh apples to his neighbour for {} dollars each day of the {} year."
+    own = say.format("Paris", 45, 12, "same")
+    items = spark.createDataFrame([(1, two), (2, own)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, two), (2, "Before. " + two + " After."),
+            (3, own + " " + say.format("Berlin", 45, 7, "same")),  # verbatim, then a variant
+            (4, say.format("Rome", 99, 7, "same") + " " + say.format("Oslo", 3, 4, "same")),  # two variants
+            (5, say.format("Rome", 8, 8, "same")), (6, say.format("Rome", 8, 8, "same") + " " + say.format("Oslo", 9, 9, "same")),
+            (7, form.format("Oslo", 9, 9) + " " + form.format("Oslo", 9, 9)),
+        ],
+        "doc_id long, text string",
+    )
+    for sent in (decontaminate.SENT, 0):
+        got = {(r.doc_id, r.item_id): (r.kind, r.changed > 0) for r in decontaminate.leaks(docs, items, sent=sent).collect()}
+        assert got == {(1, 1): ("verbatim", False), (2, 1): ("verbatim", False), (3, 2): ("verbatim", False), (4, 2): ("reparameterised", True)}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).orderBy("doc_id").collect()] == [5, 6, 7]
