@@ -101,6 +101,31 @@ def test_the_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.3 * sum(r.n_tokens for r in rows)
 
 
+def test_scores_no_longer_depend_on_the_number_of_sweeps(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+
+    def mean(*sweeps):
+        r = pitmanyor.score(docs, ~held, *sweeps).where(held).agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+        return r.s / r.n
+
+    assert abs(mean() - mean(8, 4)) < 0.005
+
+
+@pytest.mark.parametrize("weight", [0.5, 30.0, 2000.0])
+def test_tables_of_frequent_words_are_drawn(monkeypatch, weight):
+    monkeypatch.setattr(pitmanyor, "DRAWS", 1000, raising=False)  # lots are cut into blocks
+    n, count, d = 400, 1500, 0.8
+    rnd, want = np.random.default_rng(7), np.ones(n)
+    for seated in range(1, count):
+        want += rnd.random(n) < weight / (weight + seated - d * want)
+    got = pitmanyor.seat(np.full(n, count), np.full(n, weight), d, np.arange(n, dtype=np.uint64), np.zeros(n, np.int64), 1)
+    assert abs(got.mean() - want.mean()) < 5 * want.std() * (2 / n) ** 0.5
+    assert 0.7 < got.var() / want.var() < 1.4
+    alone = pitmanyor.seat(np.full(1, count), np.full(1, weight), d, np.full(1, 5, np.uint64), np.zeros(1, np.int64), 1)
+    assert alone[0] == got[5]  # copies of a word seat alike
+
+
 def test_probabilities_sum_to_one(monkeypatch):
     """All words of a context, with the one unknown word, in every sweep."""
     rnd = np.random.default_rng(1)
