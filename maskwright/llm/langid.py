@@ -6,14 +6,16 @@ a phrase of its own.  ``phrases * log2(size of the labelled text)`` is the text'
 the language of least cost wins; ties go to the first in alphabetical order.  ``score`` is the
 winner's share when every language has weight ``2 ** -bits``.
 
-The labelled text is a bounded sample: for each language up to ``SAMPLE_DOCS`` whole documents of
-at most ``SAMPLE_CHARS`` / 4 characters, smallest hash of doc_id first, until ``SAMPLE_CHARS``
-characters are reached; all languages together have at most ``SAMPLE_TOTAL``.  The automata are sent
-to the tasks: at most ``2 * SAMPLE_TOTAL`` states of 64 transitions, 134 MB however many languages.
+The labelled text is a bounded sample: for each language up to ``SAMPLE_DOCS`` documents, each cut to
+``SAMPLE_CHARS`` / 4 characters, smallest hash of doc_id first, until ``SAMPLE_CHARS`` characters are
+reached, where the last is cut; all languages together have at most ``SAMPLE_TOTAL``.  The automata are
+sent to the tasks: at most ``2 * SAMPLE_TOTAL`` states of 64 transitions, 134 MB however many languages,
+and at most ``3 * SAMPLE_TOTAL`` sparse ones.
 
 Every text is parsed whole, in blocks of ``BLOCK`` characters side by side; a block's edge ends a
 phrase for all languages alike.  Letters are lower-cased and every run of other characters is one
-blank; the 62 most frequent characters of the sample have symbols, and all others match nothing.
+blank.  Every character of the sample has a symbol: each language's 62 most frequent ones have dense
+transitions, its others sparse ones.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 nothing is labelled.  A null lang is never learned from; a null doc_id is predicted, but neither
@@ -40,16 +42,18 @@ SAMPLE_TOTAL = 1 << 18
 SAMPLE_DOCS = 64
 SYMBOLS = 64
 BLOCK = 512
-#: Bits for each character from which a text is like none of the languages.
+#: Bits for each character from which a text is like none of the languages; in proportion more where the
+#: language's characters have an entropy above that of ``ALPHABET`` equally frequent letters, as Han has.
 REJECT_BITS = 6.0
+ALPHABET = 26
 
 
 def folded(text: str) -> str:
     return " ".join("".join(c.lower()[:1] if c.isalpha() else " " for c in text).split())
 
 
-def automaton(symbols: np.ndarray) -> np.ndarray:
-    """Dense transitions ``[state, symbol]`` of the suffix automaton of a sequence; state 0 is the root, -1 is none."""
+def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a sequence; state 0 is the root."""
     following: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -76,40 +80,66 @@ def automaton(symbols: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    table = np.full((len(following), SYMBOLS), -1, np.int32)
-    for s, f in enumerate(following):
-        if f:
-            table[s, list(f)] = list(f.values())
-    return table
+    return following
 
 
 class Model:
-    """Automata of all languages in one table, and the symbol of each code point."""
+    """Automata of all languages in one table, the symbol of each code point, and each language's column for a symbol.
+
+    Column 0 matches nothing; column ``SYMBOLS - 1`` is looked up in the sparse transitions.
+    """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = [" ".join(folded(t) for t in samples[k]) for k in self.languages]
-        common_chars = [c for c, _ in sorted(Counter("".join(texts)).items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        code = {c: i + 1 for i, c in enumerate(common_chars)}
+        code = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
         self.letters = np.zeros(0x110000, bool)
-        self.symbol = np.zeros(0x110000, np.uint8)  # 0: matches nothing
+        self.symbol = np.zeros(0x110000, np.int32)  # 0: matches nothing
         for cp in range(0x110000):
             if 0xD800 <= cp < 0xE000:
                 continue
             c = chr(cp)
             self.letters[cp] = c.isalpha()
             self.symbol[cp] = code.get(c.lower()[:1] if self.letters[cp] else " ", 0)
-        tables, base = [], [0]
-        for t in texts:
-            a = automaton(np.array([code.get(c, SYMBOLS - 1) for c in t], np.int64))
-            a[:, SYMBOLS - 1] = -1  # what has no symbol matches nothing
-            a[:, 0] = -1
-            tables.append(np.where(a >= 0, a + base[-1], -1).astype(np.int32))
-            base.append(base[-1] + len(a))
+        tables, base, keys, ends = [], [0], [], []
+        self.width = len(code) + 1
+        self.column = np.zeros((len(texts), self.width), np.uint8)
+        self.excess = np.ones(len(texts))
+        for k, t in enumerate(texts):
+            often = sorted(Counter(t).items(), key=lambda x: (-x[1], x[0]))
+            for i, (c, _) in enumerate(often):
+                self.column[k, code[c]] = min(i + 1, SYMBOLS - 1)
+            entropy = -sum(m / len(t) * math.log2(m / len(t)) for _, m in often)
+            self.excess[k] = max(1.0, entropy / math.log2(ALPHABET))
+            dense = self.column[k].tolist()
+            following = automaton(np.array([code[c] for c in t], np.int64))
+            table = np.full((len(following), SYMBOLS), -1, np.int32)
+            for at, f in enumerate(following):
+                for c, to in f.items():
+                    if dense[c] < SYMBOLS - 1:
+                        table[at, dense[c]] = to + base[-1]
+                    else:
+                        keys.append((at + base[-1]) * self.width + c)
+                        ends.append(to + base[-1])
+            tables.append(table)
+            base.append(base[-1] + len(following))
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.ends = np.array(keys, np.int64)[order], np.array(ends, np.int32)[order]
         self.roots = np.array(base[:-1], np.int32)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.array([math.log2(max(2, len(t))) for t in texts])
 
+    def follow(self, state: np.ndarray, column: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after ``symbol``, whose columns are ``column``; -1 is none."""
+        to = self.table[state.astype(np.int64) * SYMBOLS + column]
+        if len(self.keys):
+            i, j = np.nonzero(column == SYMBOLS - 1)
+            if len(i):
+                key = state[i, j if state.shape[1] > 1 else 0].astype(np.int64) * self.width + symbol[j]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to[i, j] = np.where(self.keys[at] == key, self.ends[at], -1)
+        return to
+
     def phrases(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) for each language (columns)."""
         n = np.diff(offsets)
@@ -125,17 +155,17 @@ class Model:
         roots = self.roots[:, None]
         state = np.repeat(roots, len(doc), axis=1)
         count = np.zeros((len(self.roots), len(doc)), np.int32)
-        first = roots.astype(np.int64) * SYMBOLS
         for t in range(BLOCK):
             k = int(active[t])
             if not k:
                 break
             c = symbols[start[:k] + t]
             s = state[:, :k]
-            to = self.table[s.astype(np.int64) * SYMBOLS + c]
+            column = self.column[:, c]
+            to = self.follow(s, column, c)
             miss = to < 0
             count[:, :k] += miss | (s == roots)
-            again = self.table[first + c]
+            again = self.follow(roots, column, c)
             state[:, :k] = np.where(miss, np.where(again < 0, roots, again), to)
         out = np.zeros((len(n), len(self.roots)), np.int64)
         for i in range(len(self.roots)):
@@ -143,7 +173,7 @@ class Model:
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and bits for each character of every text."""
+        """Language, score and bits for each character of every text, over the language's ``excess``."""
         raw, at = common.bytes_of(column)
         names = np.full(len(at) - 1, "und", object)
         score, rate = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
@@ -166,7 +196,7 @@ class Model:
             share = 1 / np.exp2(-np.minimum(1000, cost - least[:, None])).sum(axis=1)
             names[i:j] = np.where(some, np.array(self.languages, object)[best], "und")
             score[i:j] = np.where(some, share, 0)
-            rate[i:j] = np.where(some, least / np.maximum(1, np.diff(offsets)), 0)
+            rate[i:j] = np.where(some, least / np.maximum(1, np.diff(offsets)) / self.excess[best], 0)
         return names.tolist(), score, rate
 
 
@@ -177,15 +207,16 @@ def fold(key: str = "doc_id", folds: int = 5):
 def sample(docs: DataFrame, learn) -> dict[str, list[str]]:
     """Bounded labelled text of each language among the rows where ``learn`` holds."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, SAMPLE_CHARS // 4))
-    rows = usable.select("doc_id", "lang", "text", rank.alias("rank")).where(F.col("rank") <= SAMPLE_DOCS).orderBy("lang", "rank").collect()
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    rows = usable.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS // 4).alias("text"), rank.alias("rank")).where(F.col("rank") <= SAMPLE_DOCS).orderBy("lang", "rank").collect()
     out: dict[str, list[str]] = {}
     size: Counter = Counter()
     bound = min(SAMPLE_CHARS, SAMPLE_TOTAL // max(1, len({r.lang for r in rows})))
     for r in rows:
-        if size[r.lang] + len(r.text) <= bound:
-            out.setdefault(r.lang, []).append(r.text)
-            size[r.lang] += len(r.text)
+        text = r.text[: bound - size[r.lang]]
+        if text:
+            out.setdefault(r.lang, []).append(text)
+            size[r.lang] += len(text)
     return out
 
 

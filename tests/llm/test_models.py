@@ -62,6 +62,28 @@ def test_language_edge_cases(spark, edges, nothing):
     assert langid.accepted(edges.withColumn("lang", F.lit("en"))).columns == [*edges.columns, "lang"]
 
 
+def test_languages_of_many_characters(spark):
+    """Two languages of Han characters, one each of Latin, Cyrillic and Greek; one has long texts only."""
+    rnd = random.Random(6)
+
+    def words(low, letters, n, longest):
+        return ["".join(chr(low + rnd.randrange(letters)) for _ in range(rnd.randrange(1, longest))) for _ in range(n)]
+
+    kinds = {"h1": words(0x4E00, 900, 700, 4), "h2": words(0x5200, 900, 700, 4), "la": words(97, 26, 300, 9), "cy": words(0x430, 32, 300, 9), "el": words(0x3B1, 17, 300, 9)}
+
+    def text(k, n):
+        return ("" if k[0] == "h" else " ").join(rnd.choice(kinds[k]) for _ in range(n))
+
+    rows = [(100 * j + i, text(k, 9000 if k in ("h2", "el") else 250), k) for j, k in enumerate(kinds) for i in range(40 if k == "h1" else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    new = [(10_000 + 100 * j + i, text(k, 300), k) for j, k in enumerate(kinds) for i in range(5)]
+    noise = [(20_000 + i, "".join(chr(0x7000 + rnd.randrange(3000)) for _ in range(400)), None) for i in range(3)]
+    both = docs.union(spark.createDataFrame([(i, t, None) for i, t, _ in new] + noise, docs.schema)).coalesce(4)
+    said = {r.doc_id: r.lang_pred for r in langid.identify(both, F.lit(True)).collect()}
+    assert all(said[i] == k for i, _, k in rows + new)
+    assert {r.doc_id for r in langid.accepted(both).select("doc_id").collect()} == {i for i, _, _ in rows + new}
+
+
 def test_links_move_trust(spark, tmp_path):
     rnd = random.Random(2)
     hosts = [f"h{k}.{t}" for k in range(30) for t in ("com", "org", "net", "example.org")]
