@@ -184,6 +184,23 @@ def grams(hashed: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(out[at] + np.uint64(k)), at
 
 
+# ---------------------------------------------------------------- joins
+
+#: Ways that the rows of one key are dealt to before a join with one row for each key.
+SALTS = 32
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, by) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has one row for each ``key``; null joins null.
+
+    Each row of ``one`` is repeated ``SALTS`` times and ``by`` deals the rows, so that no task has a hot key's rows alone.
+    """
+    deals = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed(key, "salted_key")
+    dealt = rows.withColumn("salt", F.pmod(by, F.lit(SALTS)).cast("int"))
+    on = dealt[key].eqNullSafe(deals["salted_key"]) & (dealt["salt"] == deals["salt"])
+    return dealt.join(deals, on).drop(deals["salt"]).drop("salt", "salted_key")
+
+
 # ---------------------------------------------------------------- components
 
 

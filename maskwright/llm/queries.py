@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, neardup, nndescent, packing, pitmanyor, records, sharding, suffixes, urlrank
+from . import decontaminate, langid, neardup, nndescent, packing, partcodes, pitmanyor, records, resampling, sharding, suffixes, urlrank
 
 QUERIES = {
     "op1_sparse_suffixes": suffixes.op1_sparse_suffixes,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_pitman_yor": pitmanyor.op8_pitman_yor,
     "op9_nn_descent": nndescent.op9_nn_descent,
     "op10_concatenate_and_cut": packing.op10_concatenate_and_cut,
+    "op12_bit_sliced": resampling.op12_bit_sliced,
+    "op13_anchors_codes": partcodes.op13_anchors_codes,
     "pipeline": corpus_pipeline.run,
 }
 
