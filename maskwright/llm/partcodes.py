@@ -384,3 +384,36 @@ def op13_anchors_codes(spark: SparkSession, root: str) -> DataFrame:
     sums = codes.groupBy("label").agg(F.sum("error").alias("label_error"))
     out = common.salted_join(codes, sums, "label", F.xxhash64("vec_id", "code"))
     return out.select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+_SQL_HEAD = """WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, list_slice(x, part * len(x) // 16 + 1, (part + 1) * len(x) // 16) AS y FROM k, (SELECT unnest(range(16)) AS part)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, y FROM p
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64))"""
+_SQL_ASSIGN = """,
+a{t} AS MATERIALIZED (
+  SELECT vec_id, p.label, p.part, min(64 * list_sum(list_transform(range(1, len(p.y) + 1), lambda i: (p.y[i] - b.y[i]) * (p.y[i] - b.y[i]))) + entry) AS best
+  FROM p JOIN b{t} b ON b.part = p.part GROUP BY vec_id, p.label, p.part)"""
+_SQL_MOVE = """,
+s{t} AS (
+  SELECT part, entry, i, sum(y[i]) AS s, count(*) AS n
+  FROM (SELECT a.part, best % 64 AS entry, y, unnest(range(1, len(y) + 1)) AS i FROM a{t} a JOIN p ON p.vec_id = a.vec_id AND p.part = a.part)
+  GROUP BY part, entry, i),
+m{t} AS (SELECT part, entry, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END ORDER BY i) AS y FROM s{t} GROUP BY part, entry),
+b{u} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.y, b.y) AS y FROM b{t} b LEFT JOIN m{t} m ON m.part = b.part AND m.entry = b.entry)"""
+_SQL_TAIL = """,
+c AS (
+  SELECT vec_id, label, string_agg(printf('%02x', CAST(best % 64 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error
+  FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, i))
+   FROM (SELECT part, entry, unnest(y) AS v, unnest(range(len(y))) AS i FROM b2)) AS codebooks_sha256
+FROM c
+"""
+
+#: DuckDB: the same rounds, with every distance computed.
+SQL = _SQL_HEAD + "".join(_SQL_ASSIGN.format(t=t) + (_SQL_MOVE.format(t=t, u=t + 1) if t < ROUNDS else "") for t in range(ROUNDS + 1)) + _SQL_TAIL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, neardup, nndescent, packing, partcodes, pitmanyor, records, resampling, sharding, suffixes, urlrank
+from . import decontaminate, embeddup, langid, neardup, nndescent, packing, partcodes, pitmanyor, records, resampling, sharding, suffixes, urlrank
 
 QUERIES = {
     "op1_sparse_suffixes": suffixes.op1_sparse_suffixes,
@@ -17,9 +17,17 @@ QUERIES = {
     "op8_pitman_yor": pitmanyor.op8_pitman_yor,
     "op9_nn_descent": nndescent.op9_nn_descent,
     "op10_concatenate_and_cut": packing.op10_concatenate_and_cut,
+    "op11_int8_tiles": embeddup.op11_int8_tiles,
     "op12_bit_sliced": resampling.op12_bit_sliced,
     "op13_anchors_codes": partcodes.op13_anchors_codes,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op1_sparse_suffixes": suffixes.SQL, "op4_chosen_path": neardup.SQL, "op7_link_graph": urlrank.SQL}
+ORACLES: dict[str, str] = {
+    "op1_sparse_suffixes": suffixes.SQL,
+    "op4_chosen_path": neardup.SQL,
+    "op7_link_graph": urlrank.SQL,
+    "op11_int8_tiles": embeddup.SQL,
+    "op12_bit_sliced": resampling.SQL,
+    "op13_anchors_codes": partcodes.SQL,
+}

@@ -267,3 +267,39 @@ def op12_bit_sliced(spark: SparkSession, root: str) -> DataFrame:
     """All documents weighed against the benchmark's texts, a quarter of the longer ones drawn."""
     out = resample(common.table(spark, root, "documents"), common.table(spark, root, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: DuckDB: the same weights and draw, with a CRC-32 of its own.
+SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+texts AS (SELECT true AS doc, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+w AS MATERIALIZED (
+  SELECT doc, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+f AS MATERIALIZED (
+  SELECT doc, id, feature, count(*) AS n FROM (
+    SELECT doc, id, unnest(w) AS feature FROM w
+    UNION ALL
+    SELECT doc, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)
+  GROUP BY ALL),
+h AS MATERIALIZED (
+  SELECT feature, CAST(xor(list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)),
+    lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS BIGINT) AS bucket
+  FROM (SELECT DISTINCT feature, hex(encode(feature)) AS x FROM f), crc),
+c AS MATERIALIZED (SELECT doc, id, bucket, n FROM f JOIN h USING (feature)),
+b AS (
+  SELECT bucket, sum(n) FILTER (doc) AS s, sum(n) FILTER (NOT doc) AS t FROM c GROUP BY bucket),
+z AS (SELECT CAST(coalesce(sum(n) FILTER (doc), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (NOT doc), 0) AS DOUBLE) AS t FROM c),
+g AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(b.t, 0)::DOUBLE + 1) * (z.s + 10000) / ((coalesce(b.s, 0)::DOUBLE + 1) * (z.t + 10000)))) AS BIGINT) AS gain FROM b, z),
+d AS (SELECT id, sum(n) AS n, sum(n * gain) AS total FROM c JOIN g USING (bucket) WHERE doc GROUP BY id),
+e AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+    CAST(CASE WHEN n IS NULL THEN 0 WHEN total >= 0 THEN total // n ELSE -((n - 1 - total) // n) END AS BIGINT) AS weight,
+    CAST('0x' || left(sha256('7:' || doc_id), 8) AS BIGINT) AS h
+  FROM documents LEFT JOIN d ON id = doc_id),
+s AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM s WHERE n_features >= 39)
+SELECT s.*, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)
+"""
