@@ -103,10 +103,11 @@ def label_regions(work: Column) -> Column:
     )
 
 
-def candidates(work: Column, rules: RuleSet, own_literal: Column | None = None) -> Column:
+def candidates(work: Column, rules: RuleSet, own_literal: Column | None = None, places: Column | None = None) -> Column:
     """Every match of every rule over the original text, in resolution order.
 
-    ``own_literal`` is one more literal whose regex comes from a column.
+    ``own_literal`` is one more literal whose regex comes from a column, ``places`` are candidates
+    that were found elsewhere.
     """
     empty = F.array().cast(f"array<{CANDIDATE}>")
     lists = []
@@ -121,6 +122,8 @@ def candidates(work: Column, rules: RuleSet, own_literal: Column | None = None)
         lists.append(
             marked_matches(work, own_literal, "$0", lambda p: (F.length(p), category), len(rules.buckets))
         )
+    if places is not None:
+        lists.append(places)
     merged = lists[0] if len(lists) == 1 else F.array_sort(F.concat(*lists))
 
     def unprotected(regions):
@@ -216,7 +219,9 @@ def joined(p: Column, items: Column, value) -> Column:
     )
 
 
-def redact(text: Column, rules: RuleSet, key: LabelKey, own_literal: Column | None = None) -> Column:
+def redact(
+    text: Column, rules: RuleSet, key: LabelKey, own_literal: Column | None = None, places: Column | None = None
+) -> Column:
     """``struct(text, spans)`` with every accepted span replaced by its label."""
 
     def with_values(hits):
@@ -241,6 +246,10 @@ def redact(text: Column, rules: RuleSet, key: LabelKey, own_literal: Column | No
     if own_literal is not None:
         found = let(working_copy(text), lambda w: clip_conflicts(candidates(w, rules, own_literal)))
         return let(found, with_values).cast(REDACTED)
+    if places is not None:
+        found = let(working_copy(text), lambda w: clip_conflicts(candidates(w, rules, places=places)))
+        touched = F.size(places) > 0
+        return F.when(touched | gate(text, rules) if rules.buckets else touched, let(found, with_values)).otherwise(untouched).cast(REDACTED)
     if not rules.buckets:
         return untouched.cast(REDACTED)
     full = let(_hits(text, rules), with_values)
