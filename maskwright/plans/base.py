@@ -56,11 +56,12 @@ STD_LITERAL = 'token = "'
 STD_RULES: RuleSet = make_rules(STD_PATTERNS, [STD_LITERAL])
 
 
-def span_ctes(src: str, keys: str, text: str = "text", rules: RuleSet = STD_RULES) -> str:
+def span_ctes(src: str, keys: str, text: str = "text", rules: RuleSet = STD_RULES, more: str | None = None) -> str:
     """DuckDB CTEs ending in ``spans(keys, s, e, category, value)``.
 
     Written independently of the column expressions: matches and gaps are
     unnested, offsets come from running sums, conflicts from a running maximum.
+    ``more`` names a relation of further candidates ``(keys, category, s, e)``.
     """
     buckets: list[tuple[str, list[tuple[str, str]]]] = []
     for ci in dict.fromkeys(p.insensitive for p in rules.patterns):
@@ -90,6 +91,8 @@ def span_ctes(src: str, keys: str, text: str = "text", rules: RuleSet = STD_RULE
             f"FROM u{i} WINDOW w AS (PARTITION BY {keys} ORDER BY mi))"
         )
         cands.append(f"SELECT {keys}, o, category, s, e FROM c{i}")
+    if more:
+        cands.append(f"SELECT {keys}, {len(buckets)} AS o, category, s, e FROM {more}")
     out.append("cand AS (" + " UNION ALL ".join(cands) + ")")
     out.append(
         f"res AS (SELECT *, coalesce(max(e) OVER (PARTITION BY {keys} ORDER BY s, e DESC, o "
@@ -105,12 +108,12 @@ def span_ctes(src: str, keys: str, text: str = "text", rules: RuleSet = STD_RULE
     return ", ".join(out)
 
 
-def redacted_ctes(src: str, keys: str, text: str = "text", rules: RuleSet = STD_RULES) -> str:
+def redacted_ctes(src: str, keys: str, text: str = "text", rules: RuleSet = STD_RULES, more: str | None = None) -> str:
     """``span_ctes`` plus ``redacted(keys, text, out)`` over every unit."""
     cols = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
     on = " AND ".join(f"p.{k.strip()} = d.{k.strip()}" for k in keys.split(","))
     return (
-        span_ctes(src, keys, text, rules)
+        span_ctes(src, keys, text, rules, more)
         + f", placed AS (SELECT s.*, lag(e, 1, 0) OVER (PARTITION BY {keys} ORDER BY s) AS prev FROM spans s)"
         + f", built AS (SELECT {cols}, string_agg(substr(d.{text}, CAST(prev + 1 AS BIGINT), CAST(s - prev AS BIGINT)) || "
         + label_sql("p.value", "p.category")

@@ -85,13 +85,22 @@ def _pieces(template: str) -> list[tuple[bool, str]]:
     return out
 
 
+def filled(template: str) -> Column:
+    """A template filled from the order's key."""
+    parts = _spark_parts()
+    return F.concat(*[parts[x] if var else F.lit(x) for var, x in _pieces(template)])
+
+
+def filled_sql(template: str) -> str:
+    return " || ".join(_SQL_PARTS[x] if var else "'" + x.replace("'", "''") + "'" for var, x in _pieces(template))
+
+
 def notes(spark: SparkSession, root: str, ts: bool = False) -> DataFrame:
     """``unit, text`` (and ``ts``) for every order."""
-    parts = _spark_parts()
     kind = F.col(_KEY) % len(TEMPLATES)
     text = None
     for i, template in enumerate(TEMPLATES):
-        value = F.concat(*[parts[x] if var else F.lit(x) for var, x in _pieces(template)])
+        value = filled(template)
         text = F.when(kind == i, value) if text is None else text.when(kind == i, value)
     orders = table(spark, root, "orders").select(_KEY, *(["o_orderdate"] if ts else []))
     extra = [F.col("o_orderdate").alias("ts")] if ts else []
@@ -101,10 +110,7 @@ def notes(spark: SparkSession, root: str, ts: bool = False) -> DataFrame:
 def _sql_text() -> str:
     cases = []
     for i, template in enumerate(TEMPLATES):
-        value = " || ".join(
-            _SQL_PARTS[x] if var else "'" + x.replace("'", "''") + "'" for var, x in _pieces(template)
-        )
-        cases.append(f"WHEN {_KEY} % {len(TEMPLATES)} = {i} THEN {value}")
+        cases.append(f"WHEN {_KEY} % {len(TEMPLATES)} = {i} THEN {filled_sql(template)}")
     return "CASE " + " ".join(cases) + " END"
 
 

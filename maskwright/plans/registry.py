@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import configs, detectors, dictionaries, histories, renders, scans, streams, sweeps, vaults  # noqa: F401
+from . import configs, detectors, dictionaries, histories, renders, scans, streams, sweeps, tables, vaults  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
