@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import catalog
 from ..functions.text import clip_words, mask_tokens, scrub_addresses
+from .alerts import rate_limited
 
 
 def parse_line(raw: Column) -> Column:
@@ -54,31 +52,8 @@ def alert_key(level: Column, title: Column, message: Column) -> Column:
 
 
 def sent_alerts(alerts: DataFrame, key: str, ts: str, seconds: int = catalog.ALERT_INTERVAL_SECONDS) -> DataFrame:
-    """Alerts that go out: suppressed within the interval since the last one *sent*.
-
-    Inherently sequential per key.  Rows are shuffled by key, sorted (with
-    spill) and streamed through with one remembered time stamp, so no group is
-    ever held in memory.
-    """
-    micros = seconds * 1_000_000
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
-        for pdf in batches:
-            keep = []
-            for k, at in zip(pdf["_key"], pdf["_at"]):
-                if k != current:
-                    current, last = k, None
-                fire = last is None or at - last >= micros
-                if fire:
-                    last = at
-                keep.append(fire)
-            yield pdf[keep]
-
-    rows = alerts.select(F.col(key).alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).distinct()
-    ordered = rows.repartition("_key").sortWithinPartitions("_key", "_at")
-    sent = ordered.mapInPandas(walk, "_key string, _at bigint")
-    return sent.select(F.col("_key").alias(key), F.timestamp_micros("_at").alias(ts))
+    """Alerts that go out: suppressed within the interval since the last one *sent*."""
+    return rate_limited(alerts, key, ts, seconds)
 
 
 def with_previous(df: DataFrame, key: str, ts: str, value: Column, out: str, block_seconds: int = 86_400) -> DataFrame:

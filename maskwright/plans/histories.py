@@ -333,6 +333,19 @@ def alert_rate_limit(spark, root):
     return sent.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
+@query(
+    "alert_rate_limit_one_key",
+    "WITH RECURSIVE a AS MATERIALIZED (SELECT DISTINCT ts FROM events), "
+    "n AS MATERIALIZED (SELECT x.ts, y.ts AS after FROM a x ASOF JOIN a y ON x.ts + INTERVAL 10 MINUTE <= y.ts), "
+    "s AS (SELECT min(ts) AS ts FROM a UNION ALL SELECT n.after FROM s JOIN n ON n.ts = s.ts) "
+    "SELECT 'all' AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM s WHERE ts IS NOT NULL",
+)
+def alert_rate_limit_one_key(spark, root):
+    """Every event is an alert of one key."""
+    sent = L.sent_alerts(table(spark, root, "events").select(F.lit("all").alias("key"), "ts"), "key", "ts", 600)
+    return sent.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
 @query(
     "heartbeat_gaps",
     "WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) "
