@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
+from ..functions.keys import label
 from ..operators import logs as L
 from ..operators.ruleset import make_rules
 
-from ..sources.tables import table, work_dir
+from ..sources.tables import stored, table, work_dir
 from ..streaming.jobs import run_batches, run_to_table, run_updates, sweep_stream
 from ..streaming.redaction import current_vault, fail_closed, render_stream, vault_upsert
-from ..streaming.stateful import alert_stream, latch_stream, reassemble_stream
+from ..streaming.stateful import alert_stream, latch_stream, reassemble_stream, reverse_batch
+from ..streaming.timed import event_stream, limited_stream, rocksdb
 from ..streaming.windows import windowed_counts
-from .base import ORACLES, STD_RULES, query, redacted_ctes, test_key
+from .base import ORACLES, STD_RULES, label_sql, query, redacted_ctes, test_key
 from .notes import NOTES_SQL, notes
 from .scans import EMAIL
 from .vaults import VAULT
@@ -137,3 +141,95 @@ def stream_sweep(spark, root):
     )
     run_batches(units, sweep_stream(STD_RULES, test_key(), base), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/rewritten").select("path", "text")
+
+
+# --- tool inputs: framing, reassembly and reversal of one stream ------------------------------------
+
+_REMOTE = "mcp__"
+_INPUT_RULES = make_rules(aliases=[("C:\\Users\\jane", "D:\\Home\\person")], remote_prefixes=[_REMOTE])
+#: Characters of a chunk; records, JSON strings and labels are cut wherever it falls.
+_CHUNK = 61
+_BATCHES = 3
+
+
+def _secret(conv):
+    return F.concat(F.lit("user"), conv.cast("string"), F.lit("@corp.example"))
+
+
+def _event(kind: str, rest) :
+    """A server-sent event with a JSON payload."""
+    return F.concat(F.lit(f"event: {kind}\ndata: {{\"type\": \"{kind}\", \"index\": "), F.col("turn").cast("string"), rest, F.lit("}\n\n"))
+
+
+def write_chunks(spark, root):
+    """Each conversation as one stream of events, a tool input for each turn, cut into chunks that lie in several micro-batches."""
+    conv = table(spark, root, "conversations").where("text <> ''")
+    name = F.when(F.col("turn") % 3 == 2, f"{_REMOTE}ask").otherwise("Edit")
+    body = F.to_json(F.struct(
+        F.concat(F.lit("D:\\Home\\person\\"), F.col("turn").cast("string")).alias("path"),
+        F.concat("text", F.lit(" "), label(_secret(F.col("conv_id")), F.lit("email"), test_key())).alias("text"),
+    ))
+    conv = conv.select("conv_id", "turn", name.alias("name"), body.alias("body"))
+    half = F.ceil(F.length("body") / 2).cast("int")
+    piece = lambda a, n: F.regexp_extract(F.to_json(F.struct(F.substring(F.col("body"), a, n).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    delta = lambda a, n: _event("content_block_delta", F.concat(F.lit(', "delta": {"type": "input_json_delta", "partial_json": '), piece(a, n), F.lit("}")))
+    start = F.concat(F.lit(', "content_block": {"type": "tool_use", "name": "'), F.col("name"), F.lit('"}'))
+    events = F.concat(
+        _event("content_block_start", start), delta(F.lit(1), half), delta(half + 1, F.length("body")), _event("content_block_stop", F.lit(""))
+    )
+    turns = conv.select("conv_id", F.struct("turn", events.alias("events")).alias("t"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["events"]), "").alias("s"))
+    n = F.ceil(F.length("s") / _CHUNK).cast("int")
+    chunks = whole.select("conv_id", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("s", i * _CHUNK + 1, F.lit(_CHUNK)))).alias("seq", "chunk"))
+    rows = stored(chunks.select(
+        "conv_id", F.col("seq").cast("bigint").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("is_last"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")).alias("ts"), F.floor(F.col("seq") * _BATCHES / F.col("n")).cast("int").alias("batch"),
+    ), "chunks")
+    base = work_dir(spark, "chunk-stream")
+    for b in range(_BATCHES):
+        rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.parquet(f"{base}/batch-{b}")
+        time.sleep(0.01)  # the file source goes by modification time
+    reader = spark.readStream.schema(rows.drop("batch").schema).option("recursiveFileLookup", "true")
+    return reader.option("maxFilesPerTrigger", 1).parquet(base)
+
+
+@query(
+    "stream_tool_inputs",
+    "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'D:\\Home\\person\\' ELSE 'C:\\Users\\jane\\' END || turn AS path, "
+    "text || ' ' || CASE WHEN turn % 3 = 2 THEN " + label_sql("('user' || conv_id || '@corp.example')", "'email'")
+    + " ELSE 'user' || conv_id || '@corp.example' END AS text FROM conversations WHERE text <> ''",
+)
+def stream_tool_inputs(spark, root):
+    """Chunks become records, records whole inputs, and inputs for local tools get real names and values back.
+
+    The vault is a versioned table that each micro-batch reads as it is then.
+    """
+    chunks = write_chunks(spark, root)
+    base = work_dir(spark, "tool-inputs")
+    secrets = table(spark, root, "conversations").select(_secret(F.col("conv_id")).alias("value")).distinct()
+    secrets.select(label(F.col("value"), F.lit("email"), test_key()).alias("label"), "value", F.lit("2024-01-01").cast("timestamp").alias("last_seen"),
+                   F.lit("email").alias("category")).write.parquet(f"{base}/vault/batch=0")
+    events = event_stream(chunks, "conv_id", "seq", "chunk", "ts")
+
+    def write(batch, batch_id):
+        inputs = stored(batch.where("kind = 'input'"), "inputs")
+        known = current_vault(spark, f"{base}/vault").select("label", "value")
+        reverse_batch(inputs, ["stream_id", "n"], _INPUT_RULES, known).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    with rocksdb(spark):
+        run_batches(events, write, f"{base}/checkpoint")
+    done = spark.read.parquet(f"{base}/out")
+    field = lambda f: F.get_json_object("fragment", f"$.{f}").alias(f)
+    return done.select(F.col("stream_id").cast("bigint").alias("conv_id"), F.col("index").cast("bigint").alias("turn"), field("path"), field("text"))
+
+
+@query("stream_alerts_timed", ORACLES["alert_rate_limit"])
+def stream_alerts_timed(spark, root):
+    """The alert limit on a stream whose state ends with each key's interval."""
+    message = F.concat(F.lit("group "), (F.col("user_id") % 20).cast("string"), F.lit(" at 10.1.2.3"))
+    errors = stream(spark, root, "events").where("event_type = 'error'").select(
+        L.alert_key(F.lit("warn"), F.lit("bad"), message).alias("key"), "ts"
+    )
+    with rocksdb(spark):
+        sent = run_to_table(limited_stream(errors, "key", "ts", 6 * 3600), "alerts")
+    return sent.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
