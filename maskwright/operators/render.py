@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import LabelKey
 from ..functions.let import let
+from ..functions.scan import count_up_to
 from .aliases import to_alias
 from .normalize import normalize
 from .ruleset import RuleSet
@@ -60,17 +61,29 @@ def rendered_text(text: Column, rules: RuleSet, key: LabelKey) -> Column:
     return out
 
 
-def map_back(offset: Column, spans: Column) -> Column:
-    """One stage: output offset to source offset, null strictly inside a replacement."""
-    inside = F.exists(spans, lambda s: (s.out_start < offset) & (offset < s.out_end))
-    shift = F.aggregate(
-        F.filter(spans, lambda s: s.out_start < offset),
-        F.lit(0).cast("int"),
-        lambda acc, s: acc + (s.src_end - s.src_start) - (s.out_end - s.out_start),
-    )
-    return F.when(~inside, offset + shift)
+def span_starts(spans: Column) -> Column:
+    return F.transform(spans, lambda s: s.out_start)
 
 
-def map_to_source(offset: Column, stages: Column) -> Column:
-    """Rendered offset to original offset through the stages in reverse."""
-    return F.aggregate(F.reverse(stages), offset.cast("int"), lambda o, spans: map_back(o, spans))
+def map_back(offset: Column, spans: Column, starts: Column | None = None) -> Column:
+    """One stage: output offset to source offset, null strictly inside a replacement.
+
+    Spans ascend and are disjoint, so the last one that begins before the offset decides; it is found
+    by binary search.  ``starts`` are the spans' ``out_start``, if they are at hand.
+    """
+
+    def mapped(n: Column) -> Column:
+        return let(
+            F.get(spans, n - 1),
+            lambda s: F.when(n == 0, offset).when(offset >= s.out_end, offset - s.out_end + s.src_end),
+        )
+
+    return let(count_up_to(span_starts(spans) if starts is None else starts, offset - 1), mapped)
+
+
+def map_to_source(offset: Column, stages: Column, starts: Column | None = None) -> Column:
+    """Rendered offset to original offset through the stages in reverse; ``starts`` are ``span_starts`` of each stage."""
+    if starts is None:
+        return F.aggregate(F.reverse(stages), offset.cast("int"), lambda o, spans: map_back(o, spans))
+    paired = F.reverse(F.arrays_zip(stages.alias("spans"), starts.alias("starts")))
+    return F.aggregate(paired, offset.cast("int"), lambda o, p: map_back(o, p["spans"], p["starts"]))

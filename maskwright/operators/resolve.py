@@ -11,7 +11,7 @@ from ..functions.let import let
 from ..functions.regexes import MATCH_MARK
 from .joins import is_small, lookup
 from .nested import deep_transform
-from .render import map_to_source, render
+from .render import map_to_source, render, span_starts
 from .ruleset import RuleSet
 from .spans import cut, working_copy
 
@@ -197,48 +197,63 @@ def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
 # --- edits --------------------------------------------------------------------------------
 
 
+#: Edits of one unit that one row carries beside the unit's text.
+PACK = 256
+
+
+def packed_edits(edits: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _pack``: the edits of a unit in lists of about ``PACK``."""
+    lots = edits.groupBy(*keys).agg(F.ceil(F.count("*") / PACK).alias("_lots"))
+    dealt = edits.join(lots, keys).withColumn("_lot", F.pmod(F.xxhash64("edit_id"), F.col("_lots")))
+    return dealt.groupBy(*keys, "_lot").agg(F.collect_list(F.struct("edit_id", "old", "new")).alias("_pack")).drop("_lot")
+
+
 def translate_edits(
     docs: DataFrame, edits: DataFrame, keys: list[str], text: str, rules: RuleSet, key: LabelKey
 ) -> DataFrame:
     """Edits ``(keys, edit_id, old, new)`` on rendered text, against the real text.
 
-    Each text with edits is rendered once.  The old string must occur exactly
-    once and both its ends must map back; otherwise the edit is refused with
-    the reason in ``status``.
+    Each text with edits is rendered once, and once for each ``PACK`` of its edits the text and its
+    maps meet them: no edit carries a text of its own, and ends are mapped back by binary search.
+    The old string must occur exactly once and both its ends must map back; otherwise the edit is
+    refused with the reason in ``status``.
     """
     touched = docs.join(edits.select(*keys).distinct(), keys, "left_semi")
-    rendered = touched.select(*keys, text, F.explode(F.array(render(F.col(text), rules, key))).alias("_r"))
-    both = edits.join(rendered, keys, "left")
-    old = F.col("old")
-    at = F.expr("locate(old, _r.text)")
-    again = F.expr("locate(old, _r.text, locate(old, _r.text) + 1)")
-    placed = both.withColumns(
-        {
-            "_at": at - 1,
-            "_again": again,
-            "_new": rehydrate(F.col("new"), F.col("_r.redact_spans")),
-        }
-    ).withColumns(
-        {
-            "_from": map_to_source(F.col("_at"), F.col("_r.stages")),
-            "_to": map_to_source(F.col("_at") + F.length(old), F.col("_r.stages")),
-        }
-    )
-    status = (
-        F.when(F.col("_r").isNull(), "no_unit")
-        .when(old.isNull() | (old == ""), "empty")
-        .when(F.col("_at") < 0, "not_found")
-        .when(F.col("_again") > 0, "ambiguous")
-        .when(F.col("_from").isNull() | F.col("_to").isNull(), "inside_span")
-        .when(F.col("_new").isNull(), "unknown_label")
-        .otherwise("ok")
-    )
-    ok = F.col("status") == "ok"
-    return placed.withColumn("status", status).select(
-        *keys, "edit_id", "status",
-        F.when(ok, cut(F.col(text), F.col("_from"), F.col("_to"))).alias("real_old"),
-        F.when(ok, F.col("_new")).alias("real_new"),
+    rendered = touched.select(*keys, text, F.explode(F.array(render(F.col(text), rules, key))).alias("_r")).select(
+        *keys, F.col(text).alias("_real"), F.col("_r.text").alias("_shown"), F.col("_r.stages").alias("_stages"),
+        F.transform("_r.stages", span_starts).alias("_starts"), span_values(F.col("_r.redact_spans")).alias("_values"),
     )
+    real, shown, stages, starts = (F.col(c) for c in ("_real", "_shown", "_stages", "_starts"))
+
+    def placed(e):
+        first = F.position(e["old"], shown)
+        known = F.coalesce("_values", F.create_map().cast(NO_VALUES))
+        return F.struct(
+            e["edit_id"].alias("edit_id"), e["old"].alias("old"), first.alias("at"), F.position(e["old"], shown, first + 1).alias("again"),
+            map_to_source(first - 1, stages, starts).alias("from_"), map_to_source(first - 1 + F.length(e["old"]), stages, starts).alias("to_"),
+            let(fill(e["new"], known), lambda t: F.when(~has_label(t), t)).alias("real_new"),
+        )
+
+    def judged(p):
+        status = (
+            F.when(shown.isNull(), "no_unit")
+            .when(p["old"].isNull() | (p["old"] == ""), "empty")
+            .when(p["at"] < 1, "not_found")
+            .when(p["again"] > 0, "ambiguous")
+            .when(p["from_"].isNull() | p["to_"].isNull(), "inside_span")
+            .when(p["real_new"].isNull(), "unknown_label")
+            .otherwise("ok")
+        )
+        return let(
+            status,
+            lambda s: F.struct(
+                p["edit_id"].alias("edit_id"), s.alias("status"), F.when(s == "ok", cut(real, p["from_"], p["to_"])).alias("real_old"),
+                F.when(s == "ok", p["real_new"]).alias("real_new"),
+            ),
+        )
+
+    both = packed_edits(edits, keys).join(rendered, keys, "left")
+    return both.select(*keys, F.inline(F.transform("_pack", lambda e: let(placed(e), judged))))
 
 
 def all_or_nothing(translated: DataFrame, keys: list[str]) -> DataFrame:

@@ -300,12 +300,12 @@ _RED = (
     "reds AS (SELECT *, rs + 23 + length(category) AS re, row_number() OVER (PARTITION BY unit ORDER BY s) AS k FROM red)"
 )
 _EDITS = (
-    f"{_RED}, base AS (SELECT f.unit, f.rs, f.re, r.out, r.text, {label_sql('f.value', 'f.category')} AS label FROM reds f JOIN redacted r USING (unit) WHERE k = 1), "
-    "edits AS (SELECT unit, 1 AS edit_id, substr(out, greatest(rs - 4, 0) + 1, re + 4 - greatest(rs - 4, 0)) AS old, '<' || label || '>' AS new, greatest(rs - 4, 0) AS a, least(re + 4, length(out)) AS b, out, text FROM base "
-    "UNION ALL SELECT unit, 2, substr(out, rs + 3, re - rs), 'x', rs + 2, least(re + 2, length(out)), out, text FROM base "
-    "UNION ALL SELECT unit, 3, 'no such text', 'x', NULL, NULL, out, text FROM base "
-    "UNION ALL SELECT unit, 4, 'e', 'x', NULL, NULL, out, text FROM base "
-    "UNION ALL SELECT unit, 5, substr(out, 1, rs), '[PII:email:0000000000000000]', 0, rs, out, text FROM base WHERE rs > 6), "
+    f"{_RED}, base AS (SELECT f.unit, f.rs, f.re, r.out, r.text, f.value AS val, {label_sql('f.value', 'f.category')} AS label FROM reds f JOIN redacted r USING (unit) WHERE k = 1), "
+    "edits AS (SELECT unit, 1 AS edit_id, substr(out, greatest(rs - 4, 0) + 1, re + 4 - greatest(rs - 4, 0)) AS old, '<' || label || '>' AS new, greatest(rs - 4, 0) AS a, least(re + 4, length(out)) AS b, out, text, val FROM base "
+    "UNION ALL SELECT unit, 2, substr(out, rs + 3, re - rs), 'x', rs + 2, least(re + 2, length(out)), out, text, val FROM base "
+    "UNION ALL SELECT unit, 3, 'no such text', 'x', NULL, NULL, out, text, val FROM base "
+    "UNION ALL SELECT unit, 4, 'e', 'x', NULL, NULL, out, text, val FROM base "
+    "UNION ALL SELECT unit, 5, substr(out, 1, rs), '[PII:email:0000000000000000]', 0, rs, out, text, val FROM base WHERE rs > 6), "
     "seen AS (SELECT e.*, CASE WHEN old = '' THEN 0 ELSE (length(out) - length(replace(out, old, ''))) / length(old) END AS times FROM edits e), "
     "mapped AS (SELECT s.*, coalesce(s.a, instr(out, old) - 1) AS fa, coalesce(s.b, instr(out, old) - 1 + length(old)) AS fb FROM seen s), "
     "ends AS (SELECT m.unit, m.edit_id, "
@@ -314,7 +314,7 @@ _EDITS = (
     "bool_or((r.rs < m.fa AND m.fa < r.re) OR (r.rs < m.fb AND m.fb < r.re)) AS inside FROM mapped m LEFT JOIN reds r ON r.unit = m.unit GROUP BY m.unit, m.edit_id, m.fa, m.fb), "
     "done AS (SELECT m.unit, m.edit_id, CASE WHEN old = '' THEN 'empty' WHEN times = 0 THEN 'not_found' WHEN times > 1 THEN 'ambiguous' WHEN inside THEN 'inside_span' "
     "WHEN m.edit_id = 5 THEN 'unknown_label' ELSE 'ok' END AS status, substr(text, CAST(ra + 1 AS BIGINT), CAST(rb - ra AS BIGINT)) AS real_old, "
-    "new, (SELECT b.text FROM base b WHERE b.unit = m.unit) AS t FROM mapped m JOIN ends USING (unit, edit_id))"
+    "new, val FROM mapped m JOIN ends USING (unit, edit_id))"
 )
 _EDIT_HEAD = f"WITH {NOTES_SQL}, {redacted_ctes('notes', 'unit')}, {_EDITS} "
 
@@ -346,7 +346,7 @@ def translated(spark, root):
 @query(
     "edit_translation",
     _EDIT_HEAD + "SELECT unit, edit_id, status, CASE WHEN status = 'ok' THEN real_old END AS real_old, CASE WHEN status = 'ok' THEN "
-    "CASE WHEN edit_id = 1 THEN '<' || (SELECT f.value FROM reds f WHERE f.unit = done.unit AND k = 1) || '>' ELSE new END END AS real_new FROM done",
+    "CASE WHEN edit_id = 1 THEN '<' || val || '>' ELSE new END END AS real_new FROM done",
 )
 def edit_translation(spark, root):
     return translated(spark, root)

@@ -93,3 +93,37 @@ def test_record_fields(spark, key):
     assert got[1] == ("pathResolved", "d/a@b.co") and got[2] == ("pathUnsafe", f"d/{climb}")
     assert got[3][0] == "patternLabelUnresolved" and got[4] == ("remote", lab) and got[5] == ("resolved", "a@b.co")
     assert got[6] == ("noLabel", "plain") and got[7] == ("resolved", "../../x")
+
+
+def test_a_unit_with_many_edits_is_dealt_to_packs(spark, key):
+    from maskwright.operators import resolve
+
+    docs = spark.createDataFrame([(1, "".join(f"w{i:04d} " for i in range(700)) + "me@x.org"), (2, "alone me@x.org")], "unit int, text string")
+    rows = [(1, i, f"w{i:04d} ", f"v{i}") for i in range(700)] + [(2, 0, "alone", "x"), (3, 0, "a", "b")]
+    edits = spark.createDataFrame(rows, "unit int, edit_id int, old string, new string")
+    packs = resolve.packed_edits(edits, ["unit"]).collect()
+    assert len([p for p in packs if p.unit == 1]) == 3 and sum(len(p._pack) for p in packs) == 702
+    rules = make_rules([pattern_named("email")])
+    got = resolve.translate_edits(docs, edits, ["unit"], "text", rules, key).collect()
+    assert {(r.unit, r.edit_id): (r.status, r.real_old, r.real_new) for r in got} == {
+        (u, i): ("no_unit", None, None) if u == 3 else ("ok", old, new) for u, i, old, new in rows
+    }
+
+
+def test_offsets_by_binary_search(spark):
+    from pyspark.sql import functions as F
+
+    from maskwright.operators.render import map_back
+
+    spans = [(2, 5, 2, 10), (7, 7, 12, 15), (9, 12, 17, 17)]
+    kind = "array<struct<src_start:int,src_end:int,out_start:int,out_end:int>>"
+    df = spark.range(25).select(F.col("id").cast("int").alias("o"), F.lit(None).cast(kind).alias("none"))
+    df = df.crossJoin(spark.createDataFrame([(spans,)], f"spans {kind}"))
+
+    def plain(o):
+        if any(s[2] < o < s[3] for s in spans):
+            return None
+        return o + sum((s[1] - s[0]) - (s[3] - s[2]) for s in spans if s[2] < o)
+
+    got = {r.o: r.m for r in df.select("o", map_back(F.col("o"), F.col("spans")).alias("m")).collect()}
+    assert got == {o: plain(o) for o in range(25)}
