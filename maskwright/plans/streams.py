@@ -15,7 +15,7 @@ from ..streaming.jobs import run_batches, run_to_table, run_updates, sweep_strea
 from ..streaming.redaction import current_vault, fail_closed, render_stream, vault_upsert
 from ..streaming.stateful import alert_stream, latch_stream, reassemble_stream, reverse_batch
 from ..streaming.timed import event_stream, limited_stream, rocksdb
-from ..streaming.windows import windowed_counts
+from ..streaming.windows import sessions, windowed_counts
 from .base import ORACLES, STD_RULES, label_sql, query, redacted_ctes, test_key
 from .notes import NOTES_SQL, notes
 from .scans import EMAIL
@@ -143,6 +143,34 @@ def stream_sweep(spark, root):
     return spark.read.parquet(f"{base}/rewritten").select("path", "text")
 
 
+# --- silence ---------------------------------------------------------------------------------------
+
+_SILENCE = 36_000
+_RUNS = (
+    "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 36000000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "i AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), "
+    "r AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS n FROM i GROUP BY user_id, run) "
+    "SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, CAST(n AS BIGINT) AS n FROM r"
+)
+
+
+def _shown_runs(runs):
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return runs.select("user_id", F.date_format("started", fmt).alias("started"), F.date_format("last_seen", fmt).alias("last_seen"), "n")
+
+
+@query("heartbeat_sessions", _RUNS)
+def heartbeat_sessions(spark, root):
+    """Runs of heartbeats of each user with no silence of ten hours between."""
+    return _shown_runs(sessions(table(spark, root, "events"), "user_id", "ts", _SILENCE))
+
+
+@query("stream_sessions", _RUNS + " WHERE b + INTERVAL 10 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_sessions(spark, root):
+    """The runs whose silence the watermark has passed."""
+    return _shown_runs(run_to_table(sessions(stream(spark, root, "events"), "user_id", "ts", _SILENCE), "sessions"))
+
+
 # --- tool inputs: framing, reassembly and reversal of one stream ------------------------------------
 
 _REMOTE = "mcp__"

@@ -12,7 +12,7 @@ from ..operators.nested import json_skeleton
 from ..operators.ruleset import RuleSet, make_rules
 from ..operators.spans import redact
 from ..sources import files as I
-from ..sources.tables import table
+from ..sources.tables import table, work_dir
 from .base import STD_RULES, label_sql, query, quoted, redacted_ctes, span_ctes, test_key
 from .configs import ALI_SQL, KEPT_SQL, RISK, aliases, literals
 from .notes import NOTES_SQL, notes
@@ -520,3 +520,18 @@ def overmatch_notes(spark, root):
 )
 def alias_self_test(spark, root):
     return Q.alias_table_checks(aliases(spark, root))
+
+
+@query(
+    "line_numbers",
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS BIGINT) AS line_no, text FROM documents",
+)
+def line_numbers(spark, root):
+    """Documents written as JSON lines, a thousand ids a file, and read in splits with their line numbers."""
+    base = work_dir(spark, "line-numbers")
+    rows = table(spark, root, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 1000).alias("part"))
+    lines = rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    lines.write.partitionBy("part").text(base)
+    read = I.jsonl_source(spark, base).where("status = 'json'")
+    fields = F.from_json("line", "doc_id bigint, text string").alias("r")
+    return read.select("line_no", fields).select("r.doc_id", "line_no", "r.text")

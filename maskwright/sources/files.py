@@ -108,9 +108,23 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line_no, at, line``: lines of files of any size, numbered from 1 in each file.
+
+    Two passes: the first counts the lines of each split, and sums over a file's splits give the number
+    that a split begins with; the second reads the lines.  A task reads a split's lines one after the other,
+    so a line's place in it is its distance from the split's first.  One row for each split is joined.
+    """
+    lines = text_lines(spark, path).withColumn("block", F.col("at.block"))
+    splits = lines.groupBy("path", "block").agg(F.min("at.row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = splits.select("path", "block", (F.coalesce(before, F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    return lines.join(starts, ["path", "block"]).select("path", (F.col("at.row") + F.col("_shift")).alias("line_no"), "at", "line")
+
+
 def jsonl_source(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of files too large to be one row each, with the status of every line."""
-    lines = text_lines(spark, path)
+    """JSON lines of files too large to be one row each, with the number and the status of every line."""
+    lines = numbered_lines(spark, path)
     status = F.when(F.trim("line") == "", "blank").when(F.try_parse_json("line").isNull(), "unparsed").otherwise("json")
     return lines.withColumn("status", status)
 
