@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog
@@ -11,7 +12,9 @@ from ..functions.let import let
 from .nested import text_or_json
 from .render import rendered_text
 from .ruleset import RuleSet
-from .spans import category_counts, find_hits
+
+#: The category of a label that a render writes.
+LABEL_CATEGORY = r"\[PII:([A-Za-z0-9_-]+):[0-9a-f]{16}\]"
 
 STAT = ["path", "modification_time", "length"]
 
@@ -110,21 +113,40 @@ def rewritten(raw: Column, fmt: Column, rules: RuleSet, key: LabelKey) -> Column
     )
 
 
+def replaced_counts(before: Column, after: Column) -> Column:
+    """``map<category, n>`` of what a render replaced: the labels that it added.
+
+    Labels that were there before are never touched, and kept lines add none, so no text is searched again.
+    """
+
+    def categories(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(LABEL_CATEGORY), F.lit(1))
+
+    def counted(there: Column) -> Column:
+        def times(cats: Column, c: Column) -> Column:
+            return F.size(F.filter(cats, lambda x: x == c))
+
+        names = F.array_sort(F.array_distinct(there["after"]))
+        rows = F.transform(names, lambda c: F.struct(c.alias("key"), (times(there["after"], c) - times(there["before"], c)).alias("value")))
+        return F.map_from_entries(F.filter(rows, lambda r: r["value"] > 0))
+
+    return let(F.struct(categories(before).alias("before"), categories(after).alias("after")), counted)
+
+
 def sweep(units: DataFrame, rules: RuleSet, key: LabelKey) -> DataFrame:
     """Examine ``path, modification_time, length, format, raw``.
 
     Adds ``status`` (clean or changed), ``text``, ``lines_changed``,
-    ``unparsed`` and the category counts of what is removed.  One narrow stage.
+    ``unparsed`` and the category counts of what was replaced.  One narrow stage.
     """
     done = units.select(
         *STAT, "raw", F.explode(F.array(rewritten(F.col("raw"), F.col("format"), rules, key))).alias("_r")
     )
     changed = F.col("_r.text") != F.col("raw")
-    spans = F.when(changed, find_hits(F.col("raw"), rules))
     return done.select(
         *STAT, "raw", F.col("_r.text").alias("text"), F.col("_r.lines_changed").alias("lines_changed"),
         F.col("_r.unparsed").alias("unparsed"), F.when(changed, "changed").otherwise("clean").alias("status"),
-        category_counts(spans).alias("categories"),
+        F.when(changed, replaced_counts(F.col("raw"), F.col("_r.text"))).alias("categories"),
     )
 
 
@@ -172,6 +194,74 @@ def apply_sweep(results: DataFrame, out: str, run_id: str, backup: bool = True)
     return spark.read.parquet(staged)
 
 
+# --- runs that can be resumed -------------------------------------------------------------
+
+#: What a run writes, in this order; the last one is a record only.
+STEPS = ("staged", "backup", "rewritten", "manifest", "committed")
+_LEDGER = "run_id string, step string, units bigint, skipped bigint"
+
+
+def ledger(spark: SparkSession, out: str) -> DataFrame:
+    """``run_id, step, units, skipped`` of every finished step; empty before the first run."""
+    try:
+        rows = spark.read.schema(_LEDGER).option("recursiveFileLookup", "true").parquet(f"{out}/ledger")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], _LEDGER)
+    return rows
+
+
+def committed(spark: SparkSession, out: str, part: str) -> DataFrame:
+    """A part (``backup``, ``rewritten``, ``manifest``) of the runs whose commit record is there, with ``run_id``."""
+    done = ledger(spark, out).where("step = 'committed'").select("run_id")
+    return spark.read.parquet(f"{out}/{part}").join(done, "run_id", "left_semi")
+
+
+def run_steps(results: DataFrame, out: str, run_id: str, until: str = "committed") -> DataFrame:
+    """Write a run step by step, each followed by its ledger row; the commit record comes last.
+
+    Called again with the run's id, it goes on after the last step in the ledger, from the run's own
+    staged part: ``results`` are not computed again.  What a broken step left is overwritten, as nobody
+    reads a run without a commit record.  A unit without its pre-image in the backup is not rewritten;
+    it is counted as skipped, and ``missing_backup`` has its path.
+    """
+    spark = results.sparkSession
+    have = {r.step for r in ledger(spark, out).where(F.col("run_id") == run_id).select("step").collect()}
+
+    def at(part: str) -> str:
+        return f"{out}/{part}/run_id={run_id}"
+
+    def changed() -> DataFrame:
+        return spark.read.parquet(at("staged")).where("status = 'changed'")
+
+    def saved() -> DataFrame:
+        return changed().join(spark.read.parquet(at("backup")).where("raw IS NOT NULL").select("path"), "path", "left_semi")
+
+    writes = {
+        "staged": lambda: results,
+        "backup": lambda: changed().select("path", "raw"),
+        "rewritten": lambda: saved().select("path", "text"),
+        "manifest": lambda: manifest(saved()),
+    }
+    for step in STEPS[: STEPS.index(until) + 1]:
+        if step in have:
+            continue
+        if step in writes:
+            writes[step]().write.mode("overwrite").parquet(at(step))
+        units = spark.read.parquet(at(step if step in writes else "rewritten")).count()
+        skipped = changed().count() - units if step in ("rewritten", "manifest", "committed") else 0
+        row = spark.createDataFrame([(run_id, step, units, skipped)], _LEDGER)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{out}/ledger/{run_id}/{step}")
+    return ledger(spark, out).where(F.col("run_id") == run_id)
+
+
+def missing_backup(spark: SparkSession, out: str, run_id: str) -> DataFrame:
+    """``path`` of the units that a run left as they were because their pre-image is missing."""
+    changed = spark.read.parquet(f"{out}/staged/run_id={run_id}").where("status = 'changed'").select("path")
+    return changed.join(spark.read.parquet(f"{out}/backup/run_id={run_id}").where("raw IS NOT NULL").select("path"), "path", "left_anti")
+
+
 # --- summaries and job records --------------------------------------------------------------
 
 

@@ -535,3 +535,46 @@ def line_numbers(spark, root):
     read = I.jsonl_source(spark, base).where("status = 'json'")
     fields = F.from_json("line", "doc_id bigint, text string").alias("r")
     return read.select("line_no", fields).select("r.doc_id", "line_no", "r.text")
+
+
+# --- JSON lines and runs that can be resumed --------------------------------------------------------
+
+
+def jsonl_units(spark, root):
+    """Each document as JSON lines: its text as a value, a blank line, and a broken line with the same text."""
+    flat = F.regexp_replace("text", r"[\r\n]", " ")
+    raw = F.concat(F.to_json(F.struct(F.col("text").alias("t"))), F.lit("\n\n{broken "), flat)
+    return table(spark, root, "documents").where("text IS NOT NULL").select(
+        F.col("doc_id").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modification_time"),
+        F.length(raw).cast("bigint").alias("length"), F.lit("jsonl").alias("format"), raw.alias("raw"),
+    )
+
+
+@query(
+    "run_manifest_jsonl",
+    f"WITH {_RED}, c AS (SELECT doc_id, category, count(*) AS n FROM spans GROUP BY ALL) "
+    "SELECT doc_id AS path, CAST(1 AS BIGINT) AS lines_changed, CAST(1 AS BIGINT) AS unparsed, string_agg(category || '=' || n, ' ' ORDER BY category) AS categories "
+    "FROM c GROUP BY doc_id",
+)
+def run_manifest_jsonl(spark, root):
+    """What a pass replaces in JSON lines: the line that does not parse is kept, and its hits do not count."""
+    done = S.sweep(jsonl_units(spark, root), STD_RULES, test_key()).where("status = 'changed'")
+    shown = F.array_join(
+        F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), " "
+    )
+    return done.select("path", *[F.col(c).cast("bigint").alias(c) for c in ("lines_changed", "unparsed")], shown.alias("categories"))
+
+
+@query(
+    "run_ledger",
+    f"WITH {_RED}, n AS (SELECT count(*) AS examined, count(*) FILTER (out <> text) AS changed FROM redacted) "
+    "SELECT step, CAST(CASE WHEN step = 'staged' THEN examined ELSE changed END AS BIGINT) AS units, 0::BIGINT AS skipped "
+    "FROM n, (SELECT unnest(['staged', 'backup', 'rewritten', 'manifest', 'committed']) AS step)",
+)
+def run_ledger(spark, root):
+    """The steps of a run that broke off after its backup and was resumed."""
+    out = work_dir(spark, "ledger")
+    results = swept(spark, root)
+    S.run_steps(results, out, "r1", until="backup")
+    S.run_steps(results.where("1 = 0"), out, "r1")  # the staged part counts, not what is passed again
+    return S.ledger(spark, out).select("step", "units", "skipped")
