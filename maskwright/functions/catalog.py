@@ -116,10 +116,11 @@ PLACEHOLDER_LITERALS = [
     "+1-555-000-0000",
     "your street address",
 ]
-RISKY_ALIASES = (
-    "host hostname server machine box pc home user name local dev test prod app "
-    "src tmp data path dir admin root me my work desktop laptop node main"
-).split()
+RISKY_ALIASES = [
+    "host", "hostname", "server", "machine", "box", "pc", "home", "user", "name",
+    "local", "dev", "test", "prod", "app", "src", "tmp", "data", "path", "dir",
+    "admin", "root", "me", "my", "work", "desktop", "laptop", "node", "main",
+]
 PLAIN_ALIAS_CHARS = 8
 SANITIZED_NAME = "example-user"
 
@@ -158,7 +159,7 @@ LOG_TOKEN = r"([?&]t=)[0-9a-f]{16,}"
 LOG_ERROR_WORDS = ["REFUSED", "NOT MASK", "EXPOSED", "DIRECT CONNECTION", "UNHEALTHY"]
 
 # --- fixed values: sources ---------------------------------------------------------
-BINARY_EXTENSIONS = "png jpg jpeg gif webp pdf zip gz exe dll node".split()
+BINARY_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "webp", "pdf", "zip", "gz", "exe", "dll", "node"]
 REPORT_EXTRA_EXTENSIONS = ["ico"]
 SKIPPED_DIRS = [".git", "node_modules", ".playwright-mcp"]
 REPORT_MAX_BYTES = 8 * 1024 * 1024

@@ -240,7 +240,7 @@ def report_lines(hits: DataFrame, key: str) -> DataFrame:
         F.concat(
             F.col(key).cast("string"), F.lit("   ("), F.col("n").cast("string"),
             F.when(F.col("n") == 1, " occurrence)").otherwise(" occurrences)"),
-            F.when(F.col("severe"), "  <<< IDENTITY/PERSONAL").otherwise(""),
+            F.when(F.col("severe"), "  [severe]").otherwise(""),
         ).alias("line_text"),
     )
     body = hits.join(per_unit, key).select(
@@ -293,7 +293,7 @@ def pattern_profile(df: DataFrame, text: str, patterns) -> DataFrame:
         wide.select(F.inline(rows))
         .withColumn(
             "verdict",
-            F.when(F.col("hits") == 0, "no hits here (safe to add)").otherwise("REVIEW before adopting"),
+            F.when(F.col("hits") == 0, "nothing matches in this corpus").otherwise("look at the matches first"),
         )
         .orderBy(F.desc("hits"), "name")
     )

@@ -235,9 +235,9 @@ def alias_risk(alias: Column) -> Column:
         F.when(alias.isNull() | (alias == ""), "empty")
         .when(
             F.lower(a).isin(catalog.RISKY_ALIASES),
-            F.concat(F.lit('"'), a, F.lit('" is a common word or identifier')),
+            F.concat(F.lit("everyday name: "), a),
         )
-        .when(plain, F.concat(F.lit('"'), a, F.lit('" is a short plain word ('), F.length(a).cast("string"), F.lit(" chars)")))
+        .when(plain, F.concat(F.lit("plain word of "), F.length(a).cast("string"), F.lit(" letters: "), a))
     )
 
 

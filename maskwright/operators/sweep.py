@@ -281,7 +281,7 @@ def scan_summary(per_unit: DataFrame) -> DataFrame:
 
 def tail_truncated(output: Column, limit: int = catalog.DETAIL_MAX_CHARS) -> Column:
     """Keep the end, where the verdict is, and mark the cut."""
-    marker = f"[... truncated, showing the last {limit} bytes ...]\n"
+    marker = f"[cut to the last {limit} characters]\n"
     return F.when(F.length(output) > limit, F.concat(F.lit(marker), F.right(output, F.lit(limit)))).otherwise(output)
 
 

@@ -178,11 +178,11 @@ def risk_notes(value: Column) -> Column:
     return F.array_join(
         F.array_compact(
             F.array(
-                F.when(n <= 3, "very short: will match inside unrelated words").when(
-                    n <= 5, "short: check it is not a common word"
+                F.when(n <= 3, "three characters at most, so found within other words").when(
+                    n <= 5, "five characters at most, may be an everyday word"
                 ),
-                F.when(F.rlike(value, F.lit("^[0-9]+$")) & (n <= 9), "bare digits: may match IDs and timestamps"),
-                F.when(F.rlike(value, F.lit("^[A-Za-z]+$")) & (n <= 6), "single common-looking word"),
+                F.when(F.rlike(value, F.lit("^[0-9]+$")) & (n <= 9), "digits only, like many numbers in logs"),
+                F.when(F.rlike(value, F.lit("^[A-Za-z]+$")) & (n <= 6), "one plain word of few letters"),
             )
         ),
         "; ",

@@ -42,8 +42,8 @@ VERDICT = (
 )
 _RISKY = ", ".join(quoted(x) for x in catalog.RISKY_ALIASES)
 RISK = (
-    f"CASE WHEN alias = '' THEN 'empty' WHEN lower(trim(alias)) IN ({_RISKY}) THEN '\"' || trim(alias) || '\" is a common word or identifier' "
-    "WHEN length(trim(alias)) < 8 AND regexp_full_match(trim(alias), '[A-Za-z]+') THEN '\"' || trim(alias) || '\" is a short plain word (' || length(trim(alias)) || ' chars)' END"
+    f"CASE WHEN alias = '' THEN 'empty' WHEN lower(trim(alias)) IN ({_RISKY}) THEN 'everyday name: ' || trim(alias) "
+    "WHEN length(trim(alias)) < 8 AND regexp_full_match(trim(alias), '[A-Za-z]+') THEN 'plain word of ' || length(trim(alias)) || ' letters: ' || trim(alias) END"
 )
 
 

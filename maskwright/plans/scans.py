@@ -291,7 +291,7 @@ def change_log(spark, root):
     f"WITH {ALL_HITS}, x AS (SELECT s.*, {LINE} AS line, {CONTEXT} AS context FROM hits s JOIN documents d USING (doc_id)), "
     "u AS (SELECT doc_id, count(*) AS n, bool_or(category IN ('identity', 'personal')) AS severe FROM hits GROUP BY doc_id) "
     "SELECT doc_id, CAST(0 AS BIGINT) AS off, doc_id || '   (' || n || CASE WHEN n = 1 THEN ' occurrence)' ELSE ' occurrences)' END || "
-    "CASE WHEN severe THEN '  <<< IDENTITY/PERSONAL' ELSE '' END AS line_text FROM u UNION ALL "
+    "CASE WHEN severe THEN '  [severe]' ELSE '' END AS line_text FROM u UNION ALL "
     "SELECT doc_id, s + 1, '  line ' || lpad(CAST(line AS VARCHAR), 6, ' ') || '  [' || category || ']  ' || value || "
     "CASE WHEN context <> '' AND context <> value THEN chr(10) || '              | ' || context ELSE '' END FROM x",
 )
@@ -336,7 +336,7 @@ PROFILED = [EMAIL, SECRET_HEX] + [p for p in optional_patterns() if p.name in (
         f"SELECT '{p.name}' AS name, len(regexp_extract_all(text, {quoted(('(?i)' if p.insensitive else '') + p.regex)})) AS k FROM documents"
         for p in PROFILED
     ) + ") SELECT name, CAST(sum(k) AS BIGINT) AS hits, CAST(count(*) FILTER (k > 0) AS BIGINT) AS units, "
-    "CASE WHEN sum(k) = 0 THEN 'no hits here (safe to add)' ELSE 'REVIEW before adopting' END AS verdict FROM n GROUP BY name",
+    "CASE WHEN sum(k) = 0 THEN 'nothing matches in this corpus' ELSE 'look at the matches first' END AS verdict FROM n GROUP BY name",
 )
 def pattern_corpus_profile(spark, root):
     return R.pattern_profile(docs(spark, root), "text", PROFILED)

@@ -325,7 +325,7 @@ def most_affected(spark, root):
 
 @query(
     "detail_tail",
-    "SELECT doc_id, CASE WHEN length(text) > 2000 THEN '[... truncated, showing the last 2000 bytes ...]' || chr(10) || right(text, 2000) ELSE text END AS detail, "
+    "SELECT doc_id, CASE WHEN length(text) > 2000 THEN '[cut to the last 2000 characters]' || chr(10) || right(text, 2000) ELSE text END AS detail, "
     "length(text) > 0 AS has_log FROM documents",
 )
 def detail_tail(spark, root):
@@ -506,9 +506,9 @@ def literal_self_test(spark, root):
 
 @query(
     "overmatch_notes",
-    f"WITH {_AUDIT_LITS} SELECT value, concat_ws('; ', CASE WHEN length(value) <= 3 THEN 'very short: will match inside unrelated words' WHEN length(value) <= 5 THEN 'short: check it is not a common word' END, "
-    "CASE WHEN regexp_full_match(value, '[0-9]+') AND length(value) <= 9 THEN 'bare digits: may match IDs and timestamps' END, "
-    "CASE WHEN regexp_full_match(value, '[A-Za-z]+') AND length(value) <= 6 THEN 'single common-looking word' END) AS notes FROM one",
+    f"WITH {_AUDIT_LITS} SELECT value, concat_ws('; ', CASE WHEN length(value) <= 3 THEN 'three characters at most, so found within other words' WHEN length(value) <= 5 THEN 'five characters at most, may be an everyday word' END, "
+    "CASE WHEN regexp_full_match(value, '[0-9]+') AND length(value) <= 9 THEN 'digits only, like many numbers in logs' END, "
+    "CASE WHEN regexp_full_match(value, '[A-Za-z]+') AND length(value) <= 6 THEN 'one plain word of few letters' END) AS notes FROM one",
 )
 def overmatch_notes(spark, root):
     return audit_literals(spark, root).select("value", Q.risk_notes(F.col("value")).alias("notes"))
