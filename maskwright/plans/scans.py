@@ -9,10 +9,13 @@ from ..functions.text import line_context, line_of
 from ..operators import findings as R
 from ..operators.nested import distinct_first, run_statistics
 from ..operators.render import render
-from ..operators.ruleset import make_rules, pattern_named, optional_patterns
+from ..operators.ruleset import make_rules, pattern_named
 from ..operators.spans import candidates, category_counts, gate, redact, working_copy
 from ..sources.tables import table, text_units
-from .base import SECRET_HEX, STD_RULES, label_sql, quoted, redacted_ctes, span_ctes, query, test_key
+from .base import (
+    AROUND, NO_LOOKS, SECRET_HEX, STD_PATTERNS, STD_RULES, around_ctes, label_sql, quoted, redacted_ctes, span_ctes, query,
+    test_key,
+)
 
 EMAIL = pattern_named("email")
 EMAIL_RX = quoted("(?i)" + EMAIL.regex)
@@ -186,8 +189,8 @@ def run_stats(spark, root):
     return run_statistics(docs(spark, root), "text", lambda t: render(t, STD_RULES, test_key()))
 
 
-IDENTITY_RULES = make_rules([EMAIL, SECRET_HEX], aliases=[("thenon", "NAME-A1"), ("erbl", "NAME-B2")])
-IDENTITY_SPANS = span_ctes(DOCS, "doc_id", rules=make_rules([EMAIL, SECRET_HEX]))
+IDENTITY_RULES = make_rules(STD_PATTERNS, aliases=[("thenon", "NAME-A1"), ("erbl", "NAME-B2")])
+IDENTITY_SPANS = span_ctes(DOCS, "doc_id", rules=make_rules(STD_PATTERNS))
 
 
 def _offsets_sql(value: str, category: str) -> str:
@@ -326,17 +329,23 @@ def audit_lines(spark, root):
     )
 
 
-PROFILED = [EMAIL, SECRET_HEX] + [p for p in optional_patterns() if p.name in (
-    "credit-card", "iban", "jwt", "india-pan", "bearer-token")]
+def _profile_sql() -> str:
+    ctes, counts = [], []
+    for i, p in enumerate(STD_PATTERNS):
+        flag = "(?i)" if p.insensitive else ""
+        if p.name in AROUND:
+            ctes.append(around_ctes(i, DOCS, "doc_id", "text", flag, [], [(0, p.name, AROUND[p.name])]))
+            counts.append(f"SELECT '{p.name}' AS name, count(*) AS k FROM d{i} GROUP BY doc_id UNION ALL SELECT '{p.name}', 0")
+        else:
+            rx = quoted(flag + NO_LOOKS.get(p.name, p.regex))
+            counts.append(f"SELECT '{p.name}' AS name, len(regexp_extract_all(text, {rx})) AS k FROM documents")
+    return (
+        "WITH " + ", ".join(ctes) + ", n AS (" + " UNION ALL ".join(counts)
+        + ") SELECT name, CAST(sum(k) AS BIGINT) AS hits, CAST(count(*) FILTER (k > 0) AS BIGINT) AS units, "
+        "CASE WHEN sum(k) = 0 THEN 'nothing matches in this corpus' ELSE 'look at the matches first' END AS verdict FROM n GROUP BY name"
+    )
 
 
-@query(
-    "pattern_corpus_profile",
-    "WITH n AS (" + " UNION ALL ".join(
-        f"SELECT '{p.name}' AS name, len(regexp_extract_all(text, {quoted(('(?i)' if p.insensitive else '') + p.regex)})) AS k FROM documents"
-        for p in PROFILED
-    ) + ") SELECT name, CAST(sum(k) AS BIGINT) AS hits, CAST(count(*) FILTER (k > 0) AS BIGINT) AS units, "
-    "CASE WHEN sum(k) = 0 THEN 'nothing matches in this corpus' ELSE 'look at the matches first' END AS verdict FROM n GROUP BY name",
-)
+@query("pattern_corpus_profile", _profile_sql())
 def pattern_corpus_profile(spark, root):
-    return R.pattern_profile(docs(spark, root), "text", PROFILED)
+    return R.pattern_profile(docs(spark, root), "text", STD_PATTERNS)
