@@ -242,6 +242,8 @@ def components(edges: DataFrame, purpose: str = "components", rows: int | None =
         if not at.open:
             break
         now = stored(star(star(now, True), False), purpose, at.edges)
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -7,8 +7,10 @@ distrust flows backward from the pages that rules block: personalised PageRank w
 ``DAMPING`` percent.  A host is blocked when its distrust exceeds its trust and reaches half of what
 it would have if all its pages were blocked.
 
-Mass is counted in whole numbers, ``UNIT`` for each seed page, so sums do not depend on their order;
-rounds end when nothing changes, at most after ``ROUNDS``.  Edges are summed for each pair of hosts
+Mass is counted in whole numbers, ``UNIT`` for each seed page, so sums do not depend on their order.
+Masses start at the seeds' own share and only grow, by at most ``DAMPING`` percent of the round before;
+rounds end at the fixed point, when no number changes (about 75 rounds, and 14 more for ten times the
+pages).  ``GUARD`` rounds without an end, more than 64-bit masses can take, raise an error.  Edges are summed for each pair of hosts
 before any join, so a host of very many pages is one row for each host it links to.
 
 The host is what follows the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; the path goes
@@ -30,7 +32,7 @@ from . import common
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 DAMPING = 85
 UNIT = 1_000_000
-ROUNDS = 12
+GUARD = 400
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -70,7 +72,7 @@ def _share(mass: str, w: str, total: str) -> Column:
     return F.expr(f"({mass} div {total}) * {w} + (({mass} % {total}) * {w}) div {total}")
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = GUARD) -> DataFrame:
     """``host, pages, trust, distrust`` from ``hosts(host, pages, allowed, blocked)``."""
     seeds = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct().join(hosts, "host", "full").select(
         "host", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pages", "allowed", "blocked")]
@@ -99,8 +101,8 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
         )
         state = new
         if new.where("trust <> was_t or distrust <> was_d").isEmpty():
-            break
-    return state.select("host", "pages", "trust", "distrust")
+            return state.select("host", "pages", "trust", "distrust")
+    raise RuntimeError(f"link masses still change after {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -145,22 +147,25 @@ def _sql() -> str:
         "edges AS (SELECT src, dst, count(*) AS w FROM links WHERE src <> dst AND src <> '' GROUP BY 1, 2)",
         "weights AS (SELECT *, sum(w) OVER (PARTITION BY src) AS w_out, sum(w) OVER (PARTITION BY dst) AS w_in FROM edges)",
         "names AS (SELECT host FROM hosts UNION SELECT src FROM edges UNION SELECT dst FROM edges)",
-        f"s0 AS (SELECT n.host, coalesce(pages, 0) AS pages, coalesce(allowed, 0) * {UNIT * (100 - DAMPING)} // 100 AS t0, "
-        f"coalesce(blocked, 0) * {UNIT * (100 - DAMPING)} // 100 AS d0, t0 AS trust, d0 AS distrust FROM names n LEFT JOIN hosts USING (host))",
+        f"s0 AS (SELECT n.host, coalesce(pages, 0)::HUGEINT AS pages, coalesce(allowed, 0)::HUGEINT * {UNIT * (100 - DAMPING)} // 100 AS t0, "
+        f"coalesce(blocked, 0)::HUGEINT * {UNIT * (100 - DAMPING)} // 100 AS d0 FROM names n LEFT JOIN hosts USING (host))",
     ]
-    for k in range(ROUNDS):
-        ctes.append(
-            f"f{k} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM ("
-            f"SELECT dst AS host, trust::HUGEINT * w // w_out AS t, 0 AS d FROM weights JOIN s{k} ON host = src UNION ALL "
-            f"SELECT src, 0, distrust::HUGEINT * w // w_in FROM weights JOIN s{k} ON host = dst) GROUP BY 1)"
-        )
-        ctes.append(
-            f"s{k + 1} AS MATERIALIZED (SELECT s.host, pages, t0, d0, t0 + coalesce(t, 0) * {DAMPING} // 100 AS trust, "
-            f"d0 + coalesce(d, 0) * {DAMPING} // 100 AS distrust FROM s{k} s LEFT JOIN f{k} USING (host))"
-        )
+    # one round from the last one's rows, while that one changed anything
+    flow = (
+        "flow AS (SELECT host, sum(t) AS t, sum(d) AS d FROM ("
+        "SELECT dst AS host, trust * w // w_out AS t, 0::HUGEINT AS d FROM weights JOIN walk ON host = src UNION ALL "
+        "SELECT src, 0, distrust * w // w_in FROM weights JOIN walk ON host = dst) GROUP BY 1)"
+    )
+    ctes.append(
+        "walk AS (SELECT host, pages, t0, d0, t0 AS trust, d0 AS distrust, 0 AS turn, true AS moved FROM s0 UNION ALL "
+        f"(WITH {flow} SELECT host, pages, t0, d0, t0 + (coalesce(t, 0) * {DAMPING} // 100)::HUGEINT AS new_t, "
+        f"d0 + (coalesce(d, 0) * {DAMPING} // 100)::HUGEINT AS new_d, turn + 1, new_t <> trust OR new_d <> distrust "
+        "FROM walk LEFT JOIN flow USING (host) WHERE (SELECT bool_or(moved) FROM walk)))"
+    )
+    ctes.append("masses AS (SELECT * FROM walk WHERE turn = (SELECT max(turn) FROM walk))")
     return (
-        "WITH " + ", ".join(ctes) + f" SELECT page_id, p.host, path, rule, coalesce(v, CASE WHEN distrust > trust AND "
-        f"200 * distrust >= pages::HUGEINT * {UNIT * (100 - DAMPING)} THEN 'block' ELSE 'allow' END) AS verdict FROM said p JOIN s{ROUNDS} USING (host)"
+        "WITH RECURSIVE " + ", ".join(ctes) + f" SELECT page_id, p.host, path, rule, coalesce(v, CASE WHEN distrust > trust AND "
+        f"200 * distrust >= pages * {UNIT * (100 - DAMPING)} THEN 'block' ELSE 'allow' END) AS verdict FROM said p JOIN masses USING (host)"
     )
 
 
