@@ -37,6 +37,7 @@ from . import common
 MIN_WORDS = 50
 SEED = 11
 _POSITION = np.uint64((1 << 24) - 1)
+BLOCK = 1 << 22
 
 
 def _rolling(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +67,20 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[:m], head[width - 1 : width - 1 + m])
 
 
+def minimisers(grams: np.ndarray, width: int, block: int = BLOCK) -> np.ndarray:
+    """Leftmost position of the least value of each run of ``width``.
+
+    Values carry their position in the low bits; blocks of runs number their own positions, so that
+    texts of any length fit.
+    """
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(grams) - width + 1, block):
+        part = grams[at : at + block + width - 1]
+        tagged = (part & ~_POSITION) | np.arange(len(part), dtype=np.uint64)
+        found.append((sliding_minimum(tagged, width) & _POSITION).astype(np.int64) + at)
+    return np.concatenate(found)
+
+
 def stretches(hashed: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS, seed: int = SEED):
     """Suffixes at minimisers: hash of the seed, hash of the stretch, text, first window (in its text), windows."""
     none = np.zeros(0, np.int64)
@@ -76,8 +91,7 @@ def stretches(hashed: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS,
     rolling = _rolling(hashed)
     at = np.arange(n - seed + 1)
     grams = run_hash(rolling, at, seed)
-    tagged = (grams & ~_POSITION) | at.astype(np.uint64)
-    chosen = (sliding_minimum(tagged, min_words - seed + 1) & _POSITION).astype(np.int64)
+    chosen = minimisers(grams, min_words - seed + 1)
     p = np.arange(len(chosen))
     doc = np.searchsorted(first, p, side="right") - 1
     inside = p + min_words <= first[doc + 1]
