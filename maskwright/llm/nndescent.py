@@ -1,8 +1,11 @@
 """Operator 9: approximate nearest neighbours by NN-descent and greedy graph search.
 
-Nearness is the largest inner product.  The graph is built on vectors that are scaled to norm one at
-most and lengthened by one component that makes all norms equal, so that the nearest by angle are the
-nearest by inner product for any query.
+Nearness is the largest inner product.  Vectors are kept apart in bands, inside which norms differ by
+a factor of two at most, so that single long vectors do not blur the others.  Each band has a graph of
+its own, built on vectors that are scaled to norm one at most and lengthened by one component that makes
+all norms of the band equal: the nearest by angle are then the nearest by inner product for any query.
+Every query searches every band, and the exact scores of all that it found are ranked together; its
+work grows with the number of bands that hold vectors.
 
 1. Equal vectors are one node: its least id, and the ``k + 1`` least of its ids (no answer needs more).
 2. Random sign codes deal the nodes into groups of at most ``GROUP``; inside a group all pairs are
@@ -10,17 +13,18 @@ nearest by inner product for any query.
 3. Each round joins every node with a sample of its neighbours and of the nodes it is a neighbour of,
    compares those among each other, and keeps what improves a list.  Rounds end when fewer than
    ``SETTLED`` of all edges change, at most after ``ROUNDS``.
-4. A query starts at its own node and at ``ENTRIES`` fixed ones: those of largest norm, and others by
-   hash.  Each hop expands its ``BEAM`` best nodes that were not expanded yet, along edges of either
-   direction, and keeps the best ``k + KEEP``; a query whose best nodes are all expanded is done.
-   What is kept is scored exactly at the end.
+4. A query starts at its own node, in its own band, and at up to ``ENTRIES`` fixed ones of each band: by
+   norm, and by hash.  Each hop expands its ``BEAM`` best nodes that were not expanded yet, along edges
+   of either direction, and keeps the best ``k + KEEP``; hops go on until the best nodes of all queries
+   are expanded.  What is kept is scored exactly at the end.
 
 Every row is indexed; the samples in step 3 only decide which pairs are tried.  The recall against
 brute force is measured by the tests.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, neither as query nor as candidate; a repeated vec_id with one vector is one
-candidate; ties go to the smaller vec_id; extra columns are ignored; an empty table gives no row.
+candidate; of different vectors with one vec_id, the one whose bytes come first stands for it; ties go
+to the smaller vec_id; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -44,7 +48,6 @@ SETTLED = 0.01
 ENTRIES = 32
 BEAM = 8
 KEEP = 44
-HOPS = 12
 
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
@@ -66,63 +69,80 @@ def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") ->
                 continue
             flat = batch.column(1).flatten()
             x = flat.to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)  # null is NaN
-            norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-            ok = np.isfinite(x).all(axis=1) & (norm > 0)
+            most = np.abs(x).max(axis=1).astype(np.float64)
+            ok = np.isfinite(most) & (most > 0)
+            norm = np.zeros(len(x))
+            norm[ok] = most[ok] * np.sqrt(((x[ok] / most[ok, None]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(ok)), common.blobs([r.tobytes() for r in x[ok]]), pa.array(norm[ok])], names=["vec_id", "vec", "norm"]
             )
 
-    return rows.mapInArrow(run, "vec_id long, vec binary, norm double"), kind
+    some = rows.mapInArrow(run, "vec_id long, vec binary, norm double")
+    one = some.groupBy("vec_id").agg(F.min(F.struct("vec", "norm")).alias("v"))
+    return one.select("vec_id", "v.vec", "v.norm"), kind
 
 
 def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
-    """Distinct vectors ``id, vec, norm, ids``; only the ``keep`` least ids of a vector travel."""
+    """Distinct vectors ``id, vec, norm, band, ids``; only the ``keep`` least ids of a vector travel."""
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    least = rows.dropDuplicates(["vec_id", "vec"]).withColumn("rank", rank).where(F.col("rank") <= keep)
-    return least.groupBy("vec").agg(F.min("vec_id").alias("id"), F.first("norm").alias("norm"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    least = rows.withColumn("rank", rank).where(F.col("rank") <= keep)
+    nodes = least.groupBy("vec").agg(F.min("vec_id").alias("id"), F.first("norm").alias("norm"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return nodes.select("id", "vec", "norm", F.floor(F.log2("norm") + 0.5).cast("int").alias("band"), "ids")
 
 
-def _scaled(nodes: DataFrame, most: float, kind: str) -> DataFrame:
-    """``id, x``: the lengthened vectors in half precision, for building the graph only."""
+def _scaled(nodes: DataFrame, most: dict[int, float], kind: str) -> DataFrame:
+    """``id, band, x``: the lengthened vectors in half precision, for building the graph only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column(1), kind).astype(np.float64) / most
+                limit = np.array([most[b] for b in batch.column(2).to_numpy().tolist()])
+                v = _matrix(batch.column(1), kind).astype(np.float64) / limit[:, None]
                 rest = np.sqrt(np.maximum(0, 1 - (v**2).sum(axis=1)))
                 x = np.concatenate([v, rest[:, None]], axis=1).astype("<f2")
-                yield pa.RecordBatch.from_arrays([batch.column(0), common.blobs([r.tobytes() for r in x])], names=["id", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), common.blobs([r.tobytes() for r in x])], names=["id", "band", "x"]
+                )
 
-    return nodes.select("id", "vec").mapInArrow(run, "id long, x binary")
+    return nodes.select("id", "vec", "band").mapInArrow(run, "id long, band int, x binary")
 
 
-def _first_edges(scaled: DataFrame, n: int, count: int) -> DataFrame:
-    """``a, b, sim`` inside the groups of each deal."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count / (GROUP / 2))))))
+def _first_edges(scaled: DataFrame, n: int, counts: dict[int, int]) -> DataFrame:
+    """``a, b, sim`` inside the groups of each deal; a group lies in one band."""
+    bits = {band: max(0, int(np.ceil(np.log2(max(1, count / (GROUP / 2)))))) for band, count in counts.items()}
+    width = max(1, *bits.values(), 1)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), "<f2").astype(np.float32)
+            x = _matrix(batch.column(2), "<f2").astype(np.float32)
+            used = np.arange(width) < np.array([bits[b] for b in batch.column(1).to_numpy().tolist()])[:, None]
             for t in range(TABLES):
-                planes = np.random.default_rng(900 + t).standard_normal((x.shape[1], max(1, bits))).astype(np.float32)
-                codes = ((x @ planes > 0) @ (1 << np.arange(max(1, bits), dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(codes * TABLES + t), batch.column(0), batch.column(1)], names=["code", "id", "x"])
+                planes = np.random.default_rng(900 + t).standard_normal((x.shape[1], width)).astype(np.float32)
+                codes = ((x @ planes > 0) & used) @ (1 << np.arange(width, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(codes * TABLES + t), *batch.columns], names=["code", "id", "band", "x"])
 
-    coded = common.stored(scaled.mapInArrow(code, "code long, id long, x binary"), "graph-codes", count)
-    sizes = coded.groupBy("code").agg(F.count("*").alias("size"))
+    coded = common.stored(scaled.mapInArrow(code, "code long, id long, band int, x binary"), "graph-codes", sum(counts.values()))
+    sizes = coded.groupBy("band", "code").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / GROUP))
-    dealt = coded.join(sizes, "code").select(F.xxhash64("code", salt).alias("code"), "id", "x")
+    dealt = coded.join(sizes, ["band", "code"]).select(F.xxhash64("band", "code", salt).alias("code"), "id", "band", "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.groups(batches, "code"):
-            if rows.num_rows > 1:
-                yield from _best(rows["id"].to_numpy(), _matrix(rows["x"], "<f2").astype(np.float32), None)
+            for part in _by_band(rows):
+                if part.num_rows > 1:
+                    yield from _best(part["id"].to_numpy(), _matrix(part["x"], "<f2").astype(np.float32), None)
 
     return dealt.repartition(n, "code").sortWithinPartitions("code").mapInArrow(compare, "a long, b long, sim float")
 
 
+def _by_band(rows: pa.Table) -> Iterator[pa.Table]:
+    band = rows["band"].to_numpy()
+    for b in np.unique(band):
+        yield rows.filter(pa.array(band == b))
+
+
 def _best(ids: np.ndarray, x: np.ndarray, bound: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """The best ``DEGREE`` others of each row, above the row's bound if it has one."""
     sim = x @ x.T
@@ -181,11 +201,11 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def build_graph(scaled: DataFrame) -> DataFrame:
-    """``a, b, sim, rank``: up to ``DEGREE`` neighbours of each node, best first."""
-    n, count = common.parts(scaled), scaled.count()
+def build_graph(scaled: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``a, b, sim, rank``: up to ``DEGREE`` neighbours of each node in its band, best first."""
+    n, count = common.parts(scaled), sum(counts.values())
     fresh = F.lit(1).cast("int").alias("fresh")
-    graph = common.stored(_lists(_first_edges(scaled, n, count).select("a", "b", "sim", fresh), n), "graph", count * DEGREE)
+    graph = common.stored(_lists(_first_edges(scaled, n, counts).select("a", "b", "sim", fresh), n), "graph", count * DEGREE)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.groups(batches, "v"):
@@ -194,7 +214,7 @@ def build_graph(scaled: DataFrame) -> DataFrame:
 
     for turn in range(ROUNDS):
         last = graph.where(F.col("rank") == DEGREE - 1).select(F.col("a").alias("id"), F.col("sim").alias("bound"))
-        known = scaled.join(last, "id", "left").select(F.col("id").alias("m"), "x", F.coalesce("bound", F.lit(-2.0).cast("float")).alias("bound"))
+        known = scaled.drop("band").join(last, "id", "left").select(F.col("id").alias("m"), "x", F.coalesce("bound", F.lit(-2.0).cast("float")).alias("bound"))
         pick = F.xxhash64("a", "b", F.lit(turn))
         some = [
             graph.select(F.col(p).alias("v"), F.col(q).alias("m"), F.row_number().over(Window.partitionBy(p).orderBy(F.desc("fresh"), pick)).alias("r"))
@@ -211,10 +231,11 @@ def build_graph(scaled: DataFrame) -> DataFrame:
     return graph.select("a", "b", "sim", "rank")
 
 
-def search(queries: DataFrame, scaled: DataFrame, graph: DataFrame, entries: list[tuple[int, bytes]], kind: str, keep: int) -> DataFrame:
-    """Greedy search from each query's own node: ``query_id, ids``, the best ``keep`` nodes found.
+def search(queries: DataFrame, scaled: DataFrame, graph: DataFrame, entries: dict[int, list[tuple[int, bytes]]], kind: str, keep: int) -> DataFrame:
+    """Greedy search in every band: ``query_id, band, vec, ids``, the best ``keep`` nodes found there.
 
-    ``queries`` has ``query_id, node, vec``; ``entries`` are further start nodes with their vectors.
+    ``queries`` has ``query_id, node, home, vec``, the query's own node and its band; ``entries`` are
+    further start nodes of each band with their vectors.
     """
     n = common.parts(scaled)
     back = graph.select(F.col("b").alias("node"), F.col("a").alias("b"), F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a")).alias("r"))
@@ -223,25 +244,28 @@ def search(queries: DataFrame, scaled: DataFrame, graph: DataFrame, entries: lis
         graph.select(F.col("a").alias("node"), "b").union(back.where(F.col("r") <= DEGREE).select("node", "b")).distinct(), "graph-edges", count
     )
     flat = scaled.select(F.col("id").alias("b"), "x")
-    schema = "query_id long, vec binary, ids array<long>, scores array<double>, done array<boolean>, next array<long>"
+    schema = "query_id long, band int, vec binary, ids array<long>, scores array<double>, done array<boolean>, next array<long>"
     none = {"ids": "array<long>", "scores": "array<double>", "done": "array<boolean>"}
-    state = queries.select("query_id", "vec", *[F.array().cast(t).alias(c) for c, t in none.items()], F.array("node").alias("next"))
-    entry_ids = np.array([i for i, _ in entries], np.int64)
-    entry_x = np.array([np.frombuffer(x, "<f2") for _, x in entries]).astype(np.float64)
+    everywhere = queries.withColumn("band", F.explode(F.array(*[F.lit(b) for b in sorted(entries)]).cast("array<int>")))
+    start = F.when(F.col("band") == F.col("home"), F.array("node")).otherwise(F.array().cast("array<long>"))
+    state = everywhere.select("query_id", "band", "vec", *[F.array().cast(t).alias(c) for c, t in none.items()], start.alias("next"))
+    entry_ids = {band: np.array([i for i, _ in some], np.int64) for band, some in entries.items()}
+    entry_x = {band: np.array([np.frombuffer(x, "<f2") for _, x in some]).astype(np.float64) for band, some in entries.items()}
 
     def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in common.groups(batches, "query_id"):
+        for rows in (part for _, rows in common.groups(batches, "query_id") for part in _by_band(rows)):
             held = rows["vec"].is_valid().to_numpy()
             at = int(np.argmax(held))
-            one = {c: rows[c][at].as_py() for c in ("query_id", "vec", "ids", "scores", "done")}
+            one = {c: rows[c][at].as_py() for c in ("query_id", "band", "vec", "ids", "scores", "done")}
             q = np.frombuffer(one["vec"], kind).astype(np.float64)
+            q = q / np.abs(q).max()
             q = np.append(q / np.sqrt((q**2).sum()), 0)
             ids, scores, done = (np.array(one[c], t) for c, t in (("ids", np.int64), ("scores", np.float64), ("done", bool)))
             new = rows.filter(pa.array(~held))
             b = new["b"].to_numpy()
             x = _matrix(new["x"], "<f2").astype(np.float64) if len(b) else np.zeros((0, len(q)))
             if not len(ids):
-                b, x = np.concatenate([b, entry_ids]), np.concatenate([x, entry_x])
+                b, x = np.concatenate([b, entry_ids[one["band"]]]), np.concatenate([x, entry_x[one["band"]]])
             b, first = np.unique(b, return_index=True)
             fresh = ~np.isin(b, ids)
             ids, scores = np.concatenate([ids, b[fresh]]), np.concatenate([scores, x[first[fresh]] @ q])
@@ -252,28 +276,29 @@ def search(queries: DataFrame, scaled: DataFrame, graph: DataFrame, entries: lis
             done[following] = True
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([one["query_id"]], pa.int64()), common.blobs([one["vec"]]), pa.array([ids.tolist()], pa.list_(pa.int64())),
+                    pa.array([one["query_id"]], pa.int64()), pa.array([one["band"]], pa.int32()), common.blobs([one["vec"]]), pa.array([ids.tolist()], pa.list_(pa.int64())),
                     pa.array([scores.tolist()], pa.list_(pa.float64())), pa.array([done.tolist()], pa.list_(pa.bool_())),
                     pa.array([ids[following].tolist()], pa.list_(pa.int64())),
                 ],
-                names=["query_id", "vec", "ids", "scores", "done", "next"],
+                names=["query_id", "band", "vec", "ids", "scores", "done", "next"],
             )
 
     finished: DataFrame | None = None
-    for turn in range(HOPS):
-        front = state.select("query_id", F.explode("next").alias("node"))
-        reached = front.join(edges, "node").select("query_id", "b")
-        if not turn:  # the first hop scores the node itself, too
-            reached = reached.union(front.select("query_id", F.col("node").alias("b")))
-        scored = reached.distinct().join(flat, "b").select("query_id", "b", "x")
+    first = True
+    while True:  # ends: what falls out of a list never comes back, and no node is expanded twice
+        front = state.select("query_id", "band", F.explode("next").alias("node"))
+        reached = front.join(edges, "node").select("query_id", "band", "b")
+        if first:  # the first hop scores the node itself, too
+            reached = reached.union(front.select("query_id", "band", F.col("node").alias("b")))
+        scored = reached.distinct().join(flat, "b").select("query_id", "band", "b", "x")
         rows = state.drop("next").withColumns({"b": F.lit(None).cast("long"), "x": F.lit(None).cast("binary")}).unionByName(scored, allowMissingColumns=True)
         moved = common.stored(rows.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(hop, schema), "graph-search", count // DEGREE)
         over = moved.where(F.size("next") == 0)
         finished = over if finished is None else finished.union(over)
         state = moved.where(F.size("next") > 0)
+        first = False
         if state.isEmpty():
-            break
-    return finished.union(state).select("query_id", "vec", "ids")
+            return finished.select("query_id", "band", "vec", "ids")
 
 
 def exact_scores(found: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
@@ -294,14 +319,20 @@ def nearest(table: DataFrame, is_query, k: int = K, key: str = "vec_id", column:
     rows, kind = vectors(table, key, column)
     rows = common.stored(rows, "vectors")
     nodes = common.stored(nodes_of(rows, k + 1), "nodes", rows.count())
-    most = nodes.agg(F.max("norm")).first()[0] or 1.0
-    scaled = common.stored(_scaled(nodes, most, kind), "graph-vectors")
-    graph = build_graph(scaled)
-    hashed = F.xxhash64("id")
-    starts = {r.id for order in (F.desc("norm"), hashed) for r in nodes.select("id", "norm").orderBy(order, "id").limit(ENTRIES // 2).collect()}
-    entries = [(r.id, bytes(r.x)) for r in scaled.where(F.col("id").isin(list(starts))).collect()]
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "vec"]).join(nodes.select("vec", F.col("id").alias("node")), "vec").select(
-        F.col("vec_id").alias("query_id"), "node", "vec"
+    # one row for each binary order of magnitude of the norms
+    bands = {r.band: r for r in nodes.groupBy("band").agg(F.max("norm").alias("most"), F.count("*").alias("count")).collect()}
+    scaled = common.stored(_scaled(nodes, {b: r.most for b, r in bands.items()}, kind), "graph-vectors")
+    graph = build_graph(scaled, {b: r["count"] for b, r in bands.items()})
+    slot = F.pmod(F.xxhash64("id"), F.lit(ENTRIES // 2)).alias("slot")
+    picked = nodes.select("band", "id", "norm", slot, F.xxhash64("id", F.lit(1)).alias("h")).groupBy("band", "slot").agg(
+        F.max(F.struct("norm", (-F.col("id")).alias("minus"))).alias("long"), F.min(F.struct("h", "id")).alias("any")
+    )
+    starts = picked.select(F.explode(F.array(-F.col("long.minus"), F.col("any.id"))).alias("id")).distinct()
+    entries: dict[int, list[tuple[int, bytes]]] = {b: [] for b in bands}
+    for r in scaled.join(starts, "id").orderBy("id").collect():
+        entries[r.band].append((r.id, bytes(r.x)))
+    asked = rows.where(is_query).join(nodes.select("vec", F.col("id").alias("node"), F.col("band").alias("home")), "vec").select(
+        F.col("vec_id").alias("query_id"), "node", "home", "vec"
     )
     found = exact_scores(search(asked, scaled, graph, entries, kind, k + KEEP), nodes, kind)
     # a node stands for all ids of its vector; no more than k + 1 of them can be answers
