@@ -20,6 +20,19 @@ def test_near_classes_of_the_documents(spark, small):
     assert near(docs) == plain.near_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_minimisers_of_very_long_texts():
+    grams = np.random.default_rng(8).integers(0, 40, 5000).astype(np.uint64) << np.uint64(50)  # many ties
+    want = [p + int(np.argmin(grams[p : p + 40])) for p in range(5000 - 39)]
+    for block in (1, 7, 40, 1000, 1 << 22):
+        assert suffixes.minimisers(grams, 40, block).tolist() == want
+    assert not len(suffixes.minimisers(grams[:39], 40))
+    hashed = np.random.default_rng(9).integers(1, 2**63, (1 << 24) + 1000, dtype=np.uint64)
+    hashed[-400:-200] = hashed[3000:3200]  # the same 200 words on either side of 2^24
+    key, _, _, start, count = suffixes.stretches(hashed, np.array([0, len(hashed)]))
+    inside = [(start >= a) & (start + count + 49 <= a + 200) for a in (3000, len(hashed) - 400)]
+    assert len(set(key[inside[0]]) & set(key[inside[1]])) >= 3
+
+
 def test_near_classes_of_a_dense_group(spark):
     rnd = random.Random(3)
     base = [f"w{rnd.randrange(500)}" for _ in range(150)]

@@ -106,6 +106,32 @@ def test_links_move_trust(spark, tmp_path):
     assert urlrank.judge(linked.where("page_id < 0")).count() == 0
 
 
+def test_masses_reach_the_fixed_point_on_a_cycle(spark):
+    ring = [f"h{k}.net" for k in range(30)]  # longer than any fixed small number of rounds
+    links = [(a, b, 1 + k % 3) for k, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))] + [("h3.net", "h20.net", 2), ("h20.net", "bad.net", 1)]
+    hosts = {h: (2, int(h == "h0.net"), 0) for h in ring} | {"bad.net": (3, 0, 3)}
+    html = {a: " ".join(f'<a href="https://{t}/">' * w for f, t, w in links if f == a) for a in hosts}
+    pages = spark.createDataFrame([(h, html[h]) for h in hosts], "host string, html string")
+    got = urlrank.propagate(
+        spark.createDataFrame([(h, *n) for h, n in hosts.items()], "host string, pages long, allowed long, blocked long"), urlrank.host_edges(pages)
+    )
+    seed = {h: (150_000 * n[1], 150_000 * n[2]) for h, n in hosts.items()}
+    out, into, now, before = collections.Counter(), collections.Counter(), dict(seed), None
+    for a, b, w in links:
+        out[a] += w
+        into[b] += w
+    while now != before:
+        flow, before = {h: [0, 0] for h in hosts}, now
+        for a, b, w in links:
+            flow[b][0] += now[a][0] * w // out[a]
+            flow[a][1] += now[b][1] * w // into[b]
+        now = {h: (seed[h][0] + flow[h][0] * 85 // 100, seed[h][1] + flow[h][1] * 85 // 100) for h in hosts}
+    assert {r.host: (r.trust, r.distrust) for r in got.collect()} == now
+    assert all(t > 0 for h, (t, _) in now.items() if h in ring)
+    with pytest.raises(RuntimeError):
+        urlrank.propagate(got.selectExpr("host", "pages", "1L allowed", "0L blocked"), urlrank.host_edges(pages), 2)
+
+
 def test_base_scores_and_counts(spark, edges, nothing):
     for df in (common.table(spark, "/root/testdata/sf0.001", "documents"), edges):
         rows = pitmanyor.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()
@@ -196,7 +222,7 @@ def recall(df):
         best = [int(ids[j]) for j in np.lexsort((ids, -np.round(sims, 12))) if ids[j] != q][:20]
         mine = sorted(got[q])
         assert [r for r, _, _ in mine] == list(range(1, len(best) + 1))
-        assert all(abs(s - sims[place[v]]) < 1e-9 for _, v, s in mine)
+        assert all(abs(s - sims[place[v]]) < 1e-9 * max(1, abs(s)) for _, v, s in mine)
         assert [(-round(s, 12), v) for _, v, s in mine] == sorted((-round(s, 12), v) for _, v, s in mine)
         hits, total = hits + len({v for _, v, _ in mine} & set(best)), total + len(best)
     return hits / total
@@ -215,3 +241,18 @@ def test_recall_with_norms_ties_and_odd_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nndescent.nearest(few, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 4.0)]
     assert nndescent.nearest(few.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_when_single_vectors_are_much_longer(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 32))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    x = np.concatenate([x, 10_000 * x[:1], 1e7 * x[1:3], 1e-3 * x[3:43]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert recall(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) >= 0.9
+
+
+def test_a_vec_id_with_several_vectors_has_one(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 5.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in nndescent.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 5.0), (0, 2, 2, 0.0)]
