@@ -540,7 +540,7 @@ def line_numbers(spark, root):
 # --- JSON lines and runs that can be resumed --------------------------------------------------------
 
 
-def jsonl_units(spark, root):
+def run_units(spark, root):
     """Each document as JSON lines: its text as a value, a blank line, and a broken line with the same text."""
     flat = F.regexp_replace("text", r"[\r\n]", " ")
     raw = F.concat(F.to_json(F.struct(F.col("text").alias("t"))), F.lit("\n\n{broken "), flat)
@@ -558,7 +558,7 @@ def jsonl_units(spark, root):
 )
 def run_manifest_jsonl(spark, root):
     """What a pass replaces in JSON lines: the line that does not parse is kept, and its hits do not count."""
-    done = S.sweep(jsonl_units(spark, root), STD_RULES, test_key()).where("status = 'changed'")
+    done = S.sweep(run_units(spark, root), STD_RULES, test_key()).where("status = 'changed'")
     shown = F.array_join(
         F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), " "
     )

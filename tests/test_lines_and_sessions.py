@@ -44,3 +44,15 @@ def test_runs_of_heartbeats(spark, tmp_path):
     batches = [[r for r in rows if r[1]][:2], [r for r in rows if r[1]][2:], [("z", at(5_000))]]
     closed = run_to_table(sessions(replay(spark, tmp_path, batches, "k string, t timestamp"), "k", "t", 90), "runs")
     assert shown(closed) == want  # the last key's run is still open
+
+
+def test_json_line_queries_and_runs_have_units_of_their_own(spark, tmp_path):
+    """``jsonl_lines`` and ``jsonl_rewrite`` read units by ``doc_id``, runs by ``path``."""
+    from maskwright.plans import sweeps
+
+    spark.createDataFrame([(7, "one a@b.example"), (8, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = sweeps.jsonl_lines(spark, str(tmp_path)).where("doc_id = 7").orderBy("line_no").collect()
+    assert [(r.line_no, r.status) for r in lines] == [(1, "unparsed"), (2, "json"), (3, "blank"), (4, "unparsed")]
+    done = sweeps.jsonl_rewrite(spark, str(tmp_path)).where("doc_id = 7").collect()
+    assert [(r.lines_changed, r.unparsed) for r in done] == [(1, 2)]
+    assert sweeps.run_units(spark, str(tmp_path)).columns[0] == "path"
