@@ -25,9 +25,13 @@ EMAIL_RULES = make_rules([EMAIL])
 
 
 def stream(spark, root, name):
+    """A table as a stream, whether it is one file or a folder of files.
+
+    A pattern, even for one path, lets the file source list either.
+    """
     schema = table(spark, root, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.option("maxBytesPerTrigger", BATCH_BYTES).parquet(root)
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{root.rstrip('/')}/{name}.parque[t]")
 
 
 #: A micro-batch takes files up to so many bytes (one at least).

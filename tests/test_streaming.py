@@ -74,3 +74,17 @@ def test_liveness(spark, tmp_path):
     got = run_to_table(liveness_stream(stream, "k", "ts", 90, "0 seconds"), "t")
     states = [(r.k, r.state) for r in got.orderBy("ts").collect()]
     assert ("a", "down") in states and ("a", "up") in states
+
+
+def test_a_table_streams_from_one_file_and_from_a_folder_of_files(spark, tmp_path):
+    from maskwright.plans.registry import QUERIES
+
+    rows = spark.createDataFrame([(1, "mail a@b.example", "en", "web"), (2, "nothing", "en", "web")], "doc_id long, text string, lang string, source string")
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "single").mkdir()
+    rows.repartition(2).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "single" / "documents.parquet")
+    for root in ("folder", "single"):
+        done = QUERIES["stream_sweep"](spark, f"{tmp_path}/{root}").collect()
+        assert [(r.path, r.text[:16]) for r in done] == [(1, "mail [PII:email:")], root
