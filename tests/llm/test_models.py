@@ -256,3 +256,21 @@ def test_a_vec_id_with_several_vectors_has_one(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 5.0]), (2, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nndescent.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 5.0), (0, 2, 2, 0.0)]
+
+
+def test_many_small_groups_far_from_each_other_are_all_entered(spark):
+    """Short queries, whose nearest are a group of long vectors that no edge leads to from other groups."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((60, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    long = np.repeat(centres, 22, axis=0) + 0.01 * rng.standard_normal((60 * 22, 24))
+    x = np.concatenate([0.01 * centres, long]).astype(np.float32)
+    ids = np.concatenate([20 * np.arange(60), [i for i in range(2000) if i % 20][: len(long)]])
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nndescent.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[:60].astype(np.float64) @ x.astype(np.float64).T
+    score[np.arange(60), np.arange(60)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[20 * q] & set(ids[best[q]].tolist())) / 20 for q in range(60)]) > 0.95
