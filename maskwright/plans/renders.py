@@ -167,7 +167,8 @@ def render_pipeline(spark, root):
     "SELECT unit, s AS start, e AS stop, CAST(NULL AS BIGINT) AS inside FROM spans",
 )
 def offset_back_mapping(spark, root):
-    r = notes(spark, root).select("unit", render(F.col("text"), STD_RULES, test_key()).alias("r"))
+    # exploded, so that the optimizer does not repeat the render for each of its fields
+    r = notes(spark, root).select("unit", F.explode(F.array(render(F.col("text"), STD_RULES, test_key()))).alias("r"))
     probes = r.select("unit", F.col("r.stages").alias("stages"), F.explode("r.redact_spans").alias("s"))
     at = lambda c: map_to_source(c, F.col("stages")).cast("bigint")
     return probes.select(

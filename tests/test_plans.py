@@ -39,3 +39,22 @@ def test_index_skip_does_not_read_content(spark, tmp_path):
     inv = spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.col("modificationTime").alias("modification_time"), "length")
     index = spark.createDataFrame([], "path string, modification_time timestamp, length bigint, rules_fp string")
     assert "content" not in physical(to_examine(inv, index, "fp"))
+
+
+def test_offsets_back_render_each_note_once(spark, key):
+    from maskwright.operators.render import render
+    from maskwright.plans.notes import notes
+    from maskwright.plans.registry import QUERIES
+
+    def times(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("xox[")
+
+    assert times(QUERIES["offset_back_mapping"](spark, DATA)) == times(notes(spark, DATA).select(render(F.col("text"), STD_RULES, key).alias("r")))
+
+
+def test_notes_are_dealt_to_all_cores(spark):
+    from maskwright.plans.notes import notes
+
+    made = notes(spark, DATA)
+    rows = made.select("unit", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(rows) > spark.sparkContext.defaultParallelism / 2 and max(r["count"] for r in rows) < 0.5 * made.count()
