@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import functions as F
@@ -36,14 +37,22 @@ def stream(spark, root, name):
 
 #: A micro-batch takes files up to so many bytes (one at least).
 BATCH_BYTES = str(4 << 30)
+#: Notes of one file at most, and the micro-batches they are replayed in.
+NOTES_IN_FILE = 200_000
+NOTE_BATCHES = 3
 
 
 def write_notes(spark, root, purpose):
-    """The notes as files, so that they can be replayed in several micro-batches."""
+    """The notes as files, so that they can be replayed in several micro-batches.
+
+    Every micro-batch costs some seconds of planning, so their number does not grow with the notes.
+    """
     path = work_dir(spark, purpose)
     made = notes(spark, root, ts=True).withColumn("ts", F.col("ts").cast("timestamp"))
-    made.write.option("maxRecordsPerFile", 50_000).parquet(path)
-    return spark.readStream.schema("unit bigint, text string, ts timestamp").option("maxFilesPerTrigger", 4).parquet(path)
+    made.write.option("maxRecordsPerFile", NOTES_IN_FILE).parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    batch = max(4, math.ceil(files / NOTE_BATCHES))
+    return spark.readStream.schema("unit bigint, text string, ts timestamp").option("maxFilesPerTrigger", batch).parquet(path)
 
 
 @query("stream_redaction", f"WITH {redacted_ctes('documents', 'doc_id')} SELECT doc_id, out AS text FROM redacted")

@@ -88,3 +88,16 @@ def test_a_table_streams_from_one_file_and_from_a_folder_of_files(spark, tmp_pat
     for root in ("folder", "single"):
         done = QUERIES["stream_sweep"](spark, f"{tmp_path}/{root}").collect()
         assert [(r.path, r.text[:16]) for r in done] == [(1, "mail [PII:email:")], root
+
+
+def test_the_number_of_micro_batches_does_not_grow_with_the_notes(spark, monkeypatch):
+    from maskwright.plans.registry import QUERIES  # noqa: F401 - in the order that the modules need
+    from maskwright.plans import streams
+    from maskwright.streaming.jobs import run_batches
+    from maskwright.sources.tables import work_dir
+
+    monkeypatch.setattr(streams, "NOTES_IN_FILE", 20)
+    seen = []
+    units = streams.write_notes(spark, "/root/testdata/sf0.001", "batch-notes")
+    run_batches(units, lambda batch, n: seen.append(batch.count()), work_dir(spark, "batches"))
+    assert 2 <= len(seen) <= streams.NOTE_BATCHES + 1 and sum(seen) == 1500, seen
