@@ -14,7 +14,11 @@ from .spans import redact
 
 def vault_entries(df: DataFrame, text: str, ts: str, rules: RuleSet, key: LabelKey) -> DataFrame:
     """One row per accepted span: ``label, value, last_seen``."""
-    spans = redact(F.col(text), rules, key).spans
+    return span_entries(df, redact(F.col(text), rules, key).spans, ts)
+
+
+def span_entries(df: DataFrame, spans: Column, ts: str) -> DataFrame:
+    """The entries of spans that a redaction has found already."""
     return df.select(F.col(ts).alias("last_seen"), F.explode(spans).alias("s")).select(
         F.col("s.label").alias("label"), F.col("s.value").alias("value"), "last_seen"
     )

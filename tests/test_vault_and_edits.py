@@ -127,3 +127,25 @@ def test_offsets_by_binary_search(spark):
 
     got = {r.o: r.m for r in df.select("o", map_back(F.col("o"), F.col("spans")).alias("m")).collect()}
     assert got == {o: plain(o) for o in range(25)}
+
+
+def test_notes_and_their_vault_come_from_one_redaction(spark, monkeypatch):
+    from maskwright.operators import vault
+    from maskwright.plans import vaults
+    from maskwright.plans.registry import QUERIES
+
+    calls = []
+    real = vaults.redact
+    for module in (vault, vaults):
+        monkeypatch.setattr(module, "redact", lambda *a, **k: calls.append(1) or real(*a, **k))
+    for name in ("rehydrate_capped", "rehydrate_deep", "rehydrate_strict", "field_resolution", "lookup_sources"):
+        calls.clear()
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1, name
+
+
+def test_batches_of_edits_are_translated_once(spark):
+    from maskwright.plans.registry import QUERIES
+
+    plan = QUERIES["edit_batches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translated-" in plan or "regexp_replace" not in plan
