@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.dictionary import literal_hits
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .base import query
 
 _LITERALS = (
@@ -38,5 +38,5 @@ def dictionary(spark, root):
 )
 def dictionary_hits(spark, root):
     """Occurrences of each literal in each document."""
-    hits = literal_hits(table(spark, root, "documents"), ["doc_id"], "text", dictionary(spark, root))
+    hits = literal_hits(dealt(table(spark, root, "documents").select("doc_id", "text")), ["doc_id"], "text", dictionary(spark, root))
     return hits.groupBy("doc_id", "value").agg(F.count("*").alias("n"))

@@ -31,3 +31,21 @@ def test_the_plan_does_not_grow_with_the_dictionary(spark):
 
     (few, a), (many, b) = size(10), size(100_000)
     assert (a, b) == (1, 2) and many < few + 200
+
+
+def test_texts_are_cut_once_for_all_lengths(spark):
+    units = spark.createDataFrame([(1, "one two three, one")], "id int, text string")
+    literals = spark.createDataFrame([("one", True), ("two three", True), ("one two three", True)], "value string, boundary boolean")
+    hits = literal_hits(units, ["id"], "text", literals)
+    assert sorted((r.start, r.value) for r in hits.collect()) == [(0, "one"), (0, "one two three"), (4, "two three"), (15, "one")]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_folded_hashes_miss_nothing_that_lower_case_finds(spark):
+    units = spark.createDataFrame([(1, "İzmir ΟΔΟΣ οδος ςσςσ"), (2, "x" * 132 + " " + "ab" * 70)], "id int, text string")
+    literals = spark.createDataFrame([(v, True) for v in ("İZMİR", "İzmir", "οδος", "ςσ", "x" * 66, "ab" * 35)], "value string, boundary boolean")
+    got = {(r.id, r.start, r.end) for r in literal_hits(units, ["id"], "text", literals).collect()}
+    assert {(1, 0, 5), (1, 11, 15)} <= got
+    # copies count by the shortest word they repeat, which no literal is here
+    assert not [g for g in got if g[0] == 2]
