@@ -9,7 +9,8 @@ winner's share when every language has weight ``2 ** -bits``.
 The labelled text is a bounded sample: for each language up to ``SAMPLE_DOCS`` documents, each cut to
 ``SAMPLE_CHARS`` / 4 characters, smallest hash of doc_id first, until ``SAMPLE_CHARS`` characters are
 reached, where the last is cut; all languages together have at most ``SAMPLE_TOTAL``.  The automata are
-sent to the tasks: at most ``2 * SAMPLE_TOTAL`` states of 64 transitions, 134 MB however many languages,
+sent to the tasks: at most ``2 * SAMPLE_TOTAL`` states of 64 transitions, 134 MB however many languages, and
+as many columns fewer as no language has use for,
 and at most ``3 * SAMPLE_TOTAL`` sparse ones.
 
 Every text is parsed whole, in blocks of ``BLOCK`` characters side by side; a block's edge ends a
@@ -42,6 +43,8 @@ SAMPLE_TOTAL = 1 << 18
 SAMPLE_DOCS = 64
 SYMBOLS = 64
 BLOCK = 512
+#: Bytes of texts parsed side by side; what a step holds is some forty times that.
+STEP_BYTES = 1 << 19
 #: Bits for each character from which a text is like none of the languages; in proportion more where the
 #: language's characters have an entropy above that of ``ALPHABET`` equally frequent letters, as Han has.
 REJECT_BITS = 6.0
@@ -105,6 +108,7 @@ class Model:
         self.width = len(code) + 1
         self.column = np.zeros((len(texts), self.width), np.uint8)
         self.excess = np.ones(len(texts))
+        self.dense = min(SYMBOLS, 1 + max((len(set(t)) for t in texts), default=0))  # columns in use
         for k, t in enumerate(texts):
             often = sorted(Counter(t).items(), key=lambda x: (-x[1], x[0]))
             for i, (c, _) in enumerate(often):
@@ -113,7 +117,7 @@ class Model:
             self.excess[k] = max(1.0, entropy / math.log2(ALPHABET))
             dense = self.column[k].tolist()
             following = automaton(np.array([code[c] for c in t], np.int64))
-            table = np.full((len(following), SYMBOLS), -1, np.int32)
+            table = np.full((len(following), self.dense), -1, np.int32)
             for at, f in enumerate(following):
                 for c, to in f.items():
                     if dense[c] < SYMBOLS - 1:
@@ -131,7 +135,7 @@ class Model:
 
     def follow(self, state: np.ndarray, column: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The states after ``symbol``, whose columns are ``column``; -1 is none."""
-        to = self.table[state.astype(np.int64) * SYMBOLS + column]
+        to = self.table[state.astype(np.int64) * self.dense + column]
         if len(self.keys):
             i, j = np.nonzero(column == SYMBOLS - 1)
             if len(i):
@@ -179,7 +183,7 @@ class Model:
         score, rate = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
         if not self.languages:
             return names.tolist(), score, rate
-        for i, j in common.steps(at, 1 << 21):
+        for i, j in common.steps(at, STEP_BYTES):
             part = raw[at[i] : at[j]]
             points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
             lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])

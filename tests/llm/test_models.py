@@ -274,3 +274,18 @@ def test_many_small_groups_far_from_each_other_are_all_entered(spark):
     score[np.arange(60), np.arange(60)] = -np.inf
     best = np.argsort(-score, axis=1)[:, :20]
     assert np.mean([len(got[20 * q] & set(ids[best[q]].tolist())) / 20 for q in range(60)]) > 0.95
+
+
+def test_automata_have_no_columns_that_no_language_uses():
+    model = langid.Model({"aa": ["abc abd"], "bb": ["xyz"]})
+    states = len(model.table) // model.dense
+    assert model.dense == 6 and len(model.table) == states * 6
+
+
+def test_scores_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"alpha beta w{k % 7} gamma {k} alpha") for k in range(200)], "doc_id long, text string")
+    got = []
+    for buckets in (1, 5):
+        monkeypatch.setattr(pitmanyor, "BUCKETS", buckets)
+        got.append({r.doc_id: (r.n_tokens, r.n_known, round(r.score, 9)) for r in pitmanyor.score(docs, F.col("doc_id") % 5 != 1).collect()})
+    assert got[0] == got[1] and len(got[0]) == 200
