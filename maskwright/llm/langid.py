@@ -227,6 +227,7 @@ def sample(docs: DataFrame, learn) -> dict[str, list[str]]:
 def identify(docs: DataFrame, learn) -> DataFrame:
     """``docs`` with ``lang_pred, score, bits_per_char``; learns from the rows where ``learn`` holds."""
     spark = docs.sparkSession
+    common.light_batches(spark)
     sent = spark.sparkContext.broadcast(Model(sample(docs, learn)))
     taken = {"lang_pred", "score", "bits_per_char"} & set(docs.columns)
     docs = docs.drop(*taken)

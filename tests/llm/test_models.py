@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,40 @@ def test_scores_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
         monkeypatch.setattr(pitmanyor, "BUCKETS", buckets)
         got.append({r.doc_id: (r.n_tokens, r.n_known, round(r.score, 9)) for r in pitmanyor.score(docs, F.col("doc_id") % 5 != 1).collect()})
     assert got[0] == got[1] and len(got[0]) == 200
+
+
+def test_python_workers_get_light_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    spark.conf.unset(common.BATCH[0])
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert common.stored(texts.mapInArrow(sizes, "n long"), "sizes").agg(F.max("n")).first()[0] < 10 << 20
+    spark.conf.set(common.BATCH[0], "4m")  # a session's own size stays
+    common.light_batches(spark)
+    assert spark.conf.get(common.BATCH[0]) == "4m"
+    spark.conf.unset(common.BATCH[0])
+
+
+def test_one_bucket_of_words_is_held_at_a_time(monkeypatch):
+    import weakref
+
+    held, most, real = weakref.WeakSet(), [], pitmanyor.Words.__init__
+
+    def init(self, rows):
+        held.add(self)
+        most.append(len(held))
+        real(self, rows)
+
+    monkeypatch.setattr(pitmanyor.Words, "__init__", init)
+    monkeypatch.setattr(pitmanyor, "CONTEXTS", 2)
+    word, one = np.array([7, 9], np.uint64), np.ones(2, np.int64)
+    row = {"w": pitmanyor.pack(word), "runs": pitmanyor.pack(one), "u": pitmanyor.pack(one), "m": pitmanyor.pack(one * 3), "f": pitmanyor.pack(one), "block": 1, "z": pitmanyor.pack(one), "d": pitmanyor.pack(one - 1)}
+    parent = np.array([0, 0, *range(pitmanyor.ENDINGS)], np.int64)
+    totals = [np.ones((2, 2 + pitmanyor.ENDINGS + 1)) for _ in range(3)]
+    for _ in range(3):
+        assert pitmanyor.bucket_totals([row], parent, totals[:-1], 2)["c"].to_pylist()
+        (got,) = pitmanyor.bucket_scores([row], parent, totals, 2, 6, 1)
+        assert got["block"].to_pylist() == [1]
+    assert max(most) == 1
