@@ -80,13 +80,16 @@ def hit_count(text: Column, rules: RuleSet) -> Column:
 
 
 def effect(pairs: DataFrame, before: str, after: str, rules: RuleSet) -> DataFrame:
-    """Personal data before and after, removed share, and identical units."""
+    """Personal data before and after, removed share, and identical units.
+
+    A unit that is as it was holds what it held, so it is searched once.
+    """
     counted = pairs.select(
-        hit_count(F.col(before), rules).alias("_b"), hit_count(F.col(after), rules).alias("_a"),
-        (F.col(before) == F.col(after)).alias("_same"),
+        hit_count(F.col(before), rules).alias("_b"), (F.col(before) == F.col(after)).alias("_same"),
+        F.when(F.col(before) == F.col(after), F.lit(None).cast("int")).otherwise(hit_count(F.col(after), rules)).alias("_a"),
     )
     sums = counted.agg(
-        F.sum("_b").cast("bigint").alias("pii_before"), F.sum("_a").cast("bigint").alias("pii_after"),
+        F.sum("_b").cast("bigint").alias("pii_before"), F.sum(F.coalesce("_a", "_b")).cast("bigint").alias("pii_after"),
         F.count_if("_same").alias("identical"), F.count(F.lit(1)).alias("units"),
     )
     removed = F.col("pii_before") - F.col("pii_after")

@@ -113,3 +113,17 @@ def test_self_test_over_a_whole_configuration(spark, key):
     status = {(r.section, r.check): r.status for r in self_test(spark, bad, key).collect()}
     assert status["categories", "email"] == "missing" and status["aliases", "host"] == "risky"
     assert status["normalization", "regional locale"] == "leaks"
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_units_that_stay_are_searched_once(spark):
+    rules = make_rules(all_patterns())
+    rows = [("a@b.example", "a@b.example"), ("a@b.example c@d.example", "x"), ("x", "a@b.example"), (None, None), (None, "a@b.example"), ("a@b.example", None)]
+    df = spark.createDataFrame(rows, "before string, after string")
+    r = Q.effect(df, "before", "after", rules).first()
+    assert (r.pii_before, r.pii_after, r.identical, r.units, r.removed) == (4, 3, 1, 6, 1)
+    plan = optimized(Q.effect(df, "before", "after", rules))
+    assert "WHEN (before#" in plan and "THEN null" in plan
