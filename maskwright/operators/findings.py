@@ -11,6 +11,7 @@ from ..functions.regexes import escape, folded, to_java
 from ..functions.let import let
 from ..functions.scan import pieces, scan
 from ..functions.text import count_substring, js_trim, line_in, line_starts
+from ..sources.tables import stored
 from .ruleset import RuleSet
 from .spans import cut, find_hits, may_match, redact
 
@@ -232,8 +233,10 @@ def report_lines(hits: DataFrame, key: str) -> DataFrame:
     """The ordered text report, one row per line, ready for ``write.text``.
 
     ``hits`` is a detailed findings table.  Rank columns give the order, so the
-    report can be written in parallel and sorted by them.
+    report can be written in parallel and sorted by them.  The table is stored,
+    as it is read three times: for the units, for the lines and for the bounds of the sort.
     """
+    hits = stored(hits, "report")
     per_unit = severity_order(hits, [key])
     head = per_unit.select(
         F.col("severe"), F.col("n"), F.col(key), F.lit(0).alias("off"),

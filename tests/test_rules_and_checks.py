@@ -127,3 +127,13 @@ def test_units_that_stay_are_searched_once(spark):
     assert (r.pii_before, r.pii_after, r.identical, r.units, r.removed) == (4, 3, 1, 6, 1)
     plan = optimized(Q.effect(df, "before", "after", rules))
     assert "WHEN (before#" in plan and "THEN null" in plan
+
+
+def test_a_report_searches_the_texts_once(spark):
+    from maskwright.operators import findings as R
+
+    docs = spark.createDataFrame([(1, "a@b.example\nsome thenon"), (2, None), (3, "c@d.example c@d.example")], "doc_id long, text string")
+    hits = R.detailed_findings(docs, ["doc_id"], "text", make_rules(all_patterns()), None)
+    lines = R.report_lines(hits, "doc_id")
+    assert "regexp_replace" in optimized(hits) and "regexp_replace" not in optimized(lines)
+    assert [r.line_text for r in lines.collect()][0].startswith("3   (2 occurrences)") and lines.count() == 5
