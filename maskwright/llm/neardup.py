@@ -10,10 +10,12 @@ are linked when 100 * intersection >= percent * union; classes are the connected
    selects ``BRANCH`` further coordinates by its path, and each document goes to the child of its
    own minwise token there.  Independent trees are repeated to the target recall.
 3. Small nodes are compared exhaustively on signatures and give a spanning forest of the pairs that
-   may be linked.  A node that keeps ``DENSE`` of its documents through a branching, or ``DEPTH``
-   branchings, holds documents that are alike almost throughout; it is tied together as a whole.
-4. Forests join into clusters.  In a cluster full sets are compared exactly, block by block, all pairs
-   inside a task; a task returns a spanning forest of its links, never all pairs.
+   may be linked.  A node of which one child would hold ``DENSE`` of the documents, or that has come
+   through ``DEPTH`` branchings, holds documents that are alike almost throughout; it does not branch,
+   but is tied together as a whole.
+4. Forests join into clusters.  Texts of clustered documents are stored apart, once.  In a cluster full
+   sets are compared exactly, block by block, all pairs inside a task; a task returns a spanning forest
+   of its links, never all pairs.
 5. In clusters of several blocks what is open is compared exactly too: each small node that still has
    several classes as a whole, and in dense nodes every document outside the main class against all.
    Pairs inside one class need no comparison, because a further link would not change the class.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -112,33 +114,56 @@ def tree_nodes(reps: DataFrame, count: int) -> tuple[DataFrame, DataFrame | None
     """
     roots = reps.select("rep", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "value")).select("rep", F.xxhash64("tree", "value").alias("path"))
     sizes = roots.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    level = roots.join(sizes, "path").join(reps.hint("merge"), "rep").select("path", "rep", "sig", "size", F.lit(0).cast("long").alias("above"))
+    level = roots.join(sizes, "path").join(reps.hint("merge"), "rep").select("path", "rep", "sig", "size")
     leaves: DataFrame | None = None
     dense: DataFrame | None = None
     rows = count * TREES
-    kept = (F.col("size") >= DENSE * F.col("above")) & (F.col("above") > 0)
     for depth in range(DEPTH + 1):
         sized = common.stored(level, "near-nodes", rows)
         small = sized.where(F.col("size") <= LEAF).select("path", "rep", "sig")
         leaves = small if leaves is None else leaves.union(small)
         large = sized.where(F.col("size") > LEAF)
-        full = large.where(kept if depth < DEPTH else F.lit(True)).select("path", "rep", "sig")
+        rows = large.count()
+        if not rows:
+            break
+        judged = large.select("path", "rep", "sig", F.lit(True).alias("alike"))
+        if depth < DEPTH:
+            judged = common.stored(large.join(_alike_nodes(large), "path").select("path", "rep", "sig", "alike"), "near-large", rows)
+        full = judged.where("alike").select("path", "rep", "sig")
         dense = full if dense is None else dense.union(full)
-        at = large.agg(F.count("*").alias("all"), F.count_if(~kept).alias("open")).first()
-        some = at.all > 0 if depth == 0 else some or at.all > 0
-        if depth == DEPTH or not at.open:
-            return leaves, dense if some else None
-        rows = at.open * BRANCH
-        spots = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int") for b in range(BRANCH)]
-        children = large.where(~kept).select(
-            "rep", "sig", F.explode(F.array_distinct(F.array(*[F.xxhash64("path", c, F.element_at("sig", c + 1)) for c in spots]))).alias("path"),
-            F.col("size").alias("above"),
+        if depth == DEPTH:
+            break
+        rows = judged.where("not alike").count()
+        if not rows:
+            break
+        rows *= BRANCH
+        children = judged.where("not alike").select(
+            "rep", "sig", F.explode(F.array_distinct(F.array(*[F.xxhash64("path", _spot(b), _token(b)) for b in range(BRANCH)]))).alias("path")
         )
         sizes = children.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        level = children.join(sizes, "path").select("path", "rep", "sig", "size", "above")
+        level = children.join(sizes, "path").select("path", "rep", "sig", "size")
     return leaves, dense
 
 
+def _spot(b: int) -> Column:
+    """The ``b``-th coordinate by which a node branches."""
+    return F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int")
+
+
+def _token(b: int) -> Column:
+    return F.element_at("sig", _spot(b) + 1)
+
+
+def _alike_nodes(large: DataFrame) -> DataFrame:
+    """``path, alike``: does one child of a node hold ``DENSE`` of its documents?  Counted before any document is sent to children."""
+    most = None
+    for b in range(BRANCH):
+        one = large.groupBy("path", "size", _token(b).alias("token")).agg(F.count("*").alias("n"))
+        one = one.groupBy("path", "size").agg(F.max("n").alias("n"))
+        most = one if most is None else most.union(one)
+    return most.groupBy("path").agg((F.max("n") >= DENSE * F.max("size")).alias("alike"))
+
+
 def forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least row that each of ``size`` rows reaches over the pairs ``a, b``."""
     label = np.arange(size)
@@ -234,8 +259,14 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
     return out
 
 
-def compare(docs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Exact links inside each task; ``tasks`` has ``task, rep``, at most two blocks of reps for a task."""
+def clustered_texts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rep, text`` of the documents in a cluster, stored: all texts move for them once, however often they are compared."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return common.stored(texts.join(blocks.select("rep").hint("merge"), "rep", "left_semi"), "near-texts")
+
+
+def compare(texts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Exact links inside each task; ``tasks`` has ``task, rep``, at most two blocks of reps for a task; ``texts`` has ``rep, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.groups(batches, "task"):
@@ -246,10 +277,8 @@ def compare(docs: DataFrame, tasks: DataFrame) -> DataFrame:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks.hint("merge"), "rep")
-    return (
-        texts.select("task", "rep", "text").repartition(common.parts(docs), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
-    )
+    dealt = texts.join(tasks.hint("merge"), "rep").select("task", "rep", "text")
+    return dealt.repartition(common.parts(texts), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
@@ -265,10 +294,11 @@ def near_links(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
         ),
         "near-blocks", count,
     )
+    texts = clustered_texts(docs, blocks)
     # every block with itself and with block 0 of its cluster
     with_zero = F.when((F.col("block") == 0) & (F.col("n_blocks") > 1), F.sequence(F.lit(1), F.col("n_blocks") - 1)).otherwise(F.array("block"))
     first = common.stored(
-        compare(docs, blocks.select("rep", F.explode(with_zero).alias("i"), "component").select(F.xxhash64("component", "i").alias("task"), "rep")),
+        compare(texts, blocks.select("rep", F.explode(with_zero).alias("i"), "component").select(F.xxhash64("component", "i").alias("task"), "rep")),
         "near-links",
     )
     many = blocks.where("n_blocks > 1").select("rep", "component")
@@ -283,7 +313,7 @@ def near_links(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
     again = common.stored(again.distinct(), "near-open", count)
     if again.isEmpty():
         return first
-    return first.union(common.stored(compare(docs, again), "near-links"))
+    return first.union(common.stored(compare(texts, again), "near-links"))
 
 
 def _leaf_tasks(leaves: DataFrame, state: DataFrame) -> DataFrame:

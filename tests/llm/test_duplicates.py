@@ -47,6 +47,27 @@ def test_near_classes_of_a_dense_group(spark):
     assert near(df) == plain.near_classes(rows)
 
 
+def test_a_group_that_is_alike_is_tied_without_branching(spark):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**31 - 1, neardup.COORDINATES)
+    sigs = np.where(rnd.random((300, len(base))) < 0.95, base, rnd.integers(0, 2**31 - 1, (300, len(base))))
+    reps = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sigs)], "rep long, sig array<int>")
+    _, dense = neardup.tree_nodes(reps, 300)
+    roots = {t: sum(s[t] == base[t] for s in sigs) for t in range(neardup.TREES)}
+    assert dense.count() == sum(roots.values())  # each tree's root once, not its two children
+
+
+def test_only_texts_of_clustered_documents_are_compared(spark, monkeypatch):
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(base[:-1] + [f"x{k}"])) for k in range(20)]
+    rows += [(100 + k, " ".join(f"y{rnd.randrange(10**6)}" for _ in range(60))) for k in range(80)]
+    seen, real = [], neardup.compare
+    monkeypatch.setattr(neardup, "compare", lambda texts, tasks: (seen.append(texts.count()), real(texts, tasks))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df) == plain.near_classes(rows) and seen and max(seen) == 20
+
+
 def test_near_edge_cases(edges, nothing):
     rows = neardup.near_classes(edges).collect()
     assert len(rows) == edges.count()
