@@ -9,6 +9,7 @@ from ..functions import catalog
 from ..functions.keys import LabelKey
 from ..functions.regexes import WORD
 from ..functions.text import count_substring
+from ..sources.tables import dealt
 from .aliases import to_alias
 from .joins import lookup
 from .nested import json_skeleton
@@ -148,8 +149,8 @@ def _shape(template: str, v: Column) -> Column:
     return F.concat(*parts)
 
 
-def literal_shapes(literals: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """Every literal in every adjacency shape: an explode of a fixed list, no join."""
+def literal_shapes(literals: DataFrame, templates: list[tuple[str, str]], *more: str) -> DataFrame:
+    """Every literal in every adjacency shape: an explode of a fixed list, no join; ``more`` names columns to keep."""
     v = F.col("value")
     shapes = F.array(
         *[
@@ -157,13 +158,14 @@ def literal_shapes(literals: DataFrame, templates: list[tuple[str, str]]) -> Dat
             for i, (name, t) in enumerate(templates)
         ]
     )
-    return literals.select("value", "boundary", F.inline(shapes))
+    return literals.select("value", "boundary", *more, F.inline(shapes))
 
 
 def leak_audit(literals: DataFrame, rules: RuleSet, key: LabelKey) -> DataFrame:
     """``value, shape, leak`` for 14 shapes; a leak still shows the literal, any case."""
-    shaped = literal_shapes(literals, catalog.AUDIT_SHAPES)
-    out = redact(F.col("text"), rules, key, own_literal_regex(F.col("value"), F.col("boundary"))).text
+    known = dealt(literals.select("value", "boundary")).select("value", "boundary", own_literal_regex(F.col("value"), F.col("boundary")).alias("_regex"))
+    shaped = literal_shapes(known, catalog.AUDIT_SHAPES, "_regex")
+    out = redact(F.col("text"), rules, key, F.col("_regex")).text
     return shaped.select("value", "shape", F.contains(F.lower(out), F.lower("value")).alias("leak"))
 
 
@@ -195,10 +197,13 @@ def risk_notes(value: Column) -> Column:
 def shape_self_test(literals: DataFrame, rules: RuleSet, key: LabelKey) -> DataFrame:
     """20 shapes, case-sensitive: per shape tested, leaked and deliberately embedded."""
     templates = [(str(i), t) for i, t in enumerate(catalog.SELF_TEST_SHAPES)]
-    shaped = literal_shapes(literals, templates)
-    out = redact(F.col("text"), rules, key, own_literal_regex(F.col("value"), F.col("boundary"))).text
-    still = F.contains(out, F.col("value"))
-    single = F.rlike("value", F.lit(f"^{WORD}+$"))
+    # what depends on the literal alone is worked out before it is put into the shapes; a few bytes are much work, so they are dealt
+    known = dealt(literals.select("value", "boundary")).select(
+        "value", "boundary", own_literal_regex(F.col("value"), F.col("boundary")).alias("_regex"), F.rlike("value", F.lit(f"^{WORD}+$")).alias("_single")
+    )
+    shaped = literal_shapes(known, templates, "_regex", "_single")
+    out = redact(F.col("text"), rules, key, F.col("_regex")).text
+    still, single = F.contains(out, F.col("value")), F.col("_single")
     wrapped = F.col("shape_no").isin(catalog.WORD_WRAPPED_SHAPES)
     return (
         shaped.select("shape_no", still.alias("_still"), (single & wrapped).alias("_expected"))

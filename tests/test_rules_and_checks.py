@@ -137,3 +137,13 @@ def test_a_report_searches_the_texts_once(spark):
     lines = R.report_lines(hits, "doc_id")
     assert "regexp_replace" in optimized(hits) and "regexp_replace" not in optimized(lines)
     assert [r.line_text for r in lines.collect()][0].startswith("3   (2 occurrences)") and lines.count() == 5
+
+
+def test_a_literals_regex_is_built_once_for_all_shapes(spark, key):
+    from maskwright.operators.ruleset import RuleSet
+
+    lits = spark.createDataFrame([("Jane", True), ("a-b", False)], "value string, boundary boolean")
+    for df in (Q.shape_self_test(lits, RuleSet(), key), Q.leak_audit(lits, RuleSet(), key)):
+        above, below = optimized(df).split("Generate inline")
+        assert "RepartitionByExpression" in below  # few bytes would be one task
+        assert "regexp_replace(value#" not in above and "RLIKE" not in above
