@@ -327,3 +327,18 @@ def test_one_bucket_of_words_is_held_at_a_time(monkeypatch):
         (got,) = pitmanyor.bucket_scores([row], parent, totals, 2, 6, 1)
         assert got["block"].to_pylist() == [1]
     assert max(most) == 1
+
+
+def test_a_sweep_seats_only_pairs_of_several_customers(monkeypatch):
+    monkeypatch.setattr(pitmanyor, "CONTEXTS", 4)
+    count, context = np.array([1, 3, 0, 1, 2, 5]), np.array([0, 1, 2, 3, 1, 5])  # room 5 is an ending's
+    pairs = {"w": pitmanyor.pack(np.array([7, 9])), "runs": pitmanyor.pack(np.array([4, 2])), "u": pitmanyor.pack(context), "m": pitmanyor.pack(count), "f": pitmanyor.pack(np.ones(2, np.int64))}
+    parent = np.array([0, 1, 0, 1, *range(pitmanyor.ENDINGS)], np.int64)
+    seen, real = [], pitmanyor.seat
+    monkeypatch.setattr(pitmanyor, "seat", lambda c, *args: (seen.append(c.tolist()), real(c, *args))[1])
+    totals = [np.ones((2, 4 + pitmanyor.ENDINGS + 1)) for _ in range(2)]
+    states = list(pitmanyor.sweeps(pitmanyor.Words([pairs]), parent, totals, 2))
+    assert len(states) == 3 and seen[0] == seen[3] == [3, 2]
+    for t1, c2, t2, c0, t0 in states:  # word 7: ending 0 has rooms 0 and 2, ending 1 rooms 1, 3 and 5; word 9: ending 1 only
+        assert t1[[0, 2, 3]].tolist() == [1, 0, 1] and c2.tolist() == [1, t1[1] + 1, t1[4] + 5]
+        assert c0.sum() == t2.sum() and (t0 <= c0).all()
