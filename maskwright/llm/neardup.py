@@ -18,7 +18,9 @@ are linked when 100 * intersection >= percent * union; classes are the connected
    of its links, never all pairs.
 5. In clusters of several blocks what is open is compared exactly too: each small node that still has
    several classes as a whole, and in dense nodes every document outside the main class against all.
-   Pairs inside one class need no comparison, because a further link would not change the class.
+   Pairs inside one class need no comparison, because a further link would not change the class, and
+   neither do documents whose shingles are shared too rarely in the cluster to reach the threshold
+   with any other one.
 
 Defined cases: null doc_id gives component_id null and kept true; a null or empty text is its own
 class; repeated rows are copies of one another; extra columns are ignored; an empty table gives an
@@ -49,6 +51,8 @@ DENSE = 0.7
 #: Signature similarity of a candidate: 0.85 less four standard deviations at 64 coordinates.
 NEAR = 0.66
 BLOCK = 256
+#: Bytes of text whose shingles are counted at once.
+OWN_BYTES = 4 << 20
 
 _RANDOM = np.random.default_rng(85)
 _TIMES = _RANDOM.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -307,6 +311,7 @@ def near_links(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
     inside = first.join(many.select(F.col("rep").alias("a")), "a", "left_semi")
     classes = common.components(inside, "near-classes", count).select(F.col("id").alias("rep"), F.col("component").alias("class"))
     state = common.stored(many.join(classes, "rep", "left").select("rep", "component", F.coalesce("class", "rep").alias("class")), "near-state", count)
+    state = linkable(texts, state, count)
     again = _leaf_tasks(leaves, state)
     if dense is not None:
         again = again.union(_minor_tasks(dense, state))
@@ -316,6 +321,84 @@ def near_links(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
     return first.union(common.stored(compare(texts, again), "near-links"))
 
 
+def linkable(texts: DataFrame, state: DataFrame, count: int, percent: int = PERCENT) -> DataFrame:
+    """``state`` (``rep, component, class``) without the documents that can be linked with no other of their cluster.
+
+    Of a document's ``n`` shingles ``s`` occur in another document of the cluster, too, whose documents have ``least`` shingles
+    or more.  No intersection is larger than ``s`` then, and no similarity than ``s / (n + max(s, least) - s)``.  What goes
+    makes shingles of others rarer, so the step is repeated while it drops a tenth of the documents.
+    """
+
+    rows = texts.join(state.select("rep", "component").hint("merge"), "rep").select("component", "rep", "text")
+    total, left = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], state.count()
+    each = total // max(1, left) + 1
+    while left:
+        rows = texts.join(state.select("rep", "component").hint("merge"), "rep").select("component", "rep", "text")
+        sums = common.stored(_own_shingles(rows, each * left // OWN_BYTES + 1), "near-own")
+        least = sums.where("rep is null").groupBy("component").agg(F.min("n").alias("least"))
+        own = sums.where("rep is not null").groupBy("component", "rep").agg(F.sum("own").alias("own"), F.max("n").alias("n"))
+        s = F.col("n") - F.col("own")
+        none = own.join(least, "component").where(100 * s < percent * (F.col("n") + F.greatest(s, "least") - s)).select("rep")
+        state = common.stored(state.join(none, "rep", "left_anti").select("rep", "component", "class"), "near-state", count)
+        before, left = left, state.count()
+        if 10 * left > 9 * before:
+            break
+    return state
+
+
+def _own_shingles(rows: DataFrame, n: int) -> DataFrame:
+    """``component, rep, n, own``: a document's shingles that no other text of its cluster has, in parts to be summed.
+
+    A row without rep has the least ``n`` of some of the cluster's documents.  Shingles move in ``n`` buckets by hash, one
+    row for each step of texts and bucket.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            component, rep = (batch.column(k).to_numpy() for k in range(2))
+            raw, at = common.bytes_of(batch.column(2))
+            for i, j in common.steps(at):
+                sets = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                size = np.array([len(x) for x in sets], np.int64)
+                of = np.repeat(np.arange(j - i), size)
+                # of a cluster's own; two shingles of one hash would only count as shared
+                key = common.mix(np.concatenate(sets) + common.mix(component[i:j].astype(np.uint64))[of])
+                bucket = (key % np.uint64(n)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+                out = []
+                for b in np.flatnonzero(np.diff(cuts)):
+                    take = order[cuts[b] : cuts[b + 1]]
+                    docs, runs = np.unique(of[take], return_counts=True)
+                    out.append((b, key[take].view(np.int64), component[i:j][docs], rep[i:j][docs], size[docs], runs))
+                if out:
+                    kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "key", "component", "rep", "n", "runs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in common.groups(batches, "bucket"):
+            key, component, rep, size, runs = (part[c].combine_chunks().flatten().to_numpy() for c in ("key", "component", "rep", "n", "runs"))
+            of = np.repeat(np.arange(len(rep)), runs)
+            order = np.argsort(key)
+            key, of = key[order], of[order]
+            new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+            own = np.bincount(of[new[1:] & new[:-1]], minlength=len(rep))
+            some = np.flatnonzero(own)
+            clusters, at = np.unique(component, return_inverse=True)
+            least = np.full(len(clusters), np.iinfo(np.int64).max)
+            np.minimum.at(least, at, size)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([clusters, component[some]])), pa.array([*[None] * len(clusters), *rep[some].tolist()], pa.int64()),
+                    pa.array(np.concatenate([least, size[some]])), pa.array(np.concatenate([np.zeros(len(clusters), np.int64), own[some]])),
+                ],
+                names=["component", "rep", "n", "own"],
+            )
+
+    dealt = rows.mapInArrow(deal, "bucket long, " + ", ".join(f"{c} array<long>" for c in ("key", "component", "rep", "n", "runs")))
+    return dealt.repartition(common.parts(rows), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "component long, rep long, n long, own long")
+
+
 def _leaf_tasks(leaves: DataFrame, state: DataFrame) -> DataFrame:
     """Small nodes whose documents of one cluster still have several classes; equal nodes of several trees once."""
     rows = leaves.select("path", "rep").join(state, "rep").select(F.xxhash64("path", "component").alias("node"), "rep", "class")
@@ -329,6 +412,7 @@ def _leaf_tasks(leaves: DataFrame, state: DataFrame) -> DataFrame:
 def _minor_tasks(large: DataFrame, state: DataFrame) -> DataFrame:
     """For dense nodes: the documents outside the node's main class, in blocks, against all of it."""
     rows = large.select("path", "rep").join(state, "rep").select(F.xxhash64("path", "component").alias("path"), "rep", "class")
+    rows = common.stored(rows, "near-rows")
     counts = rows.groupBy("path", "class").agg(F.count("*").alias("n"))
     main = counts.groupBy("path").agg(F.max(F.struct("n", F.col("class"))).alias("m"), F.sum("n").alias("size"))
     main = main.select("path", F.col("m.class").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("minor")).where("minor > 0")

@@ -68,6 +68,37 @@ def test_only_texts_of_clustered_documents_are_compared(spark, monkeypatch):
     assert near(df) == plain.near_classes(rows) and seen and max(seen) == 20
 
 
+def test_documents_that_share_too_little_are_not_dealt_out_again(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(600):  # one in ten has copies at the threshold, the others are near but linked with none
+        w = list(base)
+        for at in rnd.sample(range(150), 1 if k % 10 == 0 else 5):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    dealt, real = [], neardup.compare
+    monkeypatch.setattr(neardup, "compare", lambda texts, tasks: (dealt.append(tasks.count()), real(texts, tasks))[1])
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    assert near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == plain.near_classes(rows)
+    assert sum(dealt) < 5 * len(rows)
+
+
+def test_linkable_is_exact_at_the_threshold(spark, monkeypatch):
+    words = [f"w{k}" for k in range(30)]
+    rows = [(1, words[:21]), (2, words[:24]), (3, words[:20]), (4, words[:23])]  # 17, 20, 16 and 19 shingles
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "rep long, text string")
+
+    def left(*clusters):
+        state = spark.createDataFrame([(k, c, k) for c, ks in enumerate(clusters) for k in ks], "rep long, component long, class long")
+        return sorted(r.rep for r in neardup.linkable(texts, state, 4).collect())
+
+    assert left([1, 2], [3, 4]) == [1, 2]  # 17 of 20 are enough, 16 of 19 are not
+    monkeypatch.setattr(neardup, "OWN_BYTES", 100)  # several buckets
+    assert left([1, 2], [3, 4]) == [1, 2]
+    assert left([1, 2, 3, 4]) == [1, 2, 3, 4] and left([1], [2]) == [] and left() == []
+
+
 def test_near_edge_cases(edges, nothing):
     rows = neardup.near_classes(edges).collect()
     assert len(rows) == edges.count()
