@@ -342,3 +342,19 @@ def test_a_sweep_seats_only_pairs_of_several_customers(monkeypatch):
     for t1, c2, t2, c0, t0 in states:  # word 7: ending 0 has rooms 0 and 2, ending 1 rooms 1, 3 and 5; word 9: ending 1 only
         assert t1[[0, 2, 3]].tolist() == [1, 0, 1] and c2.tolist() == [1, t1[1] + 1, t1[4] + 5]
         assert c0.sum() == t2.sum() and (t0 <= c0).all()
+
+
+def test_every_context_has_a_restaurant_of_its_own(spark):
+    """Words beyond the most frequent ones, of one ending, tell their followers apart."""
+    fill = [(10 + k, " ".join(f"f{(k * 97 + j) % 9000}" for j in range(100))) for k in range(360)]
+    docs = spark.createDataFrame([(0, "aaxq red"), (1, "aaxq blue"), (2, "aaxq red"), (3, "bbxq blue"), *fill], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitmanyor.score(docs, F.col("doc_id") > 1).where("doc_id < 2").collect()}
+    assert 0.3 < got[0] - got[1] < 0.4  # red: a customer of the room (0.15 / 2) and 1.85 / 2 of the ending's 0.07; blue: the latter
+
+
+def test_arrays_of_any_width_are_packed():
+    rnd = np.random.default_rng(3)
+    for bits in range(1, 63):
+        for n in (0, 1, 9, 1001):
+            x = rnd.integers(0, 1 << bits, n)
+            assert (pitmanyor.unpack(pitmanyor.pack(x)).astype(np.int64) == x).all()
